@@ -82,7 +82,7 @@ TEMPLATES = (
     (0.95, "released under (?:the )?(?:terms of (?:the )?)?{n}(?: {l})?(?: (?:version|v)? ?(?:{v}))?"),
     (0.9, "(?:distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{n} {l}(?: (?:version |v )?(?:{v}))?"),
     (0.9, "{n} {l} (?:version |v )?(?:{v})"),
-    (0.8, "{n} {l}"),
+    (0.8, "{n}(?: (?:{v}))? {l}"),
 )
 LICENCE = "licen[sc]es?"
 #: Other signatures: label, confidence, keyword, words.
