@@ -31,7 +31,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = keep(norm.select("id", content_hash(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")))
     best = F.max("id") if largest else F.min("id")
     many = keep(marks.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best.alias("keep_id")).where("group_size > 1"))
-    again = norm.select("id", content_hash(F.col("norm")).alias("h"), "norm").join(many.select("h"), "h", "left_semi")
+    again = norm.select("id", content_hash(F.col("norm")).alias("h"), "norm").join(many.select("h").hint("merge"), "h", "left_semi")  # the same plan at every size
     differ = keep(again.groupBy("h").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("h"))
     groups = marks.join(many, "h", "left").select(
         "id", "h", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256"
@@ -48,6 +48,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, with all their columns. Rows repeated under one id and text are taken once."""
     groups = keep(exact_groups(docs, id_col, text_col, largest))
     gone = groups.where("not kept").select(id_col).distinct()
-    stay = docs.join(gone, id_col, "left_anti")
+    stay = docs.join(gone.hint("merge"), id_col, "left_anti")
     repeated = groups.groupBy(id_col).count().where("count > 1").limit(1).count()
     return stay.dropDuplicates([id_col, text_col]) if repeated else stay
