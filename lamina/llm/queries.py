@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kd_shards, license_scan, mixing, quality_rules
-from .common import table
+from . import context_mixing, exact_dedup, jaccard_join, kd_shards, license_scan, mixing, ppm_language, quality_rules, toxicity_fm, unigram_pieces
+from .common import crc_mod, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    out = context_mixing.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -26,12 +41,34 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), largest=True)
 
 
+def toxicity_machine(docs: DataFrame, labels: DataFrame) -> toxicity_fm.Machine:
+    """The machine learned from labelled documents with crc32(id) mod 3 other than 1; ids labelled twice take the larger label."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = docs.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "text")
+    return toxicity_fm.fit(train.join(known.hint("merge"), "doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity_fm.score(docs, toxicity_machine(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = ppm_language.identify(docs, docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op6_mixing, op7_exact_dedup, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_license_scan, op3_sentencepiece, op4_lm_score, op5_ngram_jaccard, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language, op10_quality_rules)
+}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": """
