@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def shared_counts(docs: DataFrame, width: int, buckets: int, block: int = 4 << 20) -> DataFrame:
+def shared_counts(docs: DataFrame, width: int, buckets: int, block: int = 1 << 20) -> DataFrame:
     """doc_id, shared: how many of a document's shingles also occur in another row (documents without any may be missing).
 
     Documents are packed in blocks. A hash found twice in a block is credited at once and sent as a marker; others are
