@@ -118,12 +118,13 @@ def test_language_costs_by_hand():
 
 
 def test_toxicity(spark):
-    labels = table(spark, SF, "labels")
-    out = queries.op8_toxicity(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    sf = "/root/testdata/sf0.1"  # the smaller tables have some thirty toxic texts to learn from
+    labels = table(spark, sf, "labels")
+    out = queries.op8_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
     caught = sum(r.predicted for r in out if r.toxic)
     assert caught >= 0.8 * sum(r.toxic for r in out)
     assert sum(r.predicted for r in out if not r.toxic) <= 0.02 * len(out)
-    machine = queries.toxicity_machine(table(spark, SF, "documents"), labels)
+    machine = queries.toxicity_machine(table(spark, sf, "documents"), labels)
     assert toxicity_fm.score(frame(spark), machine).where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity_fm.score(empty(spark), machine).count() == 0
     assert toxicity_fm.fit(empty(spark).withColumn("toxic", F.lit(1))).w.size == 0
@@ -174,3 +175,55 @@ def test_viterbi_by_brute_force():
 
         total = sum(scores[k] if k < 7 else m.unknown for k in m.encode(t))
         assert total == pytest.approx(best(0)) and m.decode(m.encode(t)) == t
+
+
+def unigram(rows, train):
+    """Base scores by the formula, token by token."""
+    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOWER).encode()), None] for i, t in rows}
+    c = defaultdict(int)
+    for i, w in tokens.items():
+        if train(i):
+            for x in w:
+                c[x] += 1
+    n, v = sum(c.values()), len(c)
+    return {i: (len(w), sum(c[x] > 0 for x in w), n, sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, w in tokens.items()}
+
+
+@pytest.mark.parametrize("data", ["cases", "table"])
+def test_lm_score(spark, data):
+    import zlib
+
+    from lamina.llm import context_mixing
+    from lamina.llm.common import crc_mod
+
+    docs = (frame(spark).dropDuplicates(["doc_id"]) if data == "cases" else table(spark, SF, "documents")).cache()
+    want = unigram([(r.doc_id, r.text) for r in docs.collect()], lambda i: zlib.crc32(str(i).encode()) % 10 != 0)
+    got = context_mixing.score(docs, crc_mod(F.col("doc_id"), 10) != 0, bits=(12, 14, 14, 14, 16)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n_tokens, known, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-6) and r.score < 0
+    if data == "table":
+        size = {r.doc_id: len(r.text.encode()) + 1 for r in docs.collect()}
+        assert sum(-r.score for r in got) / np.log10(2) < 3.0 * sum(size.values())
+        assert context_mixing.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_mixer_probabilities_add_up():
+    """Over all next symbols after a text, the mixer's probabilities add up to 1; a long text in segments costs what it costs at once."""
+    from lamina.llm import context_mixing as c
+
+    rng = np.random.default_rng(5)
+    with np.errstate(over="ignore"):
+        tree = c.CodeTree(rng.integers(0, 50, c.ALPHABET))
+        bits = (8, 8, 8, 8, 8)
+        m = c.Mixer(tree, bits, [rng.normal(0, 1, 256).astype(np.float32) for _ in bits], rng.integers(0, 4, 256).astype(np.int8), rng.normal(0.3, 0.1, (tree.nodes * 4, c.INPUTS)).astype(np.float32))
+        head = np.array([104, 105, 32, 116], np.int16)
+        loss = [m.log2_loss(np.append(head, s).astype(np.int16), np.array([0, 5]))[0] for s in range(c.ALPHABET)]
+        alone = m.log2_loss(head, np.array([0, 4]))[0]
+        assert np.exp2(alone - np.array(loss)).sum() == pytest.approx(1, abs=1e-4)
+        text = rng.integers(97, 110, 3000).astype(np.int16)
+        whole = m.log2_loss(text, np.array([0, 3000]))
+        two = m.log2_loss(np.concatenate([text, head]), np.array([0, 3000, 3004]))
+        assert two[0] == pytest.approx(whole[0], rel=1e-5) and two[1] == pytest.approx(alone, rel=1e-5)
