@@ -42,10 +42,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_machine(docs: DataFrame, labels: DataFrame) -> toxicity_fm.Machine:
-    """The machine learned from labelled documents with crc32(id) mod 3 other than 1; ids labelled twice take the larger label."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "text")
-    return toxicity_fm.fit(train.join(known.hint("merge"), "doc_id"))
+    """The machine learned from labelled documents with crc32(id) mod 3 other than 1."""
+    return toxicity_fm.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1), labels)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

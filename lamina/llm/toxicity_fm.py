@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, Hasher, U, chunks, words
+from .common import keep
 
 #: Bytes of words: letters a-z and all bytes of other letters.
 LETTER = np.zeros(256, bool)
@@ -117,16 +118,21 @@ def train_machine(known: np.ndarray, term: np.ndarray, doc: np.ndarray, y: np.nd
     return m
 
 
-def fit(labelled: DataFrame, per_class: int = 3000, n_terms: int = 4096, least: int = 4) -> Machine:
-    """A machine from labelled(doc_id, text, toxic).
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_terms: int = 4096, least: int = 4) -> Machine:
+    """A machine from docs(doc_id, text) and labels(doc_id, toxic).
 
-    Bound of the sample: per_class texts of each class, those first by crc32 of the id. Chosen are the n_terms terms of
-    highest G-squared among those in `least` texts of the sample or more. Without both classes the machine knows no
-    term and scores 0.
+    Bound of the sample: per_class documents of each class, those first by crc32 of the id; ids are chosen before texts
+    are read. Chosen are the n_terms terms of highest G-squared among those in `least` texts of the sample or more. Without
+    both classes the machine knows no term and scores 0. An id labelled twice takes the larger label; of rows that share
+    an id one is read.
     """
-    order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]
-    parts = [labelled.where(F.col("toxic") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).select(F.col("toxic").cast("int").alias("y"), "text").toPandas()
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    ids = docs.select("doc_id").join(known.hint("merge"), "doc_id").distinct()
+    order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
+    parts = [ids.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    chosen = keep(parts[0].unionByName(parts[1]))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # 2 * per_class ids
+    sample = sample.select("y", "text").toPandas()
     texts, y = sample.text.fillna("").tolist(), sample.y.to_numpy(np.int64)
     if y.sum() in (0, len(y)):
         return Machine(np.empty(0, U), -20.0, np.zeros(0), np.zeros((0, 1)))

@@ -127,7 +127,7 @@ def test_toxicity(spark):
     machine = queries.toxicity_machine(table(spark, sf, "documents"), labels)
     assert toxicity_fm.score(frame(spark), machine).where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity_fm.score(empty(spark), machine).count() == 0
-    assert toxicity_fm.fit(empty(spark).withColumn("toxic", F.lit(1))).w.size == 0
+    assert toxicity_fm.fit(empty(spark), labels).w.size == 0 and toxicity_fm.fit(frame(spark), labels.where("toxic = 0")).w.size == 0
     kept = toxicity_fm.drop_toxic(frame(spark), machine)
     assert kept.columns == frame(spark).columns and kept.count() == frame(spark).count()
 
