@@ -25,3 +25,16 @@ def line_pairs(edges: DataFrame, flag: DataFrame, least: float) -> DataFrame:
     """Edges src < dst whose ends' flags add up to more than 2 and whose positive weight reaches `least`."""
     a, b = flag.select(F.col("node").alias("src"), F.col("flag").alias("fa")), flag.select(F.col("node").alias("dst"), F.col("flag").alias("fb"))
     return edges.where("src < dst").where(F.abs("pos") >= least).join(a, "src").join(b, "dst").where("fa + fb > 2").select("src", "dst", "pos")
+
+
+def leading_eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """node, x: the leading eigenvector of the symmetric matrix (src, dst, w), by power iteration: each round one join and one aggregate."""
+    from ..sources.scratch import keep
+
+    x = edges.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    e = keep(edges.select("src", "dst", "w"))
+    for _ in range(rounds):
+        y = keep(e.join(x.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x")))
+        norm = y.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n")).first()["n"]
+        x = y.select("node", (F.col("x") / F.lit(float(norm or 1.0))).alias("x"))
+    return x

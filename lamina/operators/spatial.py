@@ -100,3 +100,35 @@ def components(img: DataFrame, inside: Column, rounds: int = 100) -> DataFrame:
         if not new.where("was <> component").limit(1).count():
             return label
     raise RuntimeError("components did not settle")
+
+
+def bilateral(img: DataFrame, radius: int, space: float, value: float, flat: bool = True) -> DataFrame:
+    """Mean over the box weighted by distance and by difference of value."""
+    d = F.sequence(F.lit(-radius), F.lit(radius))
+    box = img.select("voxel", "i", "j", "k", F.col("v").alias("own"), F.explode(d).alias("di")).select("*", F.explode(d).alias("dj")).select("*", F.explode(F.array(F.lit(0)) if flat else d).alias("dk"))
+    box = box.select("voxel", "own", "di", "dj", "dk", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), (F.col("k") + F.col("dk")).alias("k"))
+    j = box.join(img.select("i", "j", "k", "v"), ["i", "j", "k"])
+    d2 = F.col("di") ** 2 + F.col("dj") ** 2 + F.col("dk") ** 2
+    w = F.exp(-d2 / (2 * space**2) - (F.col("v") - F.col("own")) ** 2 / (2 * value**2))
+    return j.groupBy("voxel").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+
+
+def patches(img: DataFrame, size: int, step: int) -> DataFrame:
+    """pi, pj, pk, vals: ordered patches of size x size in each k plane, one every `step` voxels; a patch is complete."""
+    last = F.floor((F.col("i") - 0) / step)
+    p = img.withColumn("pi", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / step)), last)))
+    p = p.withColumn("pj", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("j") - size + 1) / step)), F.floor(F.col("j") / step))))
+    vals = F.transform(F.array_sort(F.collect_list(F.struct("j", "i", "v"))), lambda x: x["v"])
+    return p.groupBy("pi", "pj", F.col("k").alias("pk")).agg(vals.alias("vals")).where(F.size("vals") == size * size)
+
+
+def smooth_labels(img: DataFrame, weight: float, iterations: int) -> DataFrame:
+    """voxel, label: each voxel takes the label most frequent among its six neighbours, its own counting `weight` more; the smallest of ties. Repeated."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]))
+    now = img.select("voxel", "i", "j", "k", "label")
+    for _ in range(iterations):
+        vote = now.select("label", F.lit(1.0).alias("n"), "i", "j", "k", steps.alias("s")).select("label", "n", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), (F.col("k") + F.col("s.c")).alias("k"))
+        vote = vote.unionByName(now.select("label", F.lit(float(weight)).alias("n"), "i", "j", "k"))
+        best = vote.groupBy("i", "j", "k", "label").agg(F.sum("n").alias("n")).groupBy("i", "j", "k").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+        now = keep(now.select("voxel", "i", "j", "k").join(best, ["i", "j", "k"]))
+    return now.select("voxel", "label")

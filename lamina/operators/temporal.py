@@ -121,3 +121,11 @@ def intervals_to_frames(intervals: DataFrame) -> DataFrame:
 def ztone(x: Column) -> Column:
     """The haemodynamic tone curve on 0..1."""
     return 0.50212657 * (F.tanh(F.tan(0.5 * pi * (1.6 * x - 0.8))) + 0.99576486)
+
+
+def hrf_design(intervals: DataFrame, frames: int, length: int) -> DataFrame:
+    """frame, task, v: task frames convolved with the tone curve over `length` frames, cut at the run's end; one run."""
+    on = intervals_to_frames(intervals)
+    lagged = on.select("task", "frame", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("d"))
+    lagged = lagged.select("task", (F.col("frame") + F.col("d")).alias("frame"), ztone(F.col("d") / float(length)).alias("h"))
+    return lagged.where(F.col("frame") < frames).groupBy("frame", "task").agg(F.sum("h").alias("v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import elementwise as E
+from ..operators import geometry as M
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import spatial as P
@@ -576,3 +577,56 @@ def tumbling_window(spark, d):
     e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     return rounded(g.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "v"))
+
+
+# --- geometry -----------------------------------------------------------------------------------------------------
+
+MOVE = [[1.0, 0.0, 0.0, 0.25], [0.0, 1.0, 0.0, 0.5], [0.0, 0.0, 1.0, 0.0]]
+AFFINE = [[1.1, 0.05, 0.0, 1.0], [-0.05, 0.9, 0.0, -2.0], [0.0, 0.02, 1.2, 0.5]]
+
+
+@query(with_(VOLUME, "s as (select i, j, k, least(i + 0.25::double, 9) x, least(j + 0.5::double, 9) y from vol)") + "select s.i, s.j, s.k, round(sum(v * case when vol.i = floor(x) then 1 - (x - floor(x)) else x - floor(x) end * case when vol.j = floor(y) then 1 - (y - floor(y)) else y - floor(y) end), 4) v from s join vol on vol.k = s.k and vol.i in (floor(x), floor(x) + 1) and vol.j in (floor(y), floor(y) + 1) group by 1, 2, 3")
+def reslice_linear(spark, d):
+    v = volume(spark, d)
+    top = v.agg(F.max("k").alias("k")).first()["k"]  # one number
+    return rounded(M.reslice(v, v.select("i", "j", "k"), MOVE, (10, 10, top + 1)))
+
+
+@query(with_(VOLUME) + "select voxel, i, j, k, round((1.1 * i + 0.05 * j + 1.0 - i)::double, 5) dx, round((-0.05 * i + 0.9 * j - 2.0 - j)::double, 5) dy, round((0.02 * j + 1.2 * k + 0.5 - k)::double, 5) dz from vol")
+def displacement_field(spark, d):
+    return rounded(M.displacement(volume(spark, d), AFFINE), 5)
+
+
+@query(with_(VOLUME) + "select voxel, case when i in (0, 9) or j in (0, 9) or k = 0 or k = (select max(k) from vol) then 0.0 else round(100 * (1.2::double * (1.1 * 0.9 + 0.05 * 0.05) - 1), 3) end::double v from vol")
+def jacobian_image(spark, d):
+    return rounded(M.jacobian(M.displacement(volume(spark, d), AFFINE)), 3)
+
+
+@query(with_(VOLUME, "p as (select i x, j y, k z, 0.9 * i - 0.1 * j + 1 + label / 100.0 u, 0.1 * i + 0.9 * j v, k * 1.0 w from vol)") + "select round(avg(sqrt((1.1 * x + 0.05 * y + 1.0 - u) ** 2 + (-0.05 * x + 0.9 * y - 2.0 - v) ** 2 + (0.02 * y + 1.2 * z + 0.5 - w) ** 2)), 4) mean, round(sqrt(avg((1.1 * x + 0.05 * y + 1.0 - u) ** 2 + (-0.05 * x + 0.9 * y - 2.0 - v) ** 2 + (0.02 * y + 1.2 * z + 0.5 - w) ** 2)), 4) rms from p")
+def mapping_error(spark, d):
+    x, y, z = (F.col(c).cast("double") for c in "ijk")
+    p = volume(spark, d).select(x.alias("x"), y.alias("y"), z.alias("z"), (0.9 * x - 0.1 * y + 1 + F.col("label") / 100.0).alias("u"), (0.1 * x + 0.9 * y).alias("v"), z.alias("w"))
+    return rounded(M.mapping_error(p, AFFINE))
+
+
+@query(with_(VOLUME) + "select a.voxel, round(sum(b.v * w) / sum(w), 4) v from (select a.voxel, b.v, exp(-((a.i - b.i) ** 2 + (a.j - b.j) ** 2) / 2.0 - (a.v - b.v) ** 2 / 20000.0) w from vol a join vol b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.k = b.k) b(voxel, v, w) join vol a using (voxel) group by 1")
+def bilateral_filter(spark, d):
+    return rounded(P.bilateral(volume(spark, d), 1, 1.0, 100.0))
+
+
+@query(with_(VOLUME) + "select p.pi, p.pj, k as pk, list(v order by j, i) vals from (select a::bigint pi, b::bigint pj from (select unnest(range(5)) a), (select unnest(range(5)) b)) p join vol on i between pi * 2 and pi * 2 + 3 and j between pj * 2 and pj * 2 + 3 group by 1, 2, 3 having count(*) = 16")
+def image_patches(spark, d):
+    return P.patches(volume(spark, d), 4, 2)
+
+
+SMOOTHED = "(select a.voxel, b.label, count(*) + max(case when a.voxel = b.voxel then 1.5 else 0 end) - max(case when a.voxel = b.voxel then 1 else 0 end) n from {t} a join {t} b on abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) <= 1 group by 1, 2)"
+
+
+@query(with_(VOLUME.replace("vol as", "raw as"), "vol as (select voxel, i, j, k, label // 10 as label from raw)") + f"select voxel, label from {SMOOTHED.format(t='vol')} qualify row_number() over (partition by voxel order by n desc, label) = 1")
+def smooth_labels(spark, d):
+    return P.smooth_labels(volume(spark, d).withColumn("label", F.floor(F.col("label") / 10).cast("int")), 1.5, 1)
+
+
+@query("with " + INTERVALS + ", o as (select distinct task, unnest(range(lo, hi)) f from iv where run = '1') select (f + dd)::int as frame, task, round(sum(0.50212657 * (tanh(tan(0.5 * pi() * (1.6 * dd / 12.0 - 0.8))) + 0.99576486)), 4) v from o, (select unnest(range(12)) dd) where f + dd < 720 group by 1, 2")
+def hrf_design(spark, d):
+    return rounded(T.hrf_design(_intervals(spark, d).where("run = '1'"), 720, 12))
