@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, Hasher, U, chunks, mix, words
@@ -170,9 +170,7 @@ def sketch(live: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.bincount((np.frombuffer(x, U) & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) if len(x) > 1 << bits else 0
-                if len(x) <= 1 << bits:
-                    np.add.at(total, (np.frombuffer(x, U) & U((1 << bits) - 1)).astype(np.int64), 1)
+                np.add.at(total, (np.frombuffer(x, U) & U((1 << bits) - 1)).astype(np.int64), 1)
         for i, part in enumerate(np.split(total, 64)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
 
@@ -239,14 +237,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = keep(fingerprints(d, width))
-    print_ = ["n", "f1", "f2"]
-    copies = keep(marks.where("n > 0 and doc_id is not null").groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1"))
+    key = ["n", "f1", "f2"]
+    copies = keep(marks.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     total = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_rows))
     shared = shared_counts(d.where("doc_id is not null"), width, buckets)
     enough = F.col("shared") * similarity.denominator >= F.col("n") * similarity.numerator
     live_ids = shared.join(marks.where("n > 0").distinct(), "doc_id").where(enough)
-    live_ids = keep(live_ids.join(copies, print_, "left").where("rep is null or rep = doc_id").select("doc_id").distinct())
+    live_ids = keep(live_ids.join(copies, key, "left").where("rep is null or rep = doc_id").select("doc_id").distinct())
     live = keep(packed_sets(d.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
     rarity = spark.sparkContext.broadcast(sketch(live, bits))
     entries = keep(index_entries(live, rarity, similarity, bits))
@@ -283,7 +281,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = keep(overlaps(rest, live).where(is_link).select("a", "b"))
     if more.limit(1).count():
         group = components(links.unionByName(more))
-    out = marks.join(copies, print_, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = marks.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(group.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out
