@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
+
 
 def roi_mean(ser: DataFrame, roi: Column) -> DataFrame:
     """Mean over the voxels of a region for each frame; regions of 0 or less are left out."""
@@ -132,3 +134,11 @@ def edge_prediction(edges: DataFrame, folds: int = 3, least: float = 0.2) -> Dat
     line = score.where("fold <> test").groupBy("test").agg(F.regr_slope("y", "s").alias("b"), F.regr_intercept("y", "s").alias("a"))
     out = score.where("fold = test").join(F.broadcast(line), "test")  # one row per fold
     return out.select("subject", "y", (F.col("a") + F.col("b") * F.col("s")).alias("predicted"))
+
+
+def global_rank(df: DataFrame, by: str) -> DataFrame:
+    """df with rank from 1 in order of a column, without a window over all rows: a range sort, then each partition's offset."""
+    at = keep(df.orderBy(by).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    parts = at.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    parts = parts.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return at.join(F.broadcast(parts), "_p").withColumn("rank", F.col("_before") + F.col("_m") - F.col("_first") + 1).drop("_p", "_m", "_first", "_before", "_n")

@@ -445,7 +445,7 @@ def seed_connected(spark, d):
 
 @query(with_(VOLUME) + "select voxel, row_number() over (order by voxel) as id from vol where label > 25")
 def index_map(spark, d):
-    return volume(spark, d).where("label > 25").select("voxel", F.row_number().over(Window.orderBy("voxel")).cast("long").alias("id"))
+    return volume(spark, d).where("label > 25").select("voxel").transform(lambda x: A.global_rank(x, "voxel")).select("voxel", F.col("rank").alias("id"))
 
 
 # --- distance joins -----------------------------------------------------------------------------------------------
