@@ -34,7 +34,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,20 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_mixing": r"""
+        with z as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, md5(coalesce(doc_id::varchar, '')) k from documents),
+        s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from z group by source),
+        c as (select *, sum(source_size) over () total, source_size * 3 / w ratio,
+            coalesce(sum(3 * source_size) over (order by source_size * 3 / w, source nulls last rows between unbounded preceding and 1 preceding), 0) before,
+            sum(w) over (order by source_size * 3 / w, source nulls last rows between current row and unbounded following) rest from s),
+        f as (select (total - before) / rest as level from c where ratio >= (total - before) / rest order by ratio, source nulls last limit 1),
+        t as (select source, source_size, w, least((3 * source_size)::double, level * w) target from s, f),
+        o as (select z.doc_id, z.size, t.source_size, t.w, t.target, coalesce(sum(size) over (partition by z.source order by k, z.doc_id, size rows between unbounded preceding and 1 preceding), 0) as off
+            from z join t on z.source is not distinct from t.source),
+        p as (select *, (w - 2) * 0.8::double b, case when target > 0 then least(1.0, off / target) else 0.0 end share, case when source_size > 0 then round(target)::bigint // source_size else 0 end epochs from o)
+        select doc_id, size, source_size, round(target, 6) target, (epochs * size + greatest(0, least(size, round(target)::bigint - epochs * source_size - off)))::bigint taken,
+            round(case when b = 0 then share else (b - 1 + sqrt((1 - b) * (1 - b) + 4 * b * share)) / (2 * b) end, 9) as position from p
+    """,
     "op7_exact_dedup": """
         with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
         g as (select t, max(doc_id) keep_id, count(*) group_size from n group by t)
