@@ -39,11 +39,6 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def row_buckets(df: DataFrame, rows_each: int = 1_000_000, least: int = 1) -> int:
-    """How many buckets keep about rows_each rows in one; grows with the table."""
-    return max(least, -(-df.count() // rows_each))
-
-
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id written in decimal, modulo m: the fixed split into training and held-out rows."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))

@@ -129,6 +129,19 @@ def test_shards(docs, shards):
     assert all(abs(w - sum(weight.values()) / shards) <= 3 * largest for w in weight.values())
 
 
+def test_shards_keep_small_groups_and_cut_a_hot_one(spark):
+    data = [(i, f"text {i // 3} " + "pad " * (i // 3 % 40), f"s{i % 5}") for i in range(6000)] + [(10_000 + i, "the same", f"s{i % 5}") for i in range(9000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = kd_shards.kd_shards(docs, 10).collect()
+    where, weight = defaultdict(set), Counter()
+    for r in got:
+        where[r.text_crc32, r["size"]].add(r.shard)
+        weight[r.shard] += r["size"]
+    assert sum(len(v) > 1 for v in where.values()) == 1
+    share = sum(weight.values()) / 10
+    assert len(weight) == 10 and all(abs(w - share) <= 0.05 * share for w in weight.values())
+
+
 def test_empty(spark):
     for f in (exact_dedup.exact_groups, exact_dedup.drop_copies, mixing.mix, mixing.schedule, kd_shards.kd_shards, license_scan.scan, quality_rules.statistics):
         assert f(empty(spark)).count() == 0
