@@ -166,3 +166,26 @@ def group_subject_files(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path, wholetext=True, pathGlobFilter="sub*_*.csv").select(F.substring_index(F.input_file_name(), "/", -1).alias("name"), "value")
     t = t.withColumn("subject", F.regexp_extract("name", r"^(sub\d+)_", 1)).where("subject <> ''")
     return t.groupBy("subject").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("files"))
+
+
+def read_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """vertices(file, id, x, y, z) and faces(file, id, v0, v1, v2) of ASCII PLY and legacy VTK polygon files."""
+    x = lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
+    by = Window.partitionBy("file").orderBy("n")
+    ply = F.max(F.when(F.lower("line") == "ply", 1).otherwise(0)).over(Window.partitionBy("file")) == 1
+    x = x.withColumn("ply", ply)
+    # PLY: counts in the header, then that many vertices and faces. VTK: POINTS n, POLYGONS n, each followed by rows.
+    x = x.withColumn("head", F.max(F.when(F.lower("line") == "end_header", F.col("n"))).over(Window.partitionBy("file")))
+    x = x.withColumn("nv", F.max(F.regexp_extract("line", r"^(?i:element vertex|POINTS)\s+(\d+)", 1).try_cast("int")).over(Window.partitionBy("file")))
+    x = x.withColumn("part", F.last(F.when(F.col("line").rlike("^POINTS"), "v").when(F.col("line").rlike("^POLYGONS"), "f").when(F.col("line").rlike("^[A-Z_]+"), "o"), ignorenulls=True).over(by))
+    rows = x.where(F.when(F.col("ply"), F.col("n") > F.col("head")).otherwise(~F.col("line").rlike("^[A-Za-z#_]"))).withColumn("p", F.split("line", r"\s+"))
+    at = F.row_number().over(by) - 1
+    p = rows.where("ply").withColumn("at", at)
+    num = lambda k: F.col("p")[k].cast("double")
+    v_ply = p.where("at < nv").select("file", "at", F.slice("p", 1, 3).alias("p"))
+    f_ply = p.where("at >= nv").select("file", (F.col("at") - F.col("nv")).alias("at"), "p")
+    vtk = rows.where("not ply")
+    flat = lambda kind, width: vtk.where(F.col("part") == kind).select("file", "n", F.posexplode("p").alias("c", "x")).withColumn("q", F.row_number().over(Window.partitionBy("file").orderBy("n", "c")) - 1).groupBy("file", F.floor(F.col("q") / width).cast("int").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "x"))), lambda s: s["x"]).alias("p"))
+    v, f = v_ply.unionByName(flat("v", 3)), f_ply.unionByName(flat("f", 4))
+    whole = lambda k: F.col("p")[k].cast("int")
+    return v.select("file", F.col("at").alias("id"), num(0).alias("x"), num(1).alias("y"), num(2).alias("z")), f.select("file", F.col("at").alias("id"), whole(1).alias("v0"), whole(2).alias("v1"), whole(3).alias("v2"))
