@@ -8,9 +8,10 @@ Set-relation skipping keeps the work near linear without losing a link:
   the live sets. Passages that many documents share do not make a document live.
 * Live sets index only a prefix of their shingles, rare ones first; two similar sets meet in a prefix. Index entries
   carry positions, and pairs whose positions or sizes rule out enough overlap are skipped.
-* Within an index list all sets are first checked against one leader. From the overlaps with the leader follow bounds
-  for all other pairs: |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). Pairs below the bound, or already in
-  one group, are answered without being computed; the rest are.
+* Within an index list all sets are first checked against one leader p, the set with the largest share of shingles that
+  other sets hold. From the overlaps with the leader follow bounds for all other pairs: |x & y| <= min(|x & p|, |y & p|)
+  + min(m(x) - |x & p|, m(y) - |y & p|), where m counts a set's shingles that some other live set holds. Pairs below the
+  bound, or already in one group, are answered without being computed; the rest are.
 """
 
 from __future__ import annotations
@@ -76,15 +77,29 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def shared_counts(docs: DataFrame, width: int, buckets: int, block: int = 1 << 20) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+    for batch in batches:
+        ids, sets = batch.column(0).to_pylist(), [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+        i = 0
+        while i < len(ids):
+            j, total = i + 1, len(sets[i])
+            while j < len(ids) and total + len(sets[j]) <= most:
+                total, j = total + len(sets[j]), j + 1
+            yield ids[i:j], sets[i:j]
+            i = j
+
+
+def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int = 1 << 20) -> DataFrame:
     """doc_id, shared: how many of a document's shingles also occur in another row (documents without any may be missing).
 
+    docs holds (doc_id, text), or with width None (doc_id, shingles) as packed_sets gives them.
+
     Documents are packed in blocks. A hash found twice in a block is credited at once and sent as a marker; others are
     sent with their place in the block. So a hash costs one entry per block, however many documents hold it.
     """
 
     def send(batches):
-        for ids, sets in _sets(batches, width, block):
+        for ids, sets in _packed(batches) if width is None else _sets(batches, width, block):
             if not (total := sum(map(len, sets))):
                 continue
             h = np.concatenate(sets)
@@ -187,13 +202,13 @@ def sketch(live: DataFrame, bits: int) -> np.ndarray:
 
 
 def index_entries(live: DataFrame, rarity, similarity: Fraction, bits: int) -> DataFrame:
-    """h, doc, n, at, own: the prefix of each live set in order of rarity; own is its share of shingles that no other set seems to hold."""
+    """h, doc, n, at, m: the prefix of each live set in order of rarity; at is the place in it."""
 
     def run(batches):
         counts = rarity.value
         for batch in batches:
-            cols = {k: [] for k in ("h", "doc", "n", "at", "own")}
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cols = {k: [] for k in ("h", "doc", "n", "at", "m")}
+            for doc, blob, m in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 s = np.frombuffer(blob, U)
                 c = counts[(s & U((1 << bits) - 1)).astype(np.int64)]
                 order = np.lexsort((s, c))
@@ -203,11 +218,11 @@ def index_entries(live: DataFrame, rarity, similarity: Fraction, bits: int) -> D
                 cols["doc"].append(np.full(len(pick), doc, np.int64))
                 cols["n"].append(np.full(len(pick), len(s), np.int64))
                 cols["at"].append(np.arange(len(pick), dtype=np.int64))
-                cols["own"].append(np.full(len(pick), (c <= 1).mean()))
+                cols["m"].append(np.full(len(pick), m, np.int64))
             if cols["h"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in cols.values()], list(cols))
 
-    return live.select("doc_id", "shingles").mapInArrow(run, "h long, doc long, n long, at long, own double")
+    return live.select("doc_id", "shingles", "m").mapInArrow(run, "h long, doc long, n long, at long, m long")
 
 
 def overlaps(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -245,7 +260,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enough = F.col("shared") * similarity.denominator >= F.col("n") * similarity.numerator
     live_ids = shared.join(marks.where("n > 0").distinct(), "doc_id").where(enough)
     live_ids = keep(live_ids.join(copies, key, "left").where("rep is null or rep = doc_id").select("doc_id").distinct())
-    live = keep(packed_sets(d.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
+    packed = keep(packed_sets(d.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
+    among = shared_counts(packed.select("doc_id", "shingles"), None, buckets).withColumnRenamed("shared", "m")
+    live = keep(packed.join(among.hint("merge"), "doc_id").where(F.col("m") * similarity.denominator >= F.col("n") * similarity.numerator))
     rarity = spark.sparkContext.broadcast(sketch(live, bits))
     entries = keep(index_entries(live, rarity, similarity, bits))
     p, q = similarity.numerator, similarity.denominator
@@ -256,26 +273,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def enough_of(x, na, nb):
         return x * (p + q) >= need(na, nb)
 
-    leaders = entries.groupBy("h").agg(F.min(F.struct("own", "doc", "n", "at")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    leaders = keep(leaders.select("h", F.col("l.doc").alias("a"), F.col("l.n").alias("la"), F.col("l.at").alias("lat")))
+    leaders = entries.groupBy("h").agg(F.min(F.struct((-F.col("m") / F.col("n")).alias("rank"), "doc")).alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    leaders = keep(leaders.select("h", F.col("l.doc").alias("a")))
     led = entries.join(leaders, "h").where("doc <> a")
-    reach = F.least(F.col("n") - F.col("at"), F.col("la") - F.col("lat")) + F.least("at", "lat")
-    first = led.where(enough_of(reach, F.col("n"), F.col("la"))).select("a", F.col("doc").alias("b")).distinct()
+    first = led.select("a", F.col("doc").alias("b")).distinct()
     seen = keep(overlaps(first, live))
     is_link = enough_of(F.col("both"), F.col("na"), F.col("nb"))
     links = seen.where(is_link).select("a", "b")
     group = keep(components(links))
     # Lists whose sets are not yet in one group: every pair across groups that the leader's overlaps do not rule out.
-    led = led.join(seen.select("a", F.col("b").alias("doc"), "both"), ["a", "doc"], "left")  # null: ruled out by position, so overlap is unknown
+    led = led.join(seen.select("a", F.col("b").alias("doc"), "both").distinct(), ["a", "doc"])
     member = led.join(group.select(F.col("id").alias("doc"), F.col("component").alias("g")), "doc", "left")
-    member = member.select("h", "doc", "n", "at", "la", "both", F.coalesce("g", "doc").alias("g"), "a")
+    member = member.select("h", "doc", "n", "at", "m", "both", F.coalesce("g", "doc").alias("g"), "a")
     member = member.join(group.select(F.col("id").alias("a"), F.col("component").alias("lg")), "a", "left").withColumn("lg", F.coalesce("lg", "a"))
     member = keep(member)
-    odd = member.where("g <> lg").select("h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("both").alias("ox"), F.col("g").alias("gx"))
-    other = member.select("h", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("both").alias("oy"), F.col("g").alias("gy"), (F.col("g") == F.col("lg")).alias("main"))
+    odd = member.where("g <> lg").select("h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("both").alias("ox"), F.col("m").alias("mx"), F.col("g").alias("gx"))
+    other = member.select("h", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("both").alias("oy"), F.col("m").alias("my"), F.col("g").alias("gy"), (F.col("g") == F.col("lg")).alias("main"))
     by_place = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) + F.least("atx", "aty")
-    by_leader = F.least("ox", "oy") + F.least(F.col("nx") - F.col("ox"), F.col("ny") - F.col("oy"))
-    able = enough_of(F.least(by_place, F.coalesce(by_leader, by_place)), F.col("nx"), F.col("ny"))
+    by_leader = F.least("ox", "oy") + F.least(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy"))
+    able = enough_of(F.least(by_place, by_leader), F.col("nx"), F.col("ny"))
     rest = odd.join(other, (odd["h"] == other["h"]) & (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))) & able)
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = keep(overlaps(rest, live).where(is_link).select("a", "b"))
