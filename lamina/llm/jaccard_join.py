@@ -261,7 +261,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live_ids = shared.join(marks.where("n > 0").distinct(), "doc_id").where(enough)
     live_ids = keep(live_ids.join(copies, key, "left").where("rep is null or rep = doc_id").select("doc_id").distinct())
     packed = keep(packed_sets(d.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
-    among = shared_counts(packed.select("doc_id", "shingles"), None, buckets).withColumnRenamed("shared", "m")
+    live_total = packed.agg(F.sum("n")).first()[0] or 0
+    among = shared_counts(packed.select("doc_id", "shingles"), None, max(8, -(-live_total // bucket_rows))).withColumnRenamed("shared", "m")
     live = keep(packed.join(among.hint("merge"), "doc_id").where(F.col("m") * similarity.denominator >= F.col("n") * similarity.numerator))
     rarity = spark.sparkContext.broadcast(sketch(live, bits))
     entries = keep(index_entries(live, rarity, similarity, bits))
