@@ -1,7 +1,8 @@
 """Licence scans: ordered signature rules behind a keyword prefilter, with priority and interval containment.
 
 Texts are brought to one form (words in lower case, one space before each) in which a rule is a regular expression
-over words. Texts without any of a few gate words are done at once; the others try only rules whose keyword they hold.
+over words. Strings that every match of a rule holds are read off the rule itself: a text that holds none of the gates
+made from them is done at once, the others try only rules all of whose strings they hold. Neither can lose a match.
 Detections are word intervals: one that lies inside another is suppressed, and of equal intervals the rule that comes
 first (higher priority) stays. All of it is built-in functions on one row; nothing is shuffled.
 """
@@ -17,62 +18,62 @@ from .common import lower_ascii
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: A text without one of these has no detection.
+#: Gates that serve many rules; gates() adds one for each rule that can match a text without any of these.
 GATES = ("licen", " spdx", " public domain", "copyleft", " rights reserved", " gpl", " lgpl", " agpl", " creativecommons")
 
-#: Label; name as words (regex); keyword that any match holds; versions (regex, empty: none); SPDX words.
+#: Label; name as words (regex); versions (regex, empty: none); SPDX words.
 FAMILIES = (
-    ("mit", "mit", "mit", "", "mit"),
-    ("mit-0", "mit no attribution", "attribution", "", "mit 0"),
-    ("apache", "apache(?: software)?", "apache", "1 0|1 1|2 0|2", "apache"),
-    ("gpl", "(?:gnu )?general public", "general", "1|2|3|1 0|2 0|3 0", "gpl"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "general", "2|2 0|2 1|3|3 0", "lgpl"),
-    ("agpl", "(?:gnu )?affero general public", "affero", "1|1 0|3|3 0", "agpl"),
-    ("gfdl", "(?:gnu )?free documentation", "documentation", "1 1|1 2|1 3", "gfdl"),
-    ("bsd", "(?:(?:new|modified|simplified|revised|2 clause|3 clause|4 clause) )?bsd", "bsd", "2 clause|3 clause|4 clause", "bsd"),
-    ("0bsd", "zero clause bsd", "bsd", "", "0bsd"),
-    ("isc", "isc", "isc", "", "isc"),
-    ("mpl", "mozilla public", "mozilla", "1 0|1 1|2 0", "mpl"),
-    ("epl", "eclipse public", "eclipse", "1 0|2 0", "epl"),
-    ("edl", "eclipse distribution", "eclipse", "1 0", "edl"),
-    ("cddl", "common development and distribution", "development", "1 0|1 1", "cddl"),
-    ("cpl", "common public", "common", "1 0", "cpl"),
-    ("cpal", "common public attribution", "attribution", "1 0", "cpal"),
-    ("ipl", "ibm public", "ibm", "1 0", "ipl"),
-    ("eupl", "european union public", "european", "1 0|1 1|1 2", "eupl"),
-    ("artistic", "artistic", "artistic", "1 0|2 0", "artistic"),
-    ("zlib", "zlib(?: libpng)?", "zlib", "", "zlib"),
-    ("bsl", "boost software", "boost", "1 0", "bsl"),
-    ("busl", "business source", "business", "1 1", "busl"),
-    ("python", "python software foundation", "python", "2|2 0", "psf"),
-    ("php", "php", "php", "3 0|3 01", "php"),
-    ("ruby", "ruby", "ruby", "", "ruby"),
-    ("perl", "perl", "perl", "", "perl"),
-    ("unlicense", "unlicense", "unlicense", "", "unlicense"),
-    ("wtfpl", "do what the fuck you want to public", "public", "2", "wtfpl"),
-    ("ofl", "(?:sil )?open font", "font", "1 0|1 1", "ofl"),
-    ("odbl", "open (?:data commons open )?database", "database", "1 0", "odbl"),
-    ("osl", "open software", "software", "1 0|2 0|2 1|3 0", "osl"),
-    ("afl", "academic free", "academic", "1 2|2 0|2 1|3 0", "afl"),
-    ("ecl", "educational community", "educational", "1 0|2 0", "ecl"),
-    ("ms-pl", "microsoft public", "microsoft", "", "ms pl"),
-    ("ms-rl", "microsoft reciprocal", "microsoft", "", "ms rl"),
-    ("ncsa", "university of illinois(?: ncsa)?(?: open source)?", "illinois", "", "ncsa"),
-    ("upl", "universal permissive", "permissive", "1 0", "upl"),
-    ("openssl", "openssl", "openssl", "", "openssl"),
-    ("postgresql", "postgresql", "postgresql", "", "postgresql"),
-    ("cecill", "cecill(?: free software)?", "cecill", "1 0|1 1|2 0|2 1", "cecill"),
-    ("mulan", "mulan (?:permissive|psl)(?: software)?", "mulan", "1|2", "mulanpsl"),
-    ("sspl", "server side public", "server", "1", "sspl"),
-    ("elastic", "elastic", "elastic", "2 0", "elastic"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|(?:creative commons )?attribution non ?commercial share ?alike)", " n", "1 0|2 0|2 5|3 0|4 0", "cc by nc sa"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?)", " n", "2 0|2 5|3 0|4 0", "cc by nc nd"),
-    ("cc-by-nc", "(?:cc by nc|(?:creative commons )?attribution non ?commercial)", " n", "1 0|2 0|2 5|3 0|4 0", "cc by nc"),
-    ("cc-by-nd", "(?:cc by nd|(?:creative commons )?attribution no ?deriv(?:ative)?s?(?: works)?)", " n", "1 0|2 0|2 5|3 0|4 0", "cc by nd"),
-    ("cc-by-sa", "(?:cc by sa|(?:creative commons )?attribution share ?alike)", "sa", "1 0|2 0|2 5|3 0|4 0", "cc by sa"),
-    ("cc-by", "(?:cc by|creative commons attribution)", " cc", "1 0|2 0|2 5|3 0|4 0", "cc by"),
-    ("cc0", "(?:cc0|creative commons zero)", " c", "1 0", "cc0"),
-    ("proprietary", "proprietary", "proprietary", "", "licenseref proprietary"),
+    ("mit", "mit", "", "mit"),
+    ("mit-0", "mit no attribution", "", "mit 0"),
+    ("apache", "apache(?: software)?", "1 0|1 1|2 0|2", "apache"),
+    ("gpl", "(?:gnu )?general public", "1|2|3|1 0|2 0|3 0", "gpl"),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "2|2 0|2 1|3|3 0", "lgpl"),
+    ("agpl", "(?:gnu )?affero general public", "1|1 0|3|3 0", "agpl"),
+    ("gfdl", "(?:gnu )?free documentation", "1 1|1 2|1 3", "gfdl"),
+    ("bsd", "(?:(?:new|modified|simplified|revised|2 clause|3 clause|4 clause) )?bsd", "2 clause|3 clause|4 clause", "bsd"),
+    ("0bsd", "zero clause bsd", "", "0bsd"),
+    ("isc", "isc", "", "isc"),
+    ("mpl", "mozilla public", "1 0|1 1|2 0", "mpl"),
+    ("epl", "eclipse public", "1 0|2 0", "epl"),
+    ("edl", "eclipse distribution", "1 0", "edl"),
+    ("cddl", "common development and distribution", "1 0|1 1", "cddl"),
+    ("cpl", "common public", "1 0", "cpl"),
+    ("cpal", "common public attribution", "1 0", "cpal"),
+    ("ipl", "ibm public", "1 0", "ipl"),
+    ("eupl", "european union public", "1 0|1 1|1 2", "eupl"),
+    ("artistic", "artistic", "1 0|2 0", "artistic"),
+    ("zlib", "zlib(?: libpng)?", "", "zlib"),
+    ("bsl", "boost software", "1 0", "bsl"),
+    ("busl", "business source", "1 1", "busl"),
+    ("python", "python software foundation", "2|2 0", "psf"),
+    ("php", "php", "3 0|3 01", "php"),
+    ("ruby", "ruby", "", "ruby"),
+    ("perl", "perl", "", "perl"),
+    ("unlicense", "unlicense", "", "unlicense"),
+    ("wtfpl", "do what the fuck you want to public", "2", "wtfpl"),
+    ("ofl", "(?:sil )?open font", "1 0|1 1", "ofl"),
+    ("odbl", "open (?:data commons open )?database", "1 0", "odbl"),
+    ("osl", "open software", "1 0|2 0|2 1|3 0", "osl"),
+    ("afl", "academic free", "1 2|2 0|2 1|3 0", "afl"),
+    ("ecl", "educational community", "1 0|2 0", "ecl"),
+    ("ms-pl", "microsoft public", "", "ms pl"),
+    ("ms-rl", "microsoft reciprocal", "", "ms rl"),
+    ("ncsa", "university of illinois(?: ncsa)?(?: open source)?", "", "ncsa"),
+    ("upl", "universal permissive", "1 0", "upl"),
+    ("openssl", "openssl", "", "openssl"),
+    ("postgresql", "postgresql", "", "postgresql"),
+    ("cecill", "cecill(?: free software)?", "1 0|1 1|2 0|2 1", "cecill"),
+    ("mulan", "mulan (?:permissive|psl)(?: software)?", "1|2", "mulanpsl"),
+    ("sspl", "server side public", "1", "sspl"),
+    ("elastic", "elastic", "2 0", "elastic"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|(?:creative commons )?attribution non ?commercial share ?alike)", "1 0|2 0|2 5|3 0|4 0", "cc by nc sa"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?)", "2 0|2 5|3 0|4 0", "cc by nc nd"),
+    ("cc-by-nc", "(?:cc by nc|(?:creative commons )?attribution non ?commercial)", "1 0|2 0|2 5|3 0|4 0", "cc by nc"),
+    ("cc-by-nd", "(?:cc by nd|(?:creative commons )?attribution no ?deriv(?:ative)?s?(?: works)?)", "1 0|2 0|2 5|3 0|4 0", "cc by nd"),
+    ("cc-by-sa", "(?:cc by sa|(?:creative commons )?attribution share ?alike)", "1 0|2 0|2 5|3 0|4 0", "cc by sa"),
+    ("cc-by", "(?:cc by|creative commons attribution)", "1 0|2 0|2 5|3 0|4 0", "cc by"),
+    ("cc0", "(?:cc0|creative commons zero)", "1 0", "cc0"),
+    ("proprietary", "proprietary", "", "licenseref proprietary"),
 )
 
 #: Fixed values of the phrase templates: confidence, and words around {n} (name) and {v} (version); {l} is the word licence.
@@ -85,26 +86,26 @@ TEMPLATES = (
     (0.8, "{n}(?: (?:{v}))? {l}"),
 )
 LICENCE = "licen[sc]es?"
-#: Other signatures: label, confidence, keyword, words.
+#: Other signatures: label, confidence, words.
 SINGLE = (
-    ("public-domain", 0.8, "domain", "(?:dedicated to|released into|in|into) the public domain"),
-    ("all-rights-reserved", 0.6, "reserved", "all rights reserved"),
-    ("mit", 0.9, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", 0.9, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("zlib", 0.9, "implied", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("boost", 0.9, "boost", "boost software license version 1 0 17 august 2003"),
-    ("apache", 0.9, "apache", "www apache org licenses license 2 0"),
-    ("gpl", 0.9, "gnu", "www gnu org licenses gpl(?: 2 0| 3 0)?(?: html| txt)?"),
-    ("lgpl", 0.9, "gnu", "www gnu org licenses lgpl(?: 2 1| 3 0)?(?: html| txt)?"),
-    ("agpl", 0.9, "gnu", "www gnu org licenses agpl(?: 3 0)?(?: html| txt)?"),
-    ("cc-by", 0.9, "creativecommons", "creativecommons org licenses by [1-4] [05]"),
-    ("cc-by-sa", 0.9, "creativecommons", "creativecommons org licenses by sa [1-4] [05]"),
-    ("cc-by-nc", 0.9, "creativecommons", "creativecommons org licenses by nc [1-4] [05]"),
-    ("cc0", 0.9, "creativecommons", "creativecommons org publicdomain zero 1 0"),
-    ("gpl", 0.8, "gpl", "gplv?[123](?: or later)?"),
-    ("lgpl", 0.8, "lgpl", "lgplv?[23](?: 1)?(?: or later)?"),
-    ("agpl", 0.8, "agpl", "agplv?3(?: or later)?"),
+    ("public-domain", 0.8, "(?:dedicated to|released into|in|into) the public domain"),
+    ("all-rights-reserved", 0.6, "all rights reserved"),
+    ("mit", 0.9, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsd", 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("isc", 0.9, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", 0.9, "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("boost", 0.9, "boost software license version 1 0 17 august 2003"),
+    ("apache", 0.9, "www apache org licenses license 2 0"),
+    ("gpl", 0.9, "www gnu org licenses gpl(?: 2 0| 3 0)?(?: html| txt)?"),
+    ("lgpl", 0.9, "www gnu org licenses lgpl(?: 2 1| 3 0)?(?: html| txt)?"),
+    ("agpl", 0.9, "www gnu org licenses agpl(?: 3 0)?(?: html| txt)?"),
+    ("cc-by", 0.9, "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", 0.9, "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nc", 0.9, "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc0", 0.9, "creativecommons org publicdomain zero 1 0"),
+    ("gpl", 0.8, "gplv?[123](?: or later)?"),
+    ("lgpl", 0.8, "lgplv?[23](?: 1)?(?: or later)?"),
+    ("agpl", 0.8, "agplv?3(?: or later)?"),
 )
 
 
@@ -112,19 +113,92 @@ SINGLE = (
 class Rule:
     label: str
     confidence: float
-    keyword: str
     pattern: str
 
 
+Groups = list[tuple[str, ...]]
+
+
+def needs(pattern: str) -> Groups:
+    """Groups of strings read off a pattern: ' match ' holds a string of every group, whatever way it matches.
+
+    Patterns are literals, sets [..], alternatives (?:..|..) and the sign ? after any of them; other signs are refused.
+    """
+    text = f" {pattern} "
+
+    def sequence(i: int) -> tuple[Groups, int]:
+        groups, run = [], ""
+        while i < len(text) and text[i] not in "|)":
+            inner: Groups = []
+            literal = ""
+            if text.startswith("(?:", i):
+                inner, i = alternatives(i + 3)
+            elif text[i] == "[":
+                i = text.index("]", i) + 1
+            elif text[i].isalnum() or text[i] == " ":
+                literal, i = text[i], i + 1
+            else:
+                raise ValueError(f"{text[i]!r} in {pattern!r}")
+            maybe = text[i : i + 1] == "?"
+            i += maybe
+            if literal and not maybe:
+                run += literal
+            else:
+                groups, run = [*groups, (run,), *([] if maybe else inner)], ""
+        return [g for g in [*groups, (run,)] if all(g)], i
+
+    def alternatives(i: int) -> tuple[Groups, int]:
+        ways = []
+        while True:
+            groups, i = sequence(i)
+            ways.append(groups)
+            if text[i] == ")":
+                break
+            i += 1
+        if len(ways) == 1:
+            return ways[0], i + 1
+        return ([tuple(x for w in ways for x in max(w, key=shortest))] if all(ways) else []), i + 1
+
+    groups, end = sequence(0)
+    if end < len(text):
+        raise ValueError(f"alternatives outside (?:..) in {pattern!r}")
+    return groups
+
+
+def shortest(group: tuple[str, ...]) -> int:
+    return min(map(len, group))
+
+
+def gated(group: tuple[str, ...], words: tuple[str, ...]) -> bool:
+    """Whether every string of the group holds one of the words."""
+    return all(any(w in x for w in words) for x in group)
+
+
+def gates(table: list[Rule]) -> tuple[str, ...]:
+    """Strings of which every match of every rule holds one."""
+    out = GATES
+    for groups in (needs(r.pattern) for r in table):
+        if not any(gated(g, out) for g in groups):
+            out += max(groups, key=shortest)
+    return out
+
+
+def keywords(r: Rule) -> Groups:
+    """The groups of a rule that are worth a look: those of three letters or more, gates last, the longest first."""
+    groups = needs(r.pattern)
+    long = [g for g in groups if shortest(g) >= 3] or [max(groups, key=shortest)]
+    return sorted(long, key=lambda g: (gated(g, GATES), -shortest(g)))
+
+
 def rules() -> list[Rule]:
     """All rules in order of priority: SPDX tags, then each family's templates from the most to the least exact, then single signatures."""
-    out = [Rule(x, 1.0, " spdx ", f"spdx license identifier {tag}(?: (?:{v}))?(?: only| or later)?") for x, _, _, v, tag in FAMILIES]
+    out = [Rule(x, 1.0, f"spdx license identifier {tag}(?: (?:{v}))?(?: only| or later)?") for x, _, v, tag in FAMILIES]
     for confidence, words in TEMPLATES:
-        for x, name, keyword, versions, _ in FAMILIES:
+        for x, name, versions, _ in FAMILIES:
             if "(?:{v})" in words and not versions and "?: {v}" not in words and not words.endswith(")?"):
                 continue
-            out.append(Rule(x, confidence, keyword, words.replace("{n}", name).replace("{l}", LICENCE).replace("{v}", versions or "0")))
-    return out + [Rule(x, c, k, w) for x, c, k, w in SINGLE]
+            out.append(Rule(x, confidence, words.replace("{n}", name).replace("{l}", LICENCE).replace("{v}", versions or "0")))
+    return out + [Rule(x, c, w) for x, c, w in SINGLE]
 
 
 def spaced(text: Column) -> Column:
@@ -166,8 +240,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for i, phrase in enumerate(BASE):
         here = F.contains("norm", F.lit(f" {phrase} "))
         pieces.append(F.when(here, F.split("norm", f" {phrase}(?= )", -1)).alias(f"p{i}"))
+    table = rules()
     gate = F.lit(False)
-    for g in GATES:
+    for g in gates(table):
         gate = gate | F.contains("norm", F.lit(g))
     d = d.select("*", *pieces, gate.alias("gate"))
     count = [F.coalesce(F.size(f"p{i}") - 1, F.lit(0)) for i in range(len(BASE))]
@@ -175,9 +250,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     firsts = [spaces(F.get(f"p{i}", F.lit(0))) for i in range(len(BASE))]
     lasts = [F.col("n_words") + 1 - len(p.split()) - spaces(F.element_at(f"p{i}", -1)) for i, p in enumerate(BASE)]
     base = F.array_compact(F.array(*[F.when(F.col(f"p{i}").isNotNull(), F.lit(x)) for i, x in enumerate(BASE.values())]))
-    table = rules()
-    literal = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("c"), F.lit(r.keyword).alias("k"), F.lit(r.pattern).alias("p")) for i, r in enumerate(table)])
-    tried = F.filter(literal, lambda r: F.contains(F.col("norm"), r["k"]))
+    literal = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("c"), F.array(*[F.array(*map(F.lit, g)) for g in keywords(r)]).alias("k"), F.lit(r.pattern).alias("p")) for i, r in enumerate(table)])
+    tried = F.filter(literal, lambda r: F.forall(r["k"], lambda g: F.exists(g, lambda x: F.contains(F.col("norm"), x))))
     found = F.flatten(
         F.transform(
             tried,

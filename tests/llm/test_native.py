@@ -1,6 +1,7 @@
 """Native operators against brute force on a small fixture and on the small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +90,49 @@ def test_license_rules(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def sentences(pattern, n, rnd):
+    """The shortest text that a rule's pattern matches, and n others at random."""
+    from re import _parser
+
+    def say(nodes, pick):
+        out = ""
+        for kind, x in nodes:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(x)
+            elif kind == "IN":
+                one = pick(x)
+                out += chr(one[1] if str(one[0]) == "LITERAL" else pick(range(one[1][0], one[1][1] + 1)))
+            elif kind == "BRANCH":
+                out += say(pick(x[1]), pick)
+            elif kind == "SUBPATTERN":
+                out += say(x[3], pick)
+            else:
+                assert kind == "MAX_REPEAT" and x[:2] == (0, 1)
+                out += say(x[2], pick) if pick((False, True)) else ""
+        return out
+
+    tree = _parser.parse(pattern)
+    return [say(tree, lambda a: a[0])] + [say(tree, rnd.choice) for _ in range(n)]
+
+
+def test_license_prefilter_loses_nothing(spark):
+    """The scan of sentences planted for each rule, against all rules without any prefilter."""
+    rnd = random.Random(7)
+    table_ = license_scan.rules()
+    texts = [f"so {t} it is" for r in table_ for t in sentences(r.pattern, 3, rnd)]
+    texts += ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under MIT.", "licensed under Creative Commons Attribution 4.0", "released into the public domain"]
+    whole = [re.compile(f" (?:{r.pattern})(?= )") for r in table_]
+    want = {}
+    for i, t in enumerate(texts):
+        norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))) + " "
+        hits = sorted((norm[: m.start()].count(" "), -norm[: m.end()].count(" "), k) for k, p in enumerate(whole) for m in p.finditer(norm))
+        want[i] = [(k, s, -e) for j, (s, e, k) in enumerate(hits) if not any(-y >= -e for _, y, _ in hits[:j])]
+    assert all(want.values())
+    got = {r.doc_id: [(x.rule, x.s, x.e) for x in r.detections] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [texts[i] for i in want if got[i] != want[i]] == []
+
+
 def test_mix(docs):
     data = docs.select("doc_id", "text", "source").collect()
     size = defaultdict(int)
