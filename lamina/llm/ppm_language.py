@@ -3,25 +3,32 @@
 For each language a variable-order context tree (up to three preceding bytes) holds counts from all training texts.
 The cost of a byte is -log2 of its probability in the longest context known to the language, after escapes (method C:
 an escape has the weight of the number of distinct bytes seen in the context) down to the empty context and then to
-1/256. Statistics are frozen, so a byte's cost under every language is one row of a table; a text is given to the
-language with the shortest code.
+1/256. Statistics are frozen, so a byte's costs depend on itself and the three bytes before it (a 4-gram); a text is
+given to the language with the shortest code.
 
-Counting is a Spark aggregation of byte 4-grams. The tree that is broadcast has a fixed bound: the most frequent
-contexts, at most `cells` table entries.
+Counting is a Spark aggregation of byte 4-grams; no count of any language is left out. Costs of contexts up to one byte
+are a table of fixed size. Costs of the 4-grams that are most frequent in training are broadcast; all other 4-grams of
+the texts meet the full counts in buckets of their two middle bytes, which hold all that their costs need. Which
+4-grams are broadcast sets the traffic only: costs are whole multiples of UNIT bits, so sums do not depend on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, chunks
+from .common import keep
 
 NO_LANGUAGE = "und"
+UNIT = 2.0**-20  # bits
+HOT = 65_536  # 4-grams whose costs are broadcast
 
 
 def history(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -55,9 +62,7 @@ def grams(train: DataFrame, most_groups: int = 2_000_000) -> DataFrame:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for i, j, offs, buf in chunks(batch):
-                low = ASCII_LOWER[buf]
-                p1, p2, p3 = history(low, offs)
-                code = (p3.astype(np.uint32) << 24) | (p2.astype(np.uint32) << 16) | (p1.astype(np.uint32) << 8) | low
+                code = codes(buf, offs)
                 who = np.array([names.setdefault(x, len(names)) for x in langs[i:j]], np.int64)
                 for k in np.unique(who):
                     u, n = np.unique(code[np.repeat(who == k, np.diff(offs))], return_counts=True)
@@ -74,108 +79,197 @@ def grams(train: DataFrame, most_groups: int = 2_000_000) -> DataFrame:
     return train.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def codes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The 4-gram that ends at each byte of texts, lower-cased."""
+    low = ASCII_LOWER[buf]
+    p1, p2, p3 = history(low, offs)
+    return (p3.astype(np.uint32) << 24) | (p2.astype(np.uint32) << 16) | (p1.astype(np.uint32) << 8) | low
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by the two middle bytes: contexts of two and three bytes and their counts are in one bucket."""
+    return (((gram.astype(np.int64) >> 8) * 40503) & 0xFFFF) * buckets >> 16
+
+
 class Trees:
-    """The languages' context trees as one table of costs in bits: rows are (deepest known context, byte), columns languages."""
-
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int) -> None:
-        self.langs = langs
-        nl = len(langs)
-        seen = np.zeros(256, bool)
-        for k in range(4):
-            seen[(gram >> (8 * k)) & 255] = True
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, seen.sum() + 1)
-        size = self.size = int(seen.sum()) + 1
-        s0, s1, s2, s3 = (self.symbol[(gram >> (8 * k)) & 255] for k in range(4))
-        costs = np.full((size, nl), 8.0)  # 1/256 for every byte
-        costs = self._deeper(np.zeros(1, np.int64), np.zeros(len(gram), np.int64), s0, lang, n, costs[None], np.zeros(1, np.int64))
-        node = np.zeros(size**3, np.int32)  # three bytes -> row of the deepest context
-        tables, previous, count = [costs], np.zeros(1, np.int64), 1
-        node3 = np.arange(size**3, dtype=np.int64)
-        for depth, key in enumerate((s1, s2 * size + s1, (s3 * size + s2) * size + s1), 1):
-            u, at = np.unique(key, return_inverse=True)
-            room = max(0, cells // (size * nl) - count)
-            if len(u) > room:
-                weight = np.bincount(at, n)
-                u = np.sort(u[np.argsort(-weight, kind="stable")[:room]])
-            if not len(u):
-                break
-            place = np.minimum(np.searchsorted(u, key), len(u) - 1)
-            ok = u[place] == key
-            above = np.searchsorted(previous, u % size ** (depth - 1))
-            found = previous[np.minimum(above, len(previous) - 1)] == u % size ** (depth - 1)
-            up = np.where(found, np.minimum(above, len(previous) - 1), 0)
-            source = tables[-1] if depth > 1 else costs
-            deeper = self._deeper(u, place[ok], s0[ok], lang[ok], n[ok], source, up)
-            tables.append(deeper)
-            suffix = node3 % size**depth
-            q = np.minimum(np.searchsorted(u, suffix), len(u) - 1)
-            hit = u[q] == suffix
-            node[hit] = count + q[hit]
-            previous, count = u, count + len(u)
-        self.node = node
-        self.costs = np.concatenate(tables).reshape(-1, nl).astype(np.float32)
-
-    def _deeper(self, contexts, at, symbol, lang, n, upper, up) -> np.ndarray:
-        """Costs in each context from its own counts and, after an escape, its parent's costs."""
-        nl, size = len(self.langs), self.size
-        counts = np.zeros((len(contexts), size, nl))
-        np.add.at(counts, (at, symbol, lang), n)
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        known = total > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(known, -np.log2(kinds / (total + kinds)), 0.0)
-            own = -np.log2(counts / (total + kinds))
-        return np.where(counts > 0, own, escape + upper[up])
+    """The languages' context trees as counts by depth: costs in bits of 4-grams, a column for each language.
+
+    below gives the costs of shorter contexts by the 4-gram's last two bytes where the depths do not start at 0. At most
+    `cells` costs are worked out at once.
+    """
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int = 1 << 20, depths: tuple[int, ...] = (0, 1, 2, 3), below: np.ndarray | None = None) -> None:
+        self.langs, self.cells, self.below = langs, cells, below
+        self.depths = []
+        lang, gram = lang.astype(np.int64) << 32, gram.astype(np.int64)
+        for d in depths:
+            key, at = np.unique(lang | (gram & ((1 << 8 * (d + 1)) - 1)), return_inverse=True)
+            count = np.bincount(at, n, len(key))
+            context, at = np.unique((key >> 32 << 32) | ((key & 0xFFFFFFFF) >> 8), return_inverse=True)
+            total, kinds = np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context))
+            own = -np.log2(count / (total + kinds)[at]) if len(key) else count
+            self.depths.append((d, key, own, context, -np.log2(kinds / (total + kinds)) if len(context) else total))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of each 4-gram's last byte after the others: in each context its own cost or, after an escape, its parent's."""
+        out, step = np.empty((len(grams), len(self.langs))), max(1, self.cells // max(1, len(self.langs)))
+        for a in range(0, len(grams), step):
+            g = grams[a : a + step].astype(np.int64)
+            cost = np.full((len(g), len(self.langs)), 8.0) if self.below is None else self.below[g & 0xFFFF]  # 1/256 for every byte
+            for d, key, own, context, escape in self.depths:
+                low = g & ((1 << 8 * (d + 1)) - 1)
+                for k in range(len(self.langs)):
+                    c = cost[:, k] + find(context, escape, low >> 8 | k << 32, 0.0)
+                    cost[:, k] = find(key, own, low | k << 32, c)
+            out[a : a + step] = cost
+        return out
 
     def bits(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Code length of each text under each language."""
-        low = ASCII_LOWER[buf]
-        s = self.symbol[low]
-        p1, p2, p3 = (self.symbol[x] for x in history(low, offs))
-        row = self.node[(p3 * self.size + p2) * self.size + p1].astype(np.int64) * self.size + s
-        out = np.zeros((len(offs) - 1, len(self.langs)))
-        full = np.diff(offs) > 0
+        out, full = np.zeros((len(offs) - 1, len(self.langs))), np.diff(offs) > 0
         if full.any():
-            out[full] = np.add.reduceat(self.costs[row], offs[:-1][full], axis=0, dtype=np.float64)
+            out[full] = np.add.reduceat(self.costs(codes(buf, offs)), offs[:-1][full], axis=0)
         return out
 
 
-def fit(train: DataFrame, cells: int = 1 << 23, most_grams: int = 250_000) -> Trees | None:
-    """Trees from train(text, lang) without nulls. All texts are counted; the most_grams most frequent 4-grams make the trees. None without rows."""
-    rows = grams(train).orderBy(F.desc("n"), "lang", "gram").limit(most_grams).toPandas()
-    if rows.empty:
+def find(keys: np.ndarray, values: np.ndarray, x: np.ndarray, other) -> np.ndarray:
+    """values where sorted keys hold x, else other."""
+    if not len(keys):
+        return np.broadcast_to(other, x.shape)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, values[at], other)
+
+
+def units(bits: np.ndarray) -> np.ndarray:
+    return np.rint(bits / UNIT).astype(np.int32)
+
+
+@dataclass
+class Model:
+    """All counts as a table, and what is broadcast: costs of contexts up to one byte, and of frequent 4-grams."""
+
+    langs: list[str]
+    counts: DataFrame  # bucket, lang (its place in langs), gram, n: every 4-gram of the training texts
+    buckets: int
+    below: np.ndarray  # (last two bytes, language), bits
+    gram: np.ndarray  # frequent 4-grams, sorted
+    cost: np.ndarray  # (4-gram, language), units; a last row of zeros
+
+
+def fit(train: DataFrame, hot: int = HOT, size: int = 0) -> Model | None:
+    """Model of train(text, lang) without nulls: every 4-gram of every language with a byte to learn from. None without any. size: bytes of the texts to be told apart."""
+    sc = train.sparkSession.sparkContext
+    counts = keep(grams(train))
+    low = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # at most 65,536 rows a language
+    if low.empty:
         return None
-    langs = sorted(set(rows.lang))
-    where = {x: i for i, x in enumerate(langs)}
-    return Trees(langs, rows.lang.map(where).to_numpy(np.int64), rows.gram.to_numpy(np.int64), rows.n.to_numpy(np.float64), cells)
+    langs = sorted(set(low.lang))
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    buckets = max(8, -(-int(low.kinds.sum()) // 1_000_000), -(-size // (64 << 20)))
+    where = low.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    below = Trees(langs, where, low.gram.to_numpy(np.int64), low.n.to_numpy(np.float64), depths=(0, 1)).costs(np.arange(1 << 16))
+    bucket = F.shiftright((F.shiftright("gram", 8) * 40503).bitwiseAND(0xFFFF) * buckets, 16).cast("int")  # as bucket_of
+    table = counts.select(bucket.alias("bucket"), place[F.col("lang")].alias("lang"), "gram", "n")
+    top = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(hot).select("gram").toPandas()
+    frequent, known = sc.broadcast(np.sort(top.gram.to_numpy(np.int64))), sc.broadcast(below)
+
+    def cost(rows: pa.Table) -> pa.Table:
+        b = rows.column("bucket")[0].as_py()
+        g = frequent.value[bucket_of(frequent.value, buckets) == b]
+        lang, gram, n = (rows.column(c).to_numpy() for c in ("lang", "gram", "n"))
+        return pa.table({"gram": pa.array([g.tobytes()], pa.binary()), "cost": pa.array([units(Trees(langs, lang, gram, n, depths=(2, 3), below=known.value).costs(g)).tobytes()], pa.binary())})
+
+    rows = table.groupBy("bucket").applyInArrow(cost, "gram binary, cost binary").collect()  # a row for each bucket, `hot` 4-grams in all
+    gram = np.concatenate([np.frombuffer(r["gram"], np.int64) for r in rows])
+    costs = np.concatenate([np.frombuffer(r["cost"], np.int32).reshape(-1, len(langs)) for r in rows])
+    order = np.argsort(gram)
+    return Model(langs, table, buckets, below, gram[order].astype(np.uint32), np.concatenate([costs[order], np.zeros((1, len(langs)), np.int32)]))
+
+
+def code_lengths(d: DataFrame, model: Model) -> DataFrame:
+    """uid, doc_id, letter, size, units of each language (u0, u1, ...) of every row of d(doc_id, text, letter); uid numbers the rows of this run."""
+    sc, langs, buckets = d.sparkSession.sparkContext, model.langs, model.buckets
+    shared = sc.broadcast((model.gram, model.cost))
+    known = sc.broadcast(model.below)
+    names = [f"u{k}" for k in range(len(langs))]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, cost = shared.value
+        cold = len(gram)
+        slot = lambda g: (g * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        first = np.full(1 << 20, max(0, cold - 1), np.int32)
+        first[slot(gram)] = np.arange(cold)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.int64()] * len(langs), pa.binary(), pa.binary(), pa.binary())
+        columns = ["bucket", "uid", "doc_id", "letter", "size", *names, "gram", "who", "uids"]
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for i, j, offs, buf in chunks(batch):
+                code, m, n = codes(buf, offs), j - i, np.diff(offs)
+                at = np.take(first, slot(code)) if cold else np.zeros(len(code), np.int32)
+                miss = np.flatnonzero(gram[at] != code) if cold else np.arange(len(code))
+                at[miss] = find(gram, np.arange(cold), code[miss], cold)
+                out = np.zeros((m, len(langs)), np.int64)
+                full = n > 0
+                if full.any():
+                    out[full] = np.add.reduceat(cost[at], offs[:-1][full], axis=0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((uid[i:j] % buckets).astype(np.int32)), batch.column(0).slice(i, m), batch.column(1).slice(i, m), batch.column(3).slice(i, m), pa.array(n), *[pa.array(out[:, k]) for k in range(len(langs))], *[pa.nulls(m, pa.binary())] * 3], columns)
+                miss = miss[at[miss] == cold]
+                who, rare = np.searchsorted(offs, miss, "right") - 1, code[miss]
+                part = bucket_of(rare, buckets)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero(np.diff(cut)):
+                    x = order[cut[b] : cut[b + 1]]
+                    used, place = np.unique(who[x], return_inverse=True)
+                    rows.append((int(b), *[None] * (4 + len(langs)), rare[x].tobytes(), place.astype(np.uint32).tobytes(), uid[i:j][used].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
 
+    def meet(counts: pa.Table, sent: pa.Table) -> pa.Table:
+        own = sent.filter(pa.compute.is_null(sent.column("gram"))).select(["uid", "doc_id", "letter", "size", *names])
+        packed = sent.filter(pa.compute.is_valid(sent.column("gram"))).select(["gram", "who", "uids"]).to_pylist()
+        if not packed:
+            return own
+        uids = [np.frombuffer(r["uids"], np.int64) for r in packed]
+        at0 = np.cumsum([0, *map(len, uids)])
+        u, at = np.unique(np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in packed]), return_inverse=True)
+        place = np.concatenate([np.frombuffer(r["who"], np.uint32).astype(np.int64) + a for r, a in zip(packed, at0)])
+        lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
+        cost = units(Trees(langs, lang, gram, n, depths=(2, 3), below=known.value).costs(u))
+        # Sums of whole numbers below 2**53 are exact.
+        sums = [pa.array(np.bincount(place, cost[at, k], at0[-1]).astype(np.int64)) for k in range(len(langs))]
+        none = [pa.nulls(at0[-1], t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+        return pa.concat_tables([own, pa.table([pa.array(np.concatenate(uids)), *none, *sums], own.column_names)])
 
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sums = "".join(f", {x} long" for x in names)
+    sent = d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "letter").mapInArrow(send, f"bucket int, uid long, doc_id long, letter boolean, size long{sums}, gram binary, who binary, uids binary")
+    parts = model.counts.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(meet, f"uid long, doc_id long, letter boolean, size long{sums}")
+    return parts.groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "letter", "size")], *[F.sum(x).alias(x) for x in names])
+
+
+def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every row; whole texts.
 
     A null text, a text without a letter, or a train table without rows gives 'und' with score 0. score is the posterior
     of the language under equal priors. Ties go to the first language by code point. Repeated rows come back repeated.
     """
-    clean = train.where("lang is not null and text is not null").select("text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(fit(clean))
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = fit(train.where("lang is not null and text is not null").select("text", "lang"), hot, size)
+    if model is None:
+        return d.select("doc_id", F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    langs = model.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = model.value
         for batch in batches:
-            letters = batch.column(2).to_pylist()
-            for i, j, offs, buf in chunks(batch):
-                pred, score, rate = [NO_LANGUAGE] * (j - i), np.zeros(j - i), np.zeros(j - i)
-                if trees is not None:
-                    bits = trees.bits(buf, offs)
-                    best = bits.argmin(1)
-                    least = bits[np.arange(j - i), best]
-                    ok = np.array(letters[i:j], bool)
-                    pred = [trees.langs[b] if k else NO_LANGUAGE for b, k in zip(best, ok)]
-                    score = np.where(ok, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0)
-                    rate = least / np.maximum(np.diff(offs), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            ok, size = np.array(batch.column("letter").to_pylist(), bool), batch.column("size").to_numpy()
+            all_bits = np.stack([batch.column(f"u{k}").to_numpy() for k in range(len(langs))], 1)
+            best = all_bits.argmin(1)
+            least = all_bits[np.arange(len(best)), best]
+            pred = [langs[b] if k else NO_LANGUAGE for b, k in zip(best, ok)]
+            score = np.where(ok, 1 / np.exp2(np.maximum((least[:, None] - all_bits) * UNIT, -1000)).sum(1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(least * UNIT / np.maximum(size, 1))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter"))
-    return d.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return code_lengths(d, model).drop("uid").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")

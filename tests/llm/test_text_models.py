@@ -117,6 +117,33 @@ def test_language_costs_by_hand():
     assert np.allclose(got, [want], atol=1e-4)
 
 
+def test_language_rare(spark):
+    """A language with 1/1000 of the rows, its letters few, is told; costs use every 4-gram, whichever are broadcast."""
+    rnd = random.Random(4)
+    # Contexts of the common language fill any list of a bounded length; the rare one shares its letters.
+    common = [("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(700)), "aa") for _ in range(3000)]
+    words = ["zhivko", "brulam", "tesqui", "ondrex"]
+    rare = [(" ".join(rnd.choice(words) for _ in range(20)), "zz") for _ in range(3)]
+    train = spark.createDataFrame(common + rare, "text string, lang string")
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(12))) for i in range(20)] + [(i + 100, common[i][0][:300]) for i in range(20)] + [(500, "\u3042 zhivko"), (501, ""), (502, None)]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = [sorted(map(tuple, ppm_language.identify(frame_, train, hot=hot).collect())) for hot in (ppm_language.HOT, 7)]
+    assert runs[0] == runs[1]
+    assert all(r[1] == ("zz" if r[0] < 100 else "aa") for r in runs[0] if r[0] < 500)
+    gram, lang = [], []
+    for t, x in common[:200] + rare:
+        p = b"\0\0\0" + t.encode()
+        gram += [int.from_bytes(p[i : i + 4], "big") for i in range(len(t))]
+        lang += [int(x == "zz")] * len(t)
+    u, n = np.unique(np.array(gram) | (np.array(lang) << 32), return_counts=True)
+    trees = ppm_language.Trees(["aa", "zz"], u >> 32, u & 0xFFFFFFFF, n.astype(float), 1 << 20)
+    small = {r.doc_id: r.bits_per_byte for r in ppm_language.identify(frame_, spark.createDataFrame(common[:200] + rare, "text string, lang string"), hot=50).collect()}
+    for i, t in docs:
+        b = (t or "").encode()
+        want = trees.bits(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].min() / max(1, len(b))
+        assert small[i] == pytest.approx(want, abs=1e-4)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables have some thirty toxic texts to learn from
     labels = table(spark, sf, "labels")
