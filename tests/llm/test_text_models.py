@@ -237,6 +237,24 @@ def test_lm_score(spark, data):
         assert context_mixing.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_mixer_counts_every_text(spark):
+    """The mixer's log odds are those of all training texts, tuned on or not, and do not depend on how rows are split."""
+    from lamina.llm import context_mixing as c
+
+    docs = table(spark, SF, "documents").limit(300).select("doc_id", "text").cache()
+    bits = (12, 14, 14, 14, 16)
+    fit = lambda parts: c.fit_mixer(docs.repartition(parts).select(F.monotonically_increasing_id().alias("uid"), "text", F.lit(True).alias("train"), "doc_id"), bits, 50, 30_000)
+    m, other = fit(1), fit(5)
+    texts = [r.text.encode() for r in docs.collect()]
+    with np.errstate(over="ignore"):
+        s, offs = c.symbols(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        place, node, bit, _ = c.decisions(m.tree, s)
+        for k, ctx in enumerate(c.contexts(s, offs)):
+            n = np.bincount(c.slots(ctx, place, node, m.bits[k]).astype(np.int64) * 2 + bit, minlength=2 << m.bits[k])
+            assert np.allclose(m.stretch[k], np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -8, 8), atol=1e-4)
+    assert np.array_equal(m.weight, other.weight) and all(map(np.array_equal, m.stretch, other.stretch))
+
+
 def test_mixer_probabilities_add_up():
     """Over all next symbols after a text, the mixer's probabilities add up to 1; a long text in segments costs what it costs at once."""
     from lamina.llm import context_mixing as c
