@@ -6,12 +6,14 @@ Set-relation skipping keeps the work near linear without losing a link:
 * A set with a partner shares at least `similarity` of its shingles with other sets. Counting which shingles occur in
   two sets or more (one exchange of packed 48-bit hashes; a hash is sent once per block of documents) leaves only
   the live sets. Passages that many documents share do not make a document live.
-* Live sets index only a prefix of their shingles, rare ones first; two similar sets meet in a prefix. Index entries
-  carry positions, and pairs whose positions or sizes rule out enough overlap are skipped.
-* Within an index list all sets are first checked against one leader p, the set with the largest share of shingles that
-  other sets hold. From the overlaps with the leader follow bounds for all other pairs: |x & y| <= min(|x & p|, |y & p|)
-  + min(m(x) - |x & p|, m(y) - |y & p|), where m counts a set's shingles that some other live set holds. Pairs below the
-  bound, or already in one group, are answered without being computed; the rest are.
+* Live sets index only a prefix of their shingles, rare ones first; two similar sets meet in a prefix. Index lists are
+  cut in blocks by size. If h is the first shingle that two sets share, at place i of the smaller one x, the partner's
+  size is at most (|x| - i) / similarity: x enters only the blocks up to that size, and all others are skipped.
+* Within a block no pair is formed but those with one leader p. From the leader's answers follow all others: |x & y| =
+  |x & y & p| + |(x - p) & (y - p)|, so a pair in different groups that can link either shares a shingle outside p, or
+  both overlaps with p reach the bound, which takes one set that p does not link with and one smaller than p. The next,
+  much shorter lists are therefore p's sets by the rare shingles that they hold besides p's, and its sets of those two
+  kinds; they are treated alike until the pairs left are about as many as their entries. Those are compared one by one.
 """
 
 from __future__ import annotations
@@ -95,7 +97,8 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
     docs holds (doc_id, text), or with width None (doc_id, shingles) as packed_sets gives them.
 
     Documents are packed in blocks. A hash found twice in a block is credited at once and sent as a marker; others are
-    sent with their place in the block. So a hash costs one entry per block, however many documents hold it.
+    sent with their place in the block. So a hash costs one entry per block, however many documents hold it, and the
+    answers of a bucket to a block come back as one row.
     """
 
     def send(batches):
@@ -117,55 +120,65 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
             h, who, many, part = h[order], who[order], many[order], part[order]
             cut = np.searchsorted(part, np.arange(buckets + 1))
             owner = np.array([-1 if x is None else x for x in ids], np.int64)
-            rows = {"bucket": [], "hash": [], "who": [], "ids": [], "credit": []}
+            rows = {"bucket": [], "block": [], "hash": [], "who": [], "ids": [], "credit": []}
+            name = int(h[0].view(np.int64))  # only brings answers together; sums do not depend on it
             for b in np.flatnonzero(np.diff(cut)):
                 x = slice(cut[b], cut[b + 1])
                 packed = h[x] >> U(16)
                 rows["bucket"].append(int(b))
+                rows["block"].append(name)
                 rows["hash"].append((packed >> U(16)).astype(np.uint32).tobytes() + (packed & U(0xFFFF)).astype(np.uint16).tobytes())
                 used, place = np.unique(who[x], return_inverse=True)
                 rows["who"].append(np.where(many[x], np.uint32(0xFFFFFFFF), place.astype(np.uint32)).astype(np.uint32 if len(used) > 65000 else np.uint16).tobytes())
                 rows["ids"].append(owner[used].tobytes())
                 rows["credit"].append(None)
             rows["bucket"].append(int(owner[0]) % buckets)
+            rows["block"].append(name)
             for c in ("hash", "who"):
                 rows[c].append(b"")
             rows["ids"].append(owner[credit > 0].tobytes())
             rows["credit"].append(credit[credit > 0].astype(np.int64).tobytes())
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     def meet(table: pa.Table) -> pa.Table:
-        hashes, places, doc_ids, out_ids, out_n = [], [], [], [], []
-        base = 0
-        for hb, wb, ib, cb in zip(*(table.column(c).to_pylist() for c in ("hash", "who", "ids", "credit"))):
-            own = np.frombuffer(ib, np.int64)
+        out = {"block": [], "ids": [], "shared": []}
+        hashes, places, sent_ids, blocks, base = [], [], [], [], 0
+        for block, hb, wb, ib, cb in zip(*(table.column(c).to_pylist() for c in ("block", "hash", "who", "ids", "credit"))):
             if cb is not None:
-                out_ids.append(own)
-                out_n.append(np.frombuffer(cb, np.int64))
+                for c, v in zip(out, (block, ib, cb)):
+                    out[c].append(v)
                 continue
             n = len(hb) // 6
             hashes.append((np.frombuffer(hb[: 4 * n], np.uint32).astype(U) << U(16)) | np.frombuffer(hb[4 * n :], np.uint16))
             w = np.frombuffer(wb, np.uint16 if len(wb) == 2 * n else np.uint32)
             places.append(np.where(w == np.iinfo(w.dtype).max, -1, w.astype(np.int64) + base))
-            doc_ids.append(own)
-            base += len(own)
+            sent_ids.append(np.frombuffer(ib, np.int64))
+            blocks.append(block)
+            base += len(sent_ids[-1])
         if hashes:
-            h, p, own = np.concatenate(hashes), np.concatenate(places), np.concatenate(doc_ids)
+            h, p = np.concatenate(hashes), np.concatenate(places)
             order = np.argsort(h, kind="stable")
             h, p = h[order], p[order]
             same = h[1:] == h[:-1]
             hit = np.zeros(len(h), bool)
             hit[1:] |= same
             hit[:-1] |= same
-            n = np.bincount(p[hit & (p >= 0)], minlength=len(own))
-            out_ids.append(own[n > 0])
-            out_n.append(n[n > 0].astype(np.int64))
-        ids = np.concatenate(out_ids) if out_ids else np.empty(0, np.int64)
-        return pa.table({"doc_id": ids, "shared": np.concatenate(out_n) if out_n else np.empty(0, np.int64)})
+            n = np.bincount(p[hit & (p >= 0)], minlength=base)
+            for block, ids, part in zip(blocks, sent_ids, np.split(n, np.cumsum([len(x) for x in sent_ids])[:-1])):
+                if part.any():
+                    for c, v in zip(out, (block, ids[part > 0].tobytes(), part[part > 0].astype(np.int64).tobytes())):
+                        out[c].append(v)
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary()))})
 
-    sent = docs.mapInArrow(send, "bucket int, hash binary, who binary, ids binary, credit binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    def add(table: pa.Table) -> pa.Table:
+        ids, shared = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("ids", "shared"))
+        u, at = np.unique(ids, return_inverse=True)
+        return pa.table({"doc_id": u, "shared": np.bincount(at, shared, len(u)).astype(np.int64)})
+
+    sent = docs.mapInArrow(send, "bucket int, block long, hash binary, who binary, ids binary, credit binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "block long, ids binary, shared binary")
+    return met.groupBy("block").applyInArrow(add, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
 def packed_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -201,53 +214,94 @@ def sketch(live: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def index_entries(live: DataFrame, rarity, similarity: Fraction, bits: int) -> DataFrame:
-    """h, doc, n, at, m: the prefix of each live set in order of rarity; at is the place in it."""
+def size_block(n: np.ndarray) -> np.ndarray:
+    """Blocks of sizes, each 15 % wide: never decreasing in n."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.15) + 1e-9).astype(np.int64)
+
+
+def by_rarity(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return s[np.lexsort((s, counts[(s & U(len(counts) - 1)).astype(np.int64)]))]
+
+
+def index_lists(live: DataFrame, rarity, similarity: Fraction) -> DataFrame:
+    """k, doc, n, m: entries of each live set's prefix, in order of rarity, in every block of an index list in which a partner can be."""
+    p, q = similarity.numerator, similarity.denominator
 
     def run(batches):
-        counts = rarity.value
         for batch in batches:
-            cols = {k: [] for k in ("h", "doc", "n", "at", "m")}
+            cols = {k: [] for k in ("k", "doc", "n", "m")}
             for doc, blob, m in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 s = np.frombuffer(blob, U)
-                c = counts[(s & U((1 << bits) - 1)).astype(np.int64)]
-                order = np.lexsort((s, c))
-                need = -(-similarity.numerator * len(s) // similarity.denominator)
-                pick = order[: len(s) - need + 1]
-                cols["h"].append(s[pick].view(np.int64))
-                cols["doc"].append(np.full(len(pick), doc, np.int64))
-                cols["n"].append(np.full(len(pick), len(s), np.int64))
-                cols["at"].append(np.arange(len(pick), dtype=np.int64))
-                cols["m"].append(np.full(len(pick), m, np.int64))
-            if cols["h"]:
+                n = len(s)
+                pick = by_rarity(s, rarity.value)[: n - (-(-p * n // q)) + 1]
+                own = size_block(np.array([n]))[0]
+                more = size_block((n - np.arange(len(pick))) * q // p) - own + 1
+                more = np.maximum(more, 1)
+                block = own + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+                cols["k"].append(mix(np.repeat(pick, more) + block.astype(U) * U(0xA24BAED4963EE407)).view(np.int64))
+                for c, v in (("doc", doc), ("n", n), ("m", m)):
+                    cols[c].append(np.full(len(block), v, np.int64))
+            if cols["k"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in cols.values()], list(cols))
 
-    return live.select("doc_id", "shingles", "m").mapInArrow(run, "h long, doc long, n long, at long, m long")
+    return live.select("doc_id", "shingles", "m").mapInArrow(run, "k long, doc long, n long, m long")
 
 
-def overlaps(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """a, b, na, nb, both: sizes and overlap of pairs of live sets."""
+def compare(pairs: DataFrame, live: DataFrame, similarity: Fraction, rarity=None) -> DataFrame:
+    """a, b, na, nb, m, both, rest: sizes and overlap of pairs of live sets, m of b; with rarity, rest has the prefix of b - a by which b can meet another set outside a."""
+    p, q = similarity.numerator, similarity.denominator
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            x, y = [np.frombuffer(s, U) for s in x], [np.frombuffer(s, U) for s in y]
-            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, list(map(len, x)), list(map(len, y)), both)], ["a", "b", "na", "nb", "both"])
+            a, b, m, x, y = (batch.column(i).to_pylist() for i in range(5))
+            na, nb, both, rest = [], [], [], []
+            for s, t in zip(x, y):
+                s, t = np.frombuffer(s, U), np.frombuffer(t, U)
+                inside = s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t
+                na.append(len(s))
+                nb.append(len(t))
+                both.append(int(inside.sum()))
+                if rarity is not None:  # b and a partner share at least p/q of b, and of that at most `both` inside a
+                    out = by_rarity(t[~inside], rarity.value)
+                    out = out[: len(out) - max(1, -(-p * len(t) // q) - both[-1]) + 1]
+                    rest.append(out.view(np.int64).tolist())
+                else:
+                    rest.append(None)
+            ints = [pa.array(v, pa.int64()) for v in (a, b, na, nb, m, both)]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "m", "both", "rest"])
+
+    left = live.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = live.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), "m")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "m", "x", "y")
+    return both.mapInArrow(run, "a long, b long, na long, nb long, m long, both long, rest array<long>")
+
+
+def open_lists(seen: DataFrame, group: DataFrame, similarity: Fraction) -> DataFrame:
+    """k, doc, n, m, g, o from leaders' answers: lists in which sets of different groups g can still link; o bounds what they share, null: no bound."""
+    p, q = similarity.numerator, similarity.denominator
+    member = seen.join(group.select(F.col("id").alias("b"), F.col("component").alias("g")), "b", "left").withColumn("g", F.coalesce("g", "b"))
+
+    def split(keys: list[str], rows: DataFrame) -> DataFrame:
+        torn = rows.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select(*keys)
+        return rows.join(torn, keys)
 
-    sets = live.select("doc_id", "shingles")
-    p = pairs.join(sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "y"), "b")
-    p = p.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "x"), "a")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, both long")
+    member = keep(split(["a"], member))
+    outside = split(["a", "e"], member.select("a", "b", "nb", "m", "g", F.lit(None).cast("long").alias("o"), F.explode("rest").alias("e")))
+    linked = F.col("both") * (p + q) >= (F.col("na") + F.col("nb")) * p
+    inside = split(["a"], member.where((F.col("both") * q >= F.col("nb") * p) & (~linked | (F.col("nb") < F.col("na")))))
+    inside = inside.select("a", "b", "nb", "m", "g", F.col("both").alias("o"), F.lit(None).cast("long").alias("e"))
+    rows = outside.select(*inside.columns).unionByName(inside)
+    return rows.select(F.xxhash64("a", "e", F.col("e").isNull()).alias("k"), F.col("b").alias("doc"), F.col("nb").alias("n"), "m", "g", "o")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: Fraction = Fraction(3, 4), bits: int = 20, bucket_rows: int = 3_000_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: Fraction = Fraction(3, 4), bits: int = 20, bucket_rows: int = 3_000_000, few: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Words are runs other than \\x20 and \\x09-\\x0D of the A-Z-lower-cased text. Two documents link when overlap >=
     similarity * union (exact, in whole numbers). component_id is the smallest id reachable by links, itself included.
     Null and text without words have the empty set, which links with nothing. Rows that share an id are one document; a
     null id stays null and links with nothing. Repeated rows come back repeated; an empty table gives an empty table.
+    Lists go to further leaders while they hold over `few` pairs an entry; results do not depend on it.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -265,39 +319,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     among = shared_counts(packed.select("doc_id", "shingles"), None, max(8, -(-live_total // bucket_rows))).withColumnRenamed("shared", "m")
     live = keep(packed.join(among.hint("merge"), "doc_id").where(F.col("m") * similarity.denominator >= F.col("n") * similarity.numerator))
     rarity = spark.sparkContext.broadcast(sketch(live, bits))
-    entries = keep(index_entries(live, rarity, similarity, bits))
     p, q = similarity.numerator, similarity.denominator
 
-    def need(na, nb):  # overlap >= s/(1+s) * (na + nb)
-        return (na + nb) * p
-
-    def enough_of(x, na, nb):
-        return x * (p + q) >= need(na, nb)
-
-    leaders = entries.groupBy("h").agg(F.min(F.struct((-F.col("m") / F.col("n")).alias("rank"), "doc")).alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    leaders = keep(leaders.select("h", F.col("l.doc").alias("a")))
-    led = entries.join(leaders, "h").where("doc <> a")
-    first = led.select("a", F.col("doc").alias("b")).distinct()
-    seen = keep(overlaps(first, live))
-    is_link = enough_of(F.col("both"), F.col("na"), F.col("nb"))
-    links = seen.where(is_link).select("a", "b")
-    group = keep(components(links))
-    # Lists whose sets are not yet in one group: every pair across groups that the leader's overlaps do not rule out.
-    led = led.join(seen.select("a", F.col("b").alias("doc"), "both").distinct(), ["a", "doc"])
-    member = led.join(group.select(F.col("id").alias("doc"), F.col("component").alias("g")), "doc", "left")
-    member = member.select("h", "doc", "n", "at", "m", "both", F.coalesce("g", "doc").alias("g"), "a")
-    member = member.join(group.select(F.col("id").alias("a"), F.col("component").alias("lg")), "a", "left").withColumn("lg", F.coalesce("lg", "a"))
-    member = keep(member)
-    odd = member.where("g <> lg").select("h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("both").alias("ox"), F.col("m").alias("mx"), F.col("g").alias("gx"))
-    other = member.select("h", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("both").alias("oy"), F.col("m").alias("my"), F.col("g").alias("gy"), (F.col("g") == F.col("lg")).alias("main"))
-    by_place = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) + F.least("atx", "aty")
-    by_leader = F.least("ox", "oy") + F.least(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy"))
-    able = enough_of(F.least(by_place, by_leader), F.col("nx"), F.col("ny"))
-    rest = odd.join(other, (odd["h"] == other["h"]) & (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))) & able)
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = keep(overlaps(rest, live).where(is_link).select("a", "b"))
-    if more.limit(1).count():
-        group = components(links.unionByName(more))
+    def reaches(x, na, nb):  # overlap >= s/(1+s) * (na + nb)
+        return x * (p + q) >= (na + nb) * p
+
+    is_link = reaches(F.col("both"), F.col("na"), F.col("nb"))
+    lists, links, group, pairs, entries, rounds = keep(index_lists(live, rarity, similarity)), None, None, 1, 0, 0
+    while pairs > (few * entries if rounds else 0) and rounds < 8:
+        best = F.min(F.struct((-F.col("m") / F.col("n")).alias("rank"), (-F.col("n")).alias("size"), "doc"))
+        leaders = lists.groupBy("k").agg(best.alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("k", F.col("l.doc").alias("a"))
+        led = keep(lists.join(leaders, "k").where("doc <> a").select("a", F.col("doc").alias("b")).distinct())
+        seen = keep(compare(led, live, similarity, rarity))
+        new = seen.where(is_link).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        group = keep(components(links))
+        lists = keep(open_lists(seen, group, similarity))
+        c = F.col("c")
+        pairs, entries = lists.groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0)), F.coalesce(F.sum(c), F.lit(0))).first()
+        rounds += 1
+    if pairs:
+        x = lists.select("k", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("o").alias("ox"))
+        y = lists.select(F.col("k").alias("ky"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("o").alias("oy"))
+        able = reaches(F.least("nx", "ny", "ox", "oy"), F.col("nx"), F.col("ny"))
+        left = x.join(y, (F.col("k") == F.col("ky")) & (F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & able)
+        last = compare(left.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), live, similarity)
+        more = keep(last.where(is_link).select("a", "b"))
+        if more.limit(1).count():
+            group = components(links.unionByName(more))
     out = marks.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(group.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -58,6 +58,13 @@ def near_copies(seed=3):
         out.append(chain)
     for k in range(40):
         out.append([word() for _ in range(rnd.randint(10, 100))] + passage)
+    long = [word() for _ in range(160)]
+    for k in range(60):  # parts of one text, similar to one another or not, some with an edit
+        i = rnd.randint(0, 70)
+        c = long[i : i + rnd.randint(60, 90)]
+        if k % 3 == 0:
+            c[rnd.randrange(len(c))] = word()
+        out.append(c)
     rnd.shuffle(out)
     return [(i, " ".join(c)) for i, c in enumerate(out)]
 
@@ -65,9 +72,11 @@ def near_copies(seed=3):
 @pytest.mark.parametrize("data", ["cases", "table", "near"])
 def test_jaccard(spark, data):
     docs = {"cases": lambda: frame(spark), "table": lambda: table(spark, SF, "documents"), "near": lambda: spark.createDataFrame(near_copies(), "doc_id long, text string")}[data]()
-    got = jaccard_join.similar_groups(docs, bucket_rows=2000).collect()
-    assert len(got) == docs.count()
-    assert {tuple(r) for r in got} == groups([(r.doc_id, r.text) for r in docs.collect()])
+    want = groups([(r.doc_id, r.text) for r in docs.collect()])
+    for few in (16, 0):  # 0: leaders all the way
+        got = jaccard_join.similar_groups(docs, bucket_rows=2000, few=few).collect()
+        assert len(got) == docs.count()
+        assert {tuple(r) for r in got} == want
     if data == "cases":
         assert jaccard_join.similar_groups(empty(spark)).count() == 0
 
