@@ -26,11 +26,15 @@ def scratch(spark: SparkSession) -> str:
     return base
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: lineage ends here and survives lost executors."""
+def keep(df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back: lineage ends here and survives lost executors.
+
+    With rows, a bound of the table's rows, it gets a file for each `per_file` of them at most, so that small tables
+    cost few tasks.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/lamina-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // per_file + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,22 +55,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     jumping), so long chains halve each round. Messages are pre-aggregated before each shuffle; each round's labels
     are written to the shared folder. Ids without a link are not in the result; null ends are dropped.
     """
-    both = keep(
-        links.where("a is not null and b is not null and a <> b")
-        .select("a", "b")
-        .unionByName(links.where("a is not null and b is not null and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .distinct()
-    )
-    label = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    ends = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    ends = keep(ends.distinct())
+    n = 2 * ends.count()
+    both = keep(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), n)
+    label = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), n)
     for _ in range(rounds):
         near = (
             both.join(label.withColumnRenamed("id", "b"), "b")
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("seen"))
         )
-        lower = label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("to"))
+        lower = keep(label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("to")), n)
         jump = lower.join(lower.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to", "left")
-        new = keep(jump.select("id", "was", F.least("to", F.coalesce("to2", "to")).alias("component")))
+        new = keep(jump.select("id", "was", F.least("to", F.coalesce("to2", "to")).alias("component")), n)
         label = new.select("id", "component")
         if not new.where("was <> component").limit(1).count():
             break

@@ -276,8 +276,8 @@ def compare(pairs: DataFrame, live: DataFrame, similarity: Fraction, rarity=None
     return both.mapInArrow(run, "a long, b long, na long, nb long, m long, both long, rest array<long>")
 
 
-def open_lists(seen: DataFrame, group: DataFrame, similarity: Fraction) -> DataFrame:
-    """k, doc, n, m, g, o from leaders' answers: lists in which sets of different groups g can still link; o bounds what they share, null: no bound."""
+def open_lists(seen: DataFrame, group: DataFrame, similarity: Fraction, rows: int) -> DataFrame:
+    """k, doc, n, m, g, o, r, inside from leaders' answers: lists in which sets x, y of different groups g can still link. They share min(ox, oy) + min(rx, ry) at most."""
     p, q = similarity.numerator, similarity.denominator
     member = seen.join(group.select(F.col("id").alias("b"), F.col("component").alias("g")), "b", "left").withColumn("g", F.coalesce("g", "b"))
 
@@ -285,13 +285,14 @@ def open_lists(seen: DataFrame, group: DataFrame, similarity: Fraction) -> DataF
         torn = rows.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select(*keys)
         return rows.join(torn, keys)
 
-    member = keep(split(["a"], member))
-    outside = split(["a", "e"], member.select("a", "b", "nb", "m", "g", F.lit(None).cast("long").alias("o"), F.explode("rest").alias("e")))
+    member = keep(split(["a"], member), rows)
+    outside = split(["a", "e"], member.select("a", "b", "nb", "m", "g", "both", (F.col("m") - F.col("both")).alias("r"), F.explode("rest").alias("e")))
     linked = F.col("both") * (p + q) >= (F.col("na") + F.col("nb")) * p
     inside = split(["a"], member.where((F.col("both") * q >= F.col("nb") * p) & (~linked | (F.col("nb") < F.col("na")))))
-    inside = inside.select("a", "b", "nb", "m", "g", F.col("both").alias("o"), F.lit(None).cast("long").alias("e"))
+    inside = inside.select("a", "b", "nb", "m", "g", "both", F.lit(0).cast("long").alias("r"), F.lit(None).cast("long").alias("e"))
     rows = outside.select(*inside.columns).unionByName(inside)
-    return rows.select(F.xxhash64("a", "e", F.col("e").isNull()).alias("k"), F.col("b").alias("doc"), F.col("nb").alias("n"), "m", "g", "o")
+    k = F.xxhash64("a", "e", F.col("e").isNull())
+    return rows.select(k.alias("k"), F.col("b").alias("doc"), F.col("nb").alias("n"), "m", "g", F.col("both").alias("o"), "r", F.col("e").isNull().alias("inside"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: Fraction = Fraction(3, 4), bits: int = 20, bucket_rows: int = 3_000_000, few: int = 16) -> DataFrame:
@@ -330,18 +331,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         best = F.min(F.struct((-F.col("m") / F.col("n")).alias("rank"), (-F.col("n")).alias("size"), "doc"))
         leaders = lists.groupBy("k").agg(best.alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("k", F.col("l.doc").alias("a"))
         led = keep(lists.join(leaders, "k").where("doc <> a").select("a", F.col("doc").alias("b")).distinct())
-        seen = keep(compare(led, live, similarity, rarity))
+        n_led = led.count()
+        seen = keep(compare(led, live, similarity, rarity), n_led, 10_000)
         new = seen.where(is_link).select("a", "b")
         links = new if links is None else links.unionByName(new)
-        group = keep(components(links))
-        lists = keep(open_lists(seen, group, similarity))
-        c = F.col("c")
-        pairs, entries = lists.groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0)), F.coalesce(F.sum(c), F.lit(0))).first()
+        group = components(links)
+        lists = keep(open_lists(seen, group, similarity, n_led))
+        # A pair of an `inside` list is one comparison of numbers, a pair of another a comparison of sets.
+        c = F.count(F.lit(1))
+        cost = F.when(F.col("inside"), F.lit(1 / 32)).otherwise(F.lit(1.0)) * F.col("c") * (F.col("c") - 1) / 2
+        pairs, entries = lists.groupBy("k", "inside").agg(c.alias("c")).agg(F.coalesce(F.sum(cost), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0))).first()
         rounds += 1
     if pairs:
-        x = lists.select("k", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("o").alias("ox"))
-        y = lists.select(F.col("k").alias("ky"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("o").alias("oy"))
-        able = reaches(F.least("nx", "ny", "ox", "oy"), F.col("nx"), F.col("ny"))
+        x = lists.select("k", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("o").alias("ox"), F.col("r").alias("rx"))
+        y = lists.select(F.col("k").alias("ky"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("o").alias("oy"), F.col("r").alias("ry"))
+        able = reaches(F.least("ox", "oy") + F.least("rx", "ry"), F.col("nx"), F.col("ny"))
         left = x.join(y, (F.col("k") == F.col("ky")) & (F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & able)
         last = compare(left.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), live, similarity)
         more = keep(last.where(is_link).select("a", "b"))

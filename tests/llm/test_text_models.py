@@ -73,7 +73,7 @@ def near_copies(seed=3):
 def test_jaccard(spark, data):
     docs = {"cases": lambda: frame(spark), "table": lambda: table(spark, SF, "documents"), "near": lambda: spark.createDataFrame(near_copies(), "doc_id long, text string")}[data]()
     want = groups([(r.doc_id, r.text) for r in docs.collect()])
-    for few in (16, 0):  # 0: leaders all the way
+    for few in (16, 0) if data == "near" else (16,):  # 0: leaders all the way
         got = jaccard_join.similar_groups(docs, bucket_rows=2000, few=few).collect()
         assert len(got) == docs.count()
         assert {tuple(r) for r in got} == want
