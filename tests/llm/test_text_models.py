@@ -215,14 +215,14 @@ def test_viterbi_by_brute_force():
 
 def unigram(rows, train):
     """Base scores by the formula, token by token."""
-    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOWER).encode()), None] for i, t in rows}
+    tokens = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOWER).encode()), None]) for i, t in rows]
     c = defaultdict(int)
-    for i, w in tokens.items():
+    for i, w in tokens:
         if train(i):
             for x in w:
                 c[x] += 1
     n, v = sum(c.values()), len(c)
-    return {i: (len(w), sum(c[x] > 0 for x in w), n, sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, w in tokens.items()}
+    return {i: (len(w), sum(x in c for x in w), n, sum(np.log10((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, w in tokens}
 
 
 @pytest.mark.parametrize("data", ["cases", "table"])
@@ -297,8 +297,8 @@ def test_mixer_by_a_loop():
             for d in range(m.code.first[rank[p]], m.code.first[rank[p]] + m.code.length[rank[p]]):
                 node, y = int(m.code.node[d]), 2.0 * m.code.bit[d] - 1
                 slot = [(int(ctx[k][at[p]]) >> 22) ^ node for k in range(c.INPUTS)]
-                x = np.array([m.odds[k][slot[k]] / c.UNIT for k in range(c.INPUTS)])
-                z = y * (m.weight[node * 4 + m.level[slot[-1]]] + delta) @ x
+                x = np.array([float(m.odds[k][slot[k]]) / c.UNIT for k in range(c.INPUTS)])
+                z = y * (m.weight[node * 4 + int(m.level[slot[-1]])] + delta) @ x
                 loss += np.log2(1 + np.exp(-z))
                 grad += y / (1 + np.exp(z)) * x
                 n += 1
