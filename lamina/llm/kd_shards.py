@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from .common import keep
 
 BINS = 1 << 16
-#: Metadata dimensions, each mapped to 0 <= x < 65,536: log of size, source, language and text hash.
+#: Metadata dimensions, each on the scale 0 <= x < 65,536: log of size between the table's least and largest, source and language.
 DIMENSIONS = {
-    "d_size": "cast(least(65535, floor(2048 * ln(size))) as int)",
+    "d_size": "cast(floor(65535 * (ln(size) - ln(least)) / greatest(ln(most) - ln(least), 1e-9)) as int)",
     "d_source": "cast(pmod(xxhash64(source), 65536) as int)",
     "d_lang": "cast(pmod(xxhash64(lang), 65536) as int)",
-    "d_text": "cast(shiftright(text_crc32, 16) as int)",
 }
 
 
@@ -32,7 +31,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = keep(d.select("*", F.xxhash64("text_crc32", "size").alias("key")))
     group = d.groupBy("key").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
     tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 40))
-    d = d.drop("source", "lang").join(group, "key")
+    ends = d.agg(F.min("size").alias("least"), F.max("size").alias("most"))  # one row
+    d = d.drop("source", "lang").join(group, "key").crossJoin(F.broadcast(ends))
     return d.select("doc_id", "size", "text_crc32", *[F.expr(e).alias(c) for c, e in DIMENSIONS.items()], F.pmod("key", F.lit(BINS)).cast("int").alias("y"), tie.alias("tie"))
 
 

@@ -195,3 +195,16 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(3, 7), (7, 3), (9, 3), (5, 5), (None, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 100 for i in range(100, 161)} | {3: 3, 7: 3, 9: 3}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and reused ids, rows that differ in case, and columns with the names that the operators use."""
+    names = "doc_id long, text string, source string, epoch int, h string, salt int, row string, position double, size long, id long, sha string"
+    data = [(None, "A b", "s"), (None, "a B", "s"), (None, "c d", "s"), (1, "x y", "s"), (1, "other text", "s"), (2, "X Y", "s"), (3, None, "s"), (3, None, "s"), (4, "", None)]
+    docs = spark.createDataFrame([(*r, 1, "h", 2, "r", 0.5, 3, 4, "z") for r in data], names)
+    out = exact_dedup.drop_copies(docs, largest=True)
+    assert out.columns == docs.columns
+    assert sorted(((r.text or "").lower(), r.doc_id) for r in out.collect()) == [("", 4), ("a b", None), ("c d", None), ("other text", 1), ("x y", 2)]
+    back = mixing.schedule(docs)
+    assert back.columns == docs.columns
+    assert {r.text for r in back.collect()} <= {t for _, t, _ in data} and back.where("doc_id is null").select("text").distinct().count() == 3
