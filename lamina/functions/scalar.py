@@ -59,3 +59,20 @@ def range_low(text: Column) -> Column:
 
 def range_high(text: Column) -> Column:
     return F.split(text, "-")[1].cast("int")
+
+
+def gaussian(x: Column, mean: float, sigma: float) -> Column:
+    return F.exp(-((x - mean) ** 2) / (2 * sigma * sigma)) / (sigma * F.sqrt(F.lit(2 * 3.141592653589793)))
+
+
+def separated(text: Column, by: str = ",") -> Column:
+    """Runs of white space as one separator; none at either end."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", by)
+
+
+def fill_in(template: Column, values: dict[str, Column]) -> Column:
+    """%name% and #name# replaced by values."""
+    for name, v in values.items():
+        for mark in "%#":
+            template = F.replace(template, F.lit(f"{mark}{name}{mark}"), v)
+    return template

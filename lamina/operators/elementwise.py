@@ -88,3 +88,20 @@ def first_hit(img: DataFrame, axis: str, above: float) -> DataFrame:
     """The first voxel along an axis whose value exceeds a threshold, and its value; rays without one are left out."""
     rest = [a for a in "ijk" if a != axis]
     return img.where(F.col("v") > above).groupBy(*rest).agg(F.min(axis).alias("depth"), F.min_by("v", axis).alias("v"))
+
+
+def extract_slice(img: DataFrame, axis: str, at: int, size: int) -> DataFrame:
+    """The plane at a place of an axis of `size` voxels: a negative place is the middle, one past the end the last."""
+    place = size // 2 if at < 0 else min(at, size - 1)
+    return img.where(F.col(axis) == place).select("voxel", *[a for a in "ijk" if a != axis], "v")
+
+
+def reorient(img: DataFrame, axes: str, flips: str, sizes: dict[str, int]) -> DataFrame:
+    """New axes i, j, k are the old axes in the order of `axes`; those named in flips run backwards."""
+    out = [(F.lit(sizes[a] - 1) - F.col(a) if a in flips else F.col(a)).cast("int").alias(b) for a, b in zip(axes, "ijk")]
+    return img.select("voxel", *out, "v")
+
+
+def millimetres(img: DataFrame, spacing: tuple[float, float, float], origin: tuple[float, float, float]) -> DataFrame:
+    """voxel, x, y, z: places in space under a spacing and an origin."""
+    return img.select("voxel", *[(F.col(a) * s + o).alias(b) for a, b, s, o in zip("ijk", "xyz", spacing, origin)])

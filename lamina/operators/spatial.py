@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,26 +84,89 @@ def resample(img: DataFrame, step: float, size: dict[str, int]) -> DataFrame:
     return pair.join(img.select("i", "j", "k", "v"), ["i", "j", "k"]).groupBy(F.col("o").alias("i"), "j", "k").agg(F.sum(F.col("v") * weight).alias("v"))
 
 
-def components(img: DataFrame, inside: Column, rounds: int = 100) -> DataFrame:
+def label_block(table: pa.Table) -> pa.Table:
+    """voxel, i, j, k, piece of one block of the grid: piece is the smallest voxel of those connected inside the block."""
+    voxel, *at = (table.column(c).to_numpy() for c in ("voxel", "i", "j", "k"))
+    low = [x.min() for x in at]
+    shape = tuple(int(x.max() - m) + 3 for x, m in zip(at, low))
+    place = tuple(x - m + 1 for x, m in zip(at, low))
+    none = np.iinfo(np.int64).max
+    label = np.full(shape, none)
+    label[place] = voxel
+    inside = label < none
+    while True:
+        before = label.copy()
+        for axis in range(3):
+            for step in (1, -1):
+                np.minimum(label, np.roll(label, step, axis), out=label)
+                label[~inside] = none
+        if np.array_equal(before, label):
+            break
+    return pa.table({"voxel": voxel, "i": at[0], "j": at[1], "k": at[2], "piece": label[place]})
+
+
+def components(img: DataFrame, inside: Column, side: int = 32) -> DataFrame:
     """Face-connected components of the voxels where `inside` holds: voxel, component (its smallest voxel).
 
-    Labels spread by minima over the neighbour list with pointer jumping; each round is written to the shared folder.
+    Blocks of side^3 voxels are labelled each in one task of bounded size; only the faces between blocks are joined, and
+    components of the pieces' graph are found by minima with pointer jumping.
     """
-    v = keep(img.where(inside).select("voxel", "i", "j", "k"))
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]))
-    near = v.select(F.col("voxel").alias("o"), "i", "j", "k", step.alias("s")).select("o", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), (F.col("k") + F.col("s.c")).alias("k"))
-    links = keep(near.join(v, ["i", "j", "k"]).select("o", F.col("voxel").alias("n")))
-    label = v.select("voxel", F.col("voxel").alias("component"))
+    v = img.where(inside).select(F.col("voxel").cast("long"), *[F.col(c).cast("long") for c in "ijk"])
+    block = [F.floor(F.col(c) / side).alias(f"b{c}") for c in "ijk"]
+    piece = keep(v.select("*", *block).groupBy("bi", "bj", "bk").applyInArrow(label_block, "voxel long, i long, j long, k long, piece long"))
+    other = piece.select(F.col("piece").alias("b"), "i", "j", "k")
+    links = None
+    for c in "ijk":  # each block's last plane against the next block's first
+        edge = piece.where(F.pmod(F.col(c), F.lit(side)) == side - 1).select(F.col("piece").alias("a"), *[(F.col(x) + int(x == c)).alias(x) for x in "ijk"])
+        met = edge.join(other, ["i", "j", "k"]).select("a", "b").distinct()
+        links = met if links is None else links.unionByName(met)
+    label = connected(links)
+    out = piece.join(label.withColumnRenamed("id", "piece"), "piece", "left")
+    return out.select("voxel", F.coalesce("component", "piece").alias("component"))
+
+
+def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, component of the ends of links(a, b): each takes the smallest label around it, then that label's label, until none changes."""
+    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+    if not both.limit(1).count():
+        return label
     for _ in range(rounds):
-        seen = links.join(label.withColumnRenamed("voxel", "n"), "n").groupBy(F.col("o").alias("voxel")).agg(F.min("component").alias("m"))
-        low = label.join(seen, "voxel", "left").select("voxel", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("to"))
-        new = keep(low.join(low.select(F.col("voxel").alias("to"), F.col("to").alias("to2")), "to").select("voxel", "was", F.least("to", "to2").alias("component")))
-        label = new.select("voxel", "component")
+        seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        low = label.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("to"))
+        new = keep(low.join(low.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", "was", F.least("to", "to2").alias("component")))
+        label = new.select("id", "component")
         if not new.where("was <> component").limit(1).count():
             return label
     raise RuntimeError("components did not settle")
 
 
+def cluster_threshold(img: DataFrame, above: float, least: int, both_signs: bool = False, largest_only: bool = False) -> DataFrame:
+    """voxel, v: values of clusters of at least `least` voxels above a threshold (both_signs: below minus it as well, as clusters of their own), 0 elsewhere; largest_only keeps the largest, of equal ones that of the smallest voxel."""
+    parts = [components(img, F.col("v") > above)] + ([components(img, F.col("v") < -above)] if both_signs else [])
+    c = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    c = keep(c)
+    size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    if largest_only:
+        size = size.orderBy(F.desc("n"), "component").limit(1)
+    kept = c.join(size, "component").select("voxel", F.lit(True).alias("on"))
+    return img.join(kept, "voxel", "left").select("voxel", F.when(F.col("on"), F.col("v")).otherwise(0.0).alias("v"))
+
+
+def cluster_peaks(img: DataFrame, above: float) -> DataFrame:
+    """component, n, peak (its voxel of the largest value, the smallest of ties), v."""
+    c = components(img, F.col("v") > above).join(img.select("voxel", "v"), "voxel")
+    m = F.max(F.struct("v", (-F.col("voxel")).alias("o")))
+    return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), m.alias("m")).select("component", "n", (-F.col("m.o")).alias("peak"), F.col("m.v").alias("v"))
+
+
+def open_close(img: DataFrame, opening: bool) -> DataFrame:
+    """Opening (erode, then dilate) or closing of a 0/1 image."""
+    steps = ("erode", "dilate") if opening else ("dilate", "erode")
+    first = keep(morphology(img, steps[0]))
+    return morphology(img.drop("v").join(first, "voxel"), steps[1])
+
+
 def bilateral(img: DataFrame, radius: int, space: float, value: float, flat: bool = True) -> DataFrame:
     """Mean over the box weighted by distance and by difference of value."""
     d = F.sequence(F.lit(-radius), F.lit(radius))

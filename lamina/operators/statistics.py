@@ -51,7 +51,7 @@ def normalize_image(img: DataFrame, low: float, high: float, most: int = 1024) -
 def order_statistics(img: DataFrame, ranks: list[Column], buckets: int = 4096) -> DataFrame:
     """Exact values at 0-based ranks (columns of n), one row r0, r1, ...
 
-    A histogram of bounded size finds the bucket that holds each rank; only those buckets are numbered.
+    A histogram of bounded size finds the bucket that holds each rank; only those buckets' distinct values are ordered.
     """
     r = img.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
     b = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * buckets)).cast("int")
@@ -60,9 +60,10 @@ def order_statistics(img: DataFrame, ranks: list[Column], buckets: int = 4096) -
     h = h.withColumn("before", F.sum("c").over(Window.partitionBy("n").orderBy("b")) - F.col("c"))
     wanted = F.array(*[k.cast("long") for k in ranks])
     h = h.where(F.exists(wanted, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("c"))))
-    y = x.join(F.broadcast(h.select("b", "before")), "b")
-    y = y.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("v")) - 1)
-    return y.groupBy().agg(*[F.max(F.when(F.col("rank") == k.cast("long"), F.col("v"))).alias(f"r{i}") for i, k in enumerate(ranks)])
+    y = x.join(F.broadcast(h.select("b", "before")), "b").groupBy("b", "before", "n", "v").agg(F.count(F.lit(1)).alias("c"))  # equal values are one row
+    y = y.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy("v")))
+    at = lambda k: (k.cast("long") < F.col("upto")) & (k.cast("long") >= F.col("upto") - F.col("c"))
+    return y.groupBy().agg(*[F.max(F.when(at(k), F.col("v"))).alias(f"r{i}") for i, k in enumerate(ranks)])
 
 
 def quantile_normalize(img: DataFrame) -> DataFrame:
@@ -142,3 +143,51 @@ def global_rank(df: DataFrame, by: str) -> DataFrame:
     parts = at.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each partition
     parts = parts.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return at.join(F.broadcast(parts), "_p").withColumn("rank", F.col("_before") + F.col("_m") - F.col("_first") + 1).drop("_p", "_m", "_first", "_before", "_n")
+
+
+def weighted_correlation(pairs: DataFrame) -> DataFrame:
+    """r of (x, y, w), one row: weighted means, variances and covariance from six sums."""
+    w = F.col("w")
+    s = pairs.agg(F.sum(w).alias("s"), *[F.sum(w * e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") ** 2), ("yy", F.col("y") ** 2), ("xy", F.col("x") * F.col("y")))])
+    vx, vy = F.col("xx") / F.col("s") - (F.col("x") / F.col("s")) ** 2, F.col("yy") / F.col("s") - (F.col("y") / F.col("s")) ** 2
+    return s.select(F.when((vx > 0) & (vy > 0), (F.col("xy") / F.col("s") - F.col("x") * F.col("y") / F.col("s") ** 2) / F.sqrt(vx * vy)).otherwise(0.0).alias("r"))
+
+
+def image_similarity(pairs: DataFrame) -> DataFrame:
+    """Sum of squared differences, their mean, and the squared correlation of (x, y): one row ssd, mse, cc2."""
+    d = (F.col("x") - F.col("y")) ** 2
+    return pairs.agg(F.sum(d).alias("ssd"), F.avg(d).alias("mse"), (F.corr("x", "y") ** 2).alias("cc2"))
+
+
+def spearman(pairs: DataFrame) -> DataFrame:
+    """Rank correlation of (x, y), equal values with their mean rank; ranks come from counts of distinct values."""
+    out = pairs
+    for c in "xy":
+        n = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        ranked = global_total(n, c)
+        out = out.join(ranked.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
+    return out.agg(F.corr("rx", "ry").alias("rho"))
+
+
+def global_total(df: DataFrame, by: str) -> DataFrame:
+    """df(by, n) with the sum of n over all smaller values of `by`: range sort, sums of partitions, then windows inside them."""
+    at = keep(df.orderBy(by).select("*", F.spark_partition_id().alias("_p")))
+    parts = at.groupBy("_p").agg(F.sum("n").alias("_n"))
+    parts = parts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
+    inside = F.sum("n").over(Window.partitionBy("_p").orderBy(by)) - F.col("n")
+    return at.join(F.broadcast(parts), "_p").withColumn("before", F.col("_before") + inside).drop("_p", "_before")
+
+
+def histogram_measures(hist: DataFrame, origin: float, scale: float) -> DataFrame:
+    """n, mean, variance and entropy (nats) of a histogram (bin, count): one row."""
+    x, c = F.lit(origin) + F.col("bin") * scale, F.col("count")
+    s = hist.agg(F.sum(c).alias("n"), F.sum(c * x).alias("s1"), F.sum(c * x * x).alias("s2"), F.sum(c * F.log(c)).alias("sl"))
+    mean = F.col("s1") / F.col("n")
+    return s.select("n", mean.alias("mean"), (F.col("s2") / F.col("n") - mean * mean).alias("variance"), (F.log("n") - F.col("sl") / F.col("n")).alias("entropy"))
+
+
+def roi_mean_full(ser: DataFrame, roi: Column, regions: int) -> DataFrame:
+    """roi_mean with a row for each frame and region 1..regions; regions without voxels have 0."""
+    have = roi_mean(ser, roi)
+    grid = ser.select("t").distinct().select("t", F.explode(F.sequence(F.lit(1), F.lit(regions))).alias("roi"))
+    return grid.join(have, ["t", "roi"], "left").select("t", "roi", F.coalesce("v", F.lit(0.0)).alias("v"))

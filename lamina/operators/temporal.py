@@ -75,7 +75,8 @@ def regress_out(ser: DataFrame, basis: list[list[float]]) -> DataFrame:
         if abs(r[k, k]) < 1e-12:
             continue
         e = F.array(*[F.lit(float(x)) for x in q[:, k]])
-        ser = ser.withColumn("_c", dot(F.col("ts"), e)).withColumn("ts", F.zip_with("ts", e, lambda x, b: x - F.col("_c") * b)).drop("_c")
+        # The product is an element of an array, so that it is worked out once a series and not in each step of zip_with.
+        ser = ser.withColumn("ts", F.element_at(F.transform(F.array(dot(F.col("ts"), e)), lambda c: F.zip_with("ts", e, lambda x, b: x - c * b)), 1))  # noqa: B023
     return ser
 
 
@@ -124,8 +125,43 @@ def ztone(x: Column) -> Column:
 
 
 def hrf_design(intervals: DataFrame, frames: int, length: int) -> DataFrame:
-    """frame, task, v: task frames convolved with the tone curve over `length` frames, cut at the run's end; one run."""
+    """run, frame, task, v: task frames of each run convolved with the tone curve over `length` frames, cut at the run's end."""
     on = intervals_to_frames(intervals)
-    lagged = on.select("task", "frame", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("d"))
-    lagged = lagged.select("task", (F.col("frame") + F.col("d")).alias("frame"), ztone(F.col("d") / float(length)).alias("h"))
-    return lagged.where(F.col("frame") < frames).groupBy("frame", "task").agg(F.sum("h").alias("v"))
+    lagged = on.select("run", "task", "frame", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("d"))
+    lagged = lagged.select("run", "task", (F.col("frame") + F.col("d")).alias("frame"), ztone(F.col("d") / float(length)).alias("h"))
+    return lagged.where(F.col("frame") < frames).groupBy("run", "frame", "task").agg(F.sum("h").alias("v"))
+
+
+def glm(ser: DataFrame, design: list[list[float]], weights: list[float] | None = None) -> DataFrame:
+    """voxel, regressor, beta of wide series on any number of regressors (rows of design over frames), weighted by frame.
+
+    The pseudo-inverse of the small design is worked out here once; each series is projected in the JVM without a shuffle.
+    """
+    import numpy as np
+
+    x = np.array(design, float).T
+    w = np.sqrt(np.ones(len(x)) if weights is None else np.array(weights, float))
+    inverse = np.linalg.pinv(x * w[:, None]) * w
+    betas = [F.struct(F.lit(k).alias("regressor"), dot(F.col("ts"), F.array(*[F.lit(float(a)) for a in row])).alias("beta")) for k, row in enumerate(inverse)]
+    return ser.select("voxel", F.inline(F.array(*betas)))
+
+
+def regress_weighted(ser: DataFrame, design: list[list[float]], weights: list[float]) -> DataFrame:
+    """Residual of wide series after the weighted fit of glm()."""
+    import numpy as np
+
+    x = np.array(design, float).T
+    w = np.sqrt(np.array(weights, float))
+    inverse = np.linalg.pinv(x * w[:, None]) * w
+    for row, column in zip(inverse, x.T):
+        ser = ser.withColumn("fit", F.array_append(F.coalesce(F.col("fit") if "fit" in ser.columns else F.lit(None).cast("array<double>"), F.array().cast("array<double>")), dot(F.col("ts"), F.array(*[F.lit(float(a)) for a in row]))))
+    fitted = [F.array(*[F.lit(float(a)) for a in column]) for column in x.T]
+    out = F.transform("ts", lambda v, t: v - sum((F.get("fit", F.lit(k)) * F.get(c, t) for k, c in enumerate(fitted)), F.lit(0.0)))
+    return ser.withColumn("ts", out).drop("fit")
+
+
+def frame_neighbours(ser: DataFrame, k: int) -> DataFrame:
+    """t, other, d2, rank: for each frame the k frames whose values over all voxels are nearest; ties by frame. Sums over voxels combine before the shuffle."""
+    a, b = ser.select("voxel", "t", "v"), ser.select("voxel", F.col("t").alias("other"), F.col("v").alias("w"))
+    d2 = a.join(b, "voxel").where("t <> other").groupBy("t", "other").agg(F.round(F.sum((F.col("v") - F.col("w")) ** 2), 4).alias("d2"))
+    return d2.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("d2", "other"))).where(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from ..operators import elementwise as E
 from ..operators import geometry as M
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators import matrices as X
 from ..operators import spatial as P
 from ..operators import statistics as A
 from ..operators import temporal as T
@@ -115,9 +116,9 @@ def add_grid(spark, d):
     return E.add_grid(volume(spark, d), 4, 5000)
 
 
-@query(with_(VOLUME) + "select voxel, i, j, v from vol where k = 3")
+@query(with_(VOLUME) + "select voxel, i, k, v from vol where j = 5")
 def extract_slice(spark, d):
-    return volume(spark, d).where("k = 3").select("voxel", "i", "j", "v")
+    return E.extract_slice(volume(spark, d), "j", -1, 10)
 
 
 @query(with_(SERIES) + "select voxel, v from ser where t = 7")
@@ -152,9 +153,9 @@ def project_average(spark, d):
     return rounded(E.project(volume(spark, d).where("label > 10"), "j", "avg"))
 
 
-@query(with_(VOLUME) + "select i, j, min(k)::int depth, arg_min(v, k) v from vol where v > 1200 group by i, j")
+@query(with_(VOLUME) + "select i, j, min(k)::int depth, arg_min(label::double, k) v from vol where label > 20 group by i, j")
 def project_first_hit(spark, d):
-    return E.first_hit(volume(spark, d), "k", 1200)
+    return E.first_hit(volume(spark, d).withColumn("v", F.col("label").cast("double")), "k", 20)
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------
@@ -345,12 +346,12 @@ def df_over_f(spark, d):
     return rounded(T.df_over_f(series(spark, d)))
 
 
-INTERVALS = "iv as (select (user_id % 5)::varchar run, event_type task, date_diff('hour', timestamp '2024-01-01', ts)::int lo, (date_diff('hour', timestamp '2024-01-01', ts) + 3)::int hi from events where event_id % 3 = 0)"
+INTERVALS = "iv as (select (user_id % 5)::varchar run, event_type task, date_diff('hour', timestamp '2024-01-01', ts)::int lo, (date_diff('hour', timestamp '2024-01-01', ts) + 3)::int hi from events)"
 
 
 def _intervals(spark, d):
     lo = F.floor((F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3_600_000_000).cast("int")
-    return read(spark, d, "events").where("event_id % 3 = 0").select((F.col("user_id") % 5).cast("string").alias("run"), F.col("event_type").alias("task"), lo.alias("lo"), (lo + 3).alias("hi"))
+    return read(spark, d, "events").select((F.col("user_id") % 5).cast("string").alias("run"), F.col("event_type").alias("task"), lo.alias("lo"), (lo + 3).alias("hi"))
 
 
 @query("with " + INTERVALS + " select distinct run, task, f::int frame from (select run, task, unnest(range(lo, hi)) f from iv)")
@@ -358,9 +359,9 @@ def interval_to_frames(spark, d):
     return T.intervals_to_frames(_intervals(spark, d))
 
 
-@query("with " + INTERVALS + " select t::int t, count(*) n from (select unnest(range(0, 720, 7)) t) f join iv on t >= lo and t < hi group by 1")
+@query("with " + INTERVALS + " select t::int t, count(*) n from (select unnest(range(0, 720)) t) f join iv on t >= lo and t < hi group by 1")
 def interval_join(spark, d):
-    f = spark.range(0, 720, 7).select(F.col("id").cast("int").alias("t"))
+    f = spark.range(0, 720).select(F.col("id").cast("int").alias("t"))
     return J.in_interval(f, _intervals(spark, d), 24).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -460,10 +461,10 @@ def radius_pairs(spark, d):
     return J.radius_pairs(_points(spark, d), 3.0, "label")
 
 
-@query(with_(VOLUME, "x as (select q.voxel q, p.voxel p, ((q.i - p.i) * (q.i - p.i) + (q.j - p.j) * (q.j - p.j) + (q.k - p.k) * (q.k - p.k))::double d2 from vol q, vol p where q.label = 1 and p.label = 2)") + "select q, p, d2 from x where d2 <= 25 qualify row_number() over (partition by q order by d2, p) = 1")
+@query(with_(VOLUME, "x as (select q.voxel q, p.voxel p, ((q.i - p.i) * (q.i - p.i) + (q.j - p.j) * (q.j - p.j) + (q.k - p.k) * (q.k - p.k))::double d2 from vol q, vol p where q.label <= 10 and p.label > 40)") + "select q, p, d2 from x qualify row_number() over (partition by q order by d2, p) = 1")
 def nearest_point(spark, d):
     p = _points(spark, d)
-    return J.nearest_within(p.where("label = 1"), p.where("label = 2"), 5.0)
+    return J.nearest(p.where("label <= 10"), p.where("label > 40"))
 
 
 @query("with x as (select a.vec_id id, b.vec_id other, round(list_sum(list_transform(range(1, 65), lambda n: (a.embedding[n] - b.embedding[n])::double * (a.embedding[n] - b.embedding[n])::double)), 4) d2 from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) select id, other, d2, row_number() over (partition by id order by d2, other)::int rank from x qualify row_number() over (partition by id order by d2, other) <= 3")
@@ -541,9 +542,9 @@ def join_semi(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def join_anti(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return read(spark, d, "customer").join(read(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("select r_name, n_name, l_returnflag, count(*) n, round(sum(l_extendedprice), 2) v from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name, l_returnflag)")
@@ -627,6 +628,181 @@ def smooth_labels(spark, d):
     return P.smooth_labels(volume(spark, d).withColumn("label", F.floor(F.col("label") / 10).cast("int")), 1.5, 1)
 
 
-@query("with " + INTERVALS + ", o as (select distinct task, unnest(range(lo, hi)) f from iv where run = '1') select (f + dd)::int as frame, task, round(sum(0.50212657 * (tanh(tan(0.5 * pi() * (1.6 * dd / 12.0 - 0.8))) + 0.99576486)), 4) v from o, (select unnest(range(12)) dd) where f + dd < 720 group by 1, 2")
+@query("with " + INTERVALS + ", o as (select distinct run, task, unnest(range(lo, hi)) f from iv) select run, (f + dd)::int as frame, task, round(sum(0.50212657 * (tanh(tan(0.5 * pi() * (1.6 * dd / 12.0 - 0.8))) + 0.99576486)), 4) v from o, (select unnest(range(12)) dd) where f + dd < 720 group by 1, 2, 3")
 def hrf_design(spark, d):
-    return rounded(T.hrf_design(_intervals(spark, d).where("run = '1'"), 720, 12))
+    return rounded(T.hrf_design(_intervals(spark, d), 720, 12))
+
+
+# --- clusters, fits, matrices and more ----------------------------------------------------------------------------
+
+LABELS = VOLUME.replace("p_retailprice v", "p_size::double v")
+OVER = CC.replace("label > 30", "v > 30")
+
+
+def _label_image(spark, d):
+    return volume(spark, d).withColumn("v", F.col("label").cast("double"))
+
+
+@query(with_(LABELS, OVER, "big as (select component from comp group by 1 having count(*) >= 4)") + "select voxel, case when voxel in (select voxel from comp where component in (select component from big)) then v else 0.0 end::double v from vol")
+def cluster_threshold(spark, d):
+    return P.cluster_threshold(_label_image(spark, d), 30, 4)
+
+
+@query(with_(LABELS, OVER, "top as (select component from comp group by 1 order by count(*) desc, component limit 1)") + "select voxel, case when voxel in (select voxel from comp where component = (select component from top)) then v else 0.0 end::double v from vol")
+def components_largest(spark, d):
+    return P.cluster_threshold(_label_image(spark, d), 30, 1, largest_only=True)
+
+
+@query(with_(LABELS, OVER) + "select component, count(*) n, (arg_max(voxel, v * 1000000 - voxel))::bigint peak, max(v) v from comp join vol using (voxel) group by 1")
+def cluster_peaks(spark, d):
+    return P.cluster_peaks(_label_image(spark, d), 30)
+
+
+def _open_close(name: str, one: str, two: str):
+    def f(spark, d):
+        return P.open_close(volume(spark, d).withColumn("v", F.when(F.col("label") > 20, 1.0).otherwise(0.0)), name == "opening")
+
+    f.__name__ = f"morph_{name}"
+    raw = VOLUME.replace("vol as", "raw as")
+    start = "start as (select voxel, i, j, k, case when label > 20 then 1.0::double else 0.0::double end v from raw)"
+    step = "(select a.voxel, a.i, a.j, a.k, {f}(b.v) v from {t} a join {t} b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.k = b.k group by all)"
+    return query(with_(raw, start, "mid as " + step.format(f=one, t="start"), "done as " + step.format(f=two, t="mid")) + "select voxel, v from done")(f)
+
+
+_open_close("opening", "min", "max")
+_open_close("closing", "max", "min")
+
+_P = T.legendre(30, 2)
+_TERMS = "p as (select t, -1 + 2 * t / 29.0::double x, (3 * (-1 + 2 * t / 29.0::double) ** 2 - 1) / 2 y from (select unnest(range(30))::int t)), sums as (select count(*)::double n, sum(y) sy, sum(y * y) syy, sum(x * x) sxx from p)"
+_FIT = "m as (select voxel, sum(v) v0, sum(v * x) v1, sum(v * y) v2 from ser join p using (t) group by 1), fit as (select voxel, (v0 * syy - v2 * sy) / (n * syy - sy * sy) b0, v1 / sxx b1, (v2 * n - v0 * sy) / (n * syy - sy * sy) b2 from m, sums)"
+
+
+@query(with_(SERIES, _TERMS, _FIT) + "select voxel, 0::int regressor, round(b0, 3) beta from fit union all select voxel, 1, round(b1, 3) from fit union all select voxel, 2, round(b2, 3) from fit")
+def glm_design(spark, d):
+    return rounded(T.glm(T.wide(series(spark, d)), _P), 3)
+
+
+@query(with_(SERIES, _TERMS, _FIT) + "select voxel, t, round(v - b0 - b1 * x - b2 * y, 3) v from ser join fit using (voxel) join p using (t)")
+def drift_quadratic(spark, d):
+    return rounded(T.long(T.drift_correct(T.wide(series(spark, d)), 30, 2)), 3)
+
+
+@query(with_(SERIES, "w as (select t, 1 + t % 3 w from (select unnest(range(30))::int t))", "s as (select voxel, sum(w) n, sum(w * t) st, sum(w * t * t) stt, sum(w * v) sv, sum(w * t * v) stv from ser join w using (t) group by 1)", "f as (select voxel, (n * stv - st * sv) / (n * stt - st * st) b, sv / n - (n * stv - st * sv) / (n * stt - st * st) * st / n a from s)") + "select voxel, t, round(v - a - b * t, 3) v from ser join f using (voxel)")
+def regress_weighted(spark, d):
+    out = T.regress_weighted(T.wide(series(spark, d)), [[1.0] * 30, [float(t) for t in range(30)]], [1.0 + t % 3 for t in range(30)])
+    return rounded(T.long(out), 3)
+
+
+@query(with_(SERIES, "x as (select a.t, b.t other, round(sum((a.v - b.v) ** 2), 4) d2 from ser a join ser b using (voxel) where a.t <> b.t group by 1, 2)") + "select t, other, d2, row_number() over (partition by t order by d2, other)::int rank from x qualify row_number() over (partition by t order by d2, other) <= 3")
+def temporal_knn(spark, d):
+    return T.frame_neighbours(series(spark, d), 3)
+
+
+@query("select round((sum(w * x * y) / sum(w) - sum(w * x) * sum(w * y) / sum(w) ** 2) / sqrt((sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) * (sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2)), 5) r from (select l_quantity x, l_extendedprice y, l_discount + 0.01 w from lineitem)")
+def weighted_correlation(spark, d):
+    return rounded(A.weighted_correlation(read(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_discount") + 0.01).alias("w"))), 5)
+
+
+@query(with_(VOLUME) + "select round(sum((v - 20 * label) ** 2), 2) ssd, round(avg((v - 20 * label) ** 2), 2) mse, round(corr(v, label) ** 2, 6) cc2 from vol")
+def image_similarity(spark, d):
+    out = A.image_similarity(volume(spark, d).select(F.col("v").alias("x"), (F.col("label") * 20.0).alias("y")))
+    return out.select(F.round("ssd", 2).alias("ssd"), F.round("mse", 2).alias("mse"), F.round("cc2", 6).alias("cc2"))
+
+
+@query("with r as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 rx, rank() over (order by l_discount) + (count(*) over (partition by l_discount) - 1) / 2.0 ry from lineitem) select round(corr(rx, ry), 6) rho from r")
+def spearman_rank(spark, d):
+    return rounded(A.spearman(read(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))), 6)
+
+
+@query("with h as (select floor(l_quantity / 5 + 0.5)::int as bin, count(*) c from lineitem group by 1) select sum(c)::bigint n, round(sum(c * bin * 5.0) / sum(c), 4) mean, round(sum(c * bin * bin * 25.0) / sum(c) - (sum(c * bin * 5.0) / sum(c)) ** 2, 4) variance, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 4) entropy from h")
+def histogram_measures(spark, d):
+    h = A.histogram(read(spark, d, "lineitem").select(F.col("l_quantity").alias("v")), 0.0, 5.0, 20)
+    return rounded(A.histogram_measures(h, 0.0, 5.0))
+
+
+@query(with_(SERIES) + "select t, roi::int roi, round(coalesce(avg(v), 0.0), 4) v from (select distinct t from ser) g, (select unnest(range(1, 11)) roi) r left join (select t tt, voxel % 8 + 1 x, v from ser) s on s.tt = t and s.x = roi group by 1, 2")
+def roi_mean_full(spark, d):
+    return rounded(A.roi_mean_full(series(spark, d), (F.col("voxel") % 8 + 1).cast("int"), 10))
+
+
+@query(with_(CELLS) + "select \"row\", (col - case when col > 1 then 1 else 0 end - case when col > 3 then 1 else 0 end)::int as col, v from cells where col not in (1, 3)")
+def matrix_remove_columns(spark, d):
+    return X.remove_columns(cells(spark, d), [3, 1])
+
+
+@query(with_(CELLS) + "select \"row\", col, v from cells union all select \"row\", (col + 5)::int, v * 2 from cells")
+def matrix_join_columns(spark, d):
+    c = cells(spark, d)
+    return X.join_columns(c, c.withColumn("v", F.col("v") * 2), 5)
+
+
+@query(with_(CELLS) + "select \"row\", col, v from cells union all select (\"row\" + 30000)::int, col, v from cells")
+def matrix_join_rows(spark, d):
+    c = cells(spark, d)
+    return X.join_rows(c, c, 30000)
+
+
+GRAM = "gram as (select a.col as rw, b.col as cl, sum(a.v * b.v) v from cells a join cells b on a.\"row\" = b.\"row\" group by 1, 2)"
+
+
+@query(with_(CELLS, GRAM) + "select (rw * (rw - 1) / 2 + cl)::bigint place, round(v, 3) v from gram where cl < rw")
+def matrix_lower_triangle(spark, d):
+    c = cells(spark, d)
+    return rounded(X.lower_triangle(X.product(X.transpose(c), c)), 3)
+
+
+@query(with_(VOLUME) + "select voxel, k as i, (9 - i)::int as j, j as k, v from vol")
+def reorient_image(spark, d):
+    return E.reorient(volume(spark, d), "kij", "i", {"i": 10, "j": 10})
+
+
+@query(with_(VOLUME) + "select voxel, i * 2.0::double - 90 x, j * 2.5::double - 126 y, k * 3.0::double - 72 z from vol")
+def image_spacing(spark, d):
+    return E.millimetres(volume(spark, d), (2.0, 2.5, 3.0), (-90.0, -126.0, -72.0))
+
+
+@query("select a.user_id, a.ts, a.event_id, (select b.value from events b where b.user_id = a.user_id and b.event_type = 'purchase' and b.ts <= a.ts order by b.ts desc limit 1) as as_of from events a where event_type <> 'purchase'")
+def join_as_of(spark, d):
+    e = read(spark, d, "events")
+    return J.as_of(e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'purchase'"), "user_id", "ts", "value")
+
+
+@query("with a as (select o_custkey k, count(*) n from orders where o_totalprice > 300000 group by 1), b as (select c_custkey k, c_acctbal bal from customer where c_acctbal > 5000) select coalesce(a.k, b.k) k, n, bal from a full join b on a.k = b.k")
+def join_full(spark, d):
+    a = read(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return a.join(read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")), "k", "full")
+
+
+@query("select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate::date range between interval 90 days preceding and current row), 2) v, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following) as second from orders")
+def range_frame(spark, d):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    w = Window.partitionBy("o_custkey")
+    o = read(spark, d, "orders").withColumn("day", day)
+    v = F.round(F.sum("o_totalprice").over(w.orderBy("day").rangeBetween(-90, 0)), 2)
+    second = F.nth_value("o_orderkey", 2).over(w.orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return o.select("o_orderkey", v.alias("v"), second.alias("second"))
+
+
+@query("select l_returnflag, l_linestatus, count(distinct l_suppkey) n, grouping(l_returnflag)::int g from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus))")
+def grouping_sets(spark, d):
+    read(spark, d, "lineitem").createOrReplaceTempView("lamina_lineitem")
+    return spark.sql("select l_returnflag, l_linestatus, count(distinct l_suppkey) n, cast(grouping(l_returnflag) as int) g from lamina_lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus))")
+
+
+@query("select p_partkey, round(exp(-((p_size - 25.0) ** 2) / 50) / (5 * sqrt(2 * pi())) - exp(-((p_size - 25.0) ** 2) / 200) / (10 * sqrt(2 * pi())), 6) v from part")
+def gaussian_difference(spark, d):
+    x = F.col("p_size").cast("double")
+    return rounded(read(spark, d, "part").select("p_partkey", (S.gaussian(x, 25.0, 5.0) - S.gaussian(x, 25.0, 10.0)).alias("v")), 6)
+
+
+@query("select c_custkey, replace(trim(regexp_replace(c_name || '  ' || c_mktsegment, '\\s+', ' ', 'g')), ' ', ',') line, 'sub-' || c_custkey || '_' || c_mktsegment as job from customer")
+def text_tools(spark, d):
+    c = read(spark, d, "customer")
+    job = S.fill_in(F.lit("sub-%id%_#seg#"), {"id": F.col("c_custkey").cast("string"), "seg": F.col("c_mktsegment")})
+    return c.select("c_custkey", S.separated(F.concat("c_name", F.lit("  "), "c_mktsegment")).alias("line"), job.alias("job"))
+
+
+@query(with_(EDGES, DEGREE) + "select node, total, row_number() over (order by total desc, node) as place from deg")
+def sort_nodes(spark, d):
+    deg = G.degree(edges(spark, d)).select("node", "total", (-F.col("total")).alias("o")).withColumn("key", F.struct("o", "node"))
+    return A.global_rank(deg, "key").select("node", "total", F.col("rank").alias("place"))
