@@ -132,14 +132,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_terms: int
     parts = [ids.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     chosen = keep(parts[0].unionByName(parts[1]))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # 2 * per_class ids
-    sample = sample.select("y", "text").toPandas()
-    texts, y = sample.text.fillna("").tolist(), sample.y.to_numpy(np.int64)
+    sample = sample.select("y", "text").toArrow()
+    y = sample.column("y").to_numpy().astype(np.int64)
     if y.sum() in (0, len(y)):
         return Machine(np.empty(0, U), -20.0, np.zeros(0), np.zeros((0, 1)))
     hasher, sets = Hasher(), []
     with np.errstate(over="ignore"):
-        for _, _, offs, buf in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
-            sets += unique_terms(buf, offs, hasher)
+        for batch in sample.to_batches():
+            for _, _, offs, buf in chunks(batch):
+                sets += unique_terms(buf, offs, hasher)
+    slots = U((1 << 22) - 1)
+    often = np.zeros(1 << 22, np.uint16)  # never less than a term's own count: rare terms go before any is sorted
+    for x in sets:
+        np.add.at(often, (x & slots).astype(np.int64), np.uint16(1))
+    sets = [x[often[(x & slots).astype(np.int64)] >= least] for x in sets]
+    del sample, often
     h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     u, at = np.unique(h, return_inverse=True)
     has = np.stack([np.bincount(at[y[who] == k], minlength=len(u)) for k in (0, 1)]).astype(float)
