@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,12 +187,17 @@ def fit(train: DataFrame, hot: int = HOT, size: int = 0) -> Model | None:
     return Model(langs, table, buckets, below, gram[order].astype(np.uint32), np.concatenate([costs[order], np.zeros((1, len(langs)), np.int32)]))
 
 
-def code_lengths(d: DataFrame, model: Model) -> DataFrame:
-    """uid, doc_id, letter, size, units of each language (u0, u1, ...) of every row of d(doc_id, text, letter); uid numbers the rows of this run."""
+def predictions(d: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, bits_per_byte of every row of d(doc_id, text, letter).
+
+    Texts go in blocks of whole texts. A block keeps its sums over broadcast 4-grams; its other 4-grams go to their buckets,
+    and each bucket answers a block in one row.
+    """
     sc, langs, buckets = d.sparkSession.sparkContext, model.langs, model.buckets
     shared = sc.broadcast((model.gram, model.cost))
     known = sc.broadcast(model.below)
-    names = [f"u{k}" for k in range(len(langs))]
+    columns = {"bucket": pa.int32(), "block": pa.int64(), "doc_id": pa.list_(pa.int64()), "letter": pa.binary(), "size": pa.binary(), "gram": pa.binary(), "who": pa.binary(), "units": pa.binary()}
+    schema = "bucket int, block long, doc_id array<long>, letter binary, size binary, gram binary, who binary, units binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, cost = shared.value
@@ -199,10 +205,9 @@ def code_lengths(d: DataFrame, model: Model) -> DataFrame:
         slot = lambda g: (g * np.uint32(0x9E3779B1)) >> np.uint32(12)
         first = np.full(1 << 20, max(0, cold - 1), np.int32)
         first[slot(gram)] = np.arange(cold)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.int64()] * len(langs), pa.binary(), pa.binary(), pa.binary())
-        columns = ["bucket", "uid", "doc_id", "letter", "size", *names, "gram", "who", "uids"]
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            uid = batch.column(0).to_numpy()
+            letter = np.array(batch.column(2).to_pylist(), bool)
             for i, j, offs, buf in chunks(batch):
                 code, m, n = codes(buf, offs), j - i, np.diff(offs)
                 at = np.take(first, slot(code)) if cold else np.zeros(len(code), np.int32)
@@ -212,40 +217,50 @@ def code_lengths(d: DataFrame, model: Model) -> DataFrame:
                 full = n > 0
                 if full.any():
                     out[full] = np.add.reduceat(cost[at], offs[:-1][full], axis=0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((uid[i:j] % buckets).astype(np.int32)), batch.column(0).slice(i, m), batch.column(1).slice(i, m), batch.column(3).slice(i, m), pa.array(n), *[pa.array(out[:, k]) for k in range(len(langs))], *[pa.nulls(m, pa.binary())] * 3], columns)
+                rows = [(block % buckets, block, batch.column(0).slice(i, m).to_pylist(), letter[i:j].tobytes(), n.astype(np.int64).tobytes(), None, None, out.tobytes())]
                 miss = miss[at[miss] == cold]
-                who, rare = np.searchsorted(offs, miss, "right") - 1, code[miss]
+                who, rare = (np.searchsorted(offs, miss, "right") - 1).astype(np.uint32), code[miss]
                 part = bucket_of(rare, buckets)
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(buckets + 1))
-                rows = []
                 for b in np.flatnonzero(np.diff(cut)):
                     x = order[cut[b] : cut[b + 1]]
-                    used, place = np.unique(who[x], return_inverse=True)
-                    rows.append((int(b), *[None] * (4 + len(langs)), rare[x].tobytes(), place.astype(np.uint32).tobytes(), uid[i:j][used].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
+                    rows.append((int(b), block, None, None, None, rare[x].tobytes(), who[x].tobytes(), None))
+                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), columns.values())], list(columns))
 
     def meet(counts: pa.Table, sent: pa.Table) -> pa.Table:
-        own = sent.filter(pa.compute.is_null(sent.column("gram"))).select(["uid", "doc_id", "letter", "size", *names])
-        packed = sent.filter(pa.compute.is_valid(sent.column("gram"))).select(["gram", "who", "uids"]).to_pylist()
-        if not packed:
+        own = sent.filter(pa.compute.is_null(sent.column("gram")))
+        asked = sent.filter(pa.compute.is_valid(sent.column("gram"))).select(["bucket", "block", "gram", "who"]).to_pylist()
+        if not asked:
             return own
-        uids = [np.frombuffer(r["uids"], np.int64) for r in packed]
-        at0 = np.cumsum([0, *map(len, uids)])
-        u, at = np.unique(np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in packed]), return_inverse=True)
-        place = np.concatenate([np.frombuffer(r["who"], np.uint32).astype(np.int64) + a for r, a in zip(packed, at0)])
+        u, at = np.unique(np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in asked]), return_inverse=True)
         lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
         cost = units(Trees(langs, lang, gram, n, depths=(2, 3), below=known.value).costs(u))
-        # Sums of whole numbers below 2**53 are exact.
-        sums = [pa.array(np.bincount(place, cost[at, k], at0[-1]).astype(np.int64)) for k in range(len(langs))]
-        none = [pa.nulls(at0[-1], t) for t in (pa.int64(), pa.bool_(), pa.int64())]
-        return pa.concat_tables([own, pa.table([pa.array(np.concatenate(uids)), *none, *sums], own.column_names)])
-
-    sums = "".join(f", {x} long" for x in names)
-    sent = d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "letter").mapInArrow(send, f"bucket int, uid long, doc_id long, letter boolean, size long{sums}, gram binary, who binary, uids binary")
-    parts = model.counts.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(meet, f"uid long, doc_id long, letter boolean, size long{sums}")
-    return parts.groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "letter", "size")], *[F.sum(x).alias(x) for x in names])
+        rows, base = [], 0
+        for r in asked:
+            who, place = np.unique(np.frombuffer(r["who"], np.uint32), return_inverse=True)
+            sums = np.zeros((len(who), len(langs)), np.int64)
+            np.add.at(sums, place, cost[at[base : base + len(place)]])
+            base += len(place)
+            rows.append((r["bucket"], r["block"], None, None, None, None, who.tobytes(), sums.tobytes()))
+        return pa.concat_tables([own, pa.table([pa.array(c, k) for c, k in zip(zip(*rows), columns.values())], names=list(columns))])
+
+    def finish(table: pa.Table) -> pa.Table:
+        head = table.filter(pa.compute.is_valid(table.column("size"))).to_pylist()[0]
+        size, ok = np.frombuffer(head["size"], np.int64), np.frombuffer(head["letter"], bool)
+        total = np.frombuffer(head["units"], np.int64).reshape(-1, len(langs)).copy()
+        for r in table.filter(pa.compute.is_null(table.column("size"))).select(["who", "units"]).to_pylist():
+            total[np.frombuffer(r["who"], np.uint32)] += np.frombuffer(r["units"], np.int64).reshape(-1, len(langs))
+        best = total.argmin(1)
+        least = total[np.arange(len(best)), best]
+        pred = [langs[b] if k else NO_LANGUAGE for b, k in zip(best, ok)]
+        score = np.where(ok, 1 / np.exp2(np.maximum((least[:, None] - total) * UNIT, -1000)).sum(1), 0.0)
+        return pa.table({"doc_id": pa.array(head["doc_id"], pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": score, "bits_per_byte": least * UNIT / np.maximum(size, 1)})
+
+    sent = d.select("doc_id", "text", "letter").mapInArrow(send, schema)
+    parts = model.counts.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(meet, schema)
+    return parts.groupBy("block").applyInArrow(finish, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -260,16 +275,4 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     model = fit(train.where("lang is not null and text is not null").select("text", "lang"), hot, size)
     if model is None:
         return d.select("doc_id", F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    langs = model.langs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok, size = np.array(batch.column("letter").to_pylist(), bool), batch.column("size").to_numpy()
-            all_bits = np.stack([batch.column(f"u{k}").to_numpy() for k in range(len(langs))], 1)
-            best = all_bits.argmin(1)
-            least = all_bits[np.arange(len(best)), best]
-            pred = [langs[b] if k else NO_LANGUAGE for b, k in zip(best, ok)]
-            score = np.where(ok, 1 / np.exp2(np.maximum((least[:, None] - all_bits) * UNIT, -1000)).sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(least * UNIT / np.maximum(size, 1))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return code_lengths(d, model).drop("uid").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return predictions(d, model)
