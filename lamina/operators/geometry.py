@@ -102,3 +102,31 @@ def mapping_error(pairs: DataFrame, m: Matrix) -> DataFrame:
     new = apply_matrix(m, F.col("x"), F.col("y"), F.col("z"))
     d2 = sum(((c - F.col(n)) ** 2 for c, n in zip(new, "uvw")), F.lit(0.0))
     return pairs.agg(F.avg(F.sqrt(d2)).alias("mean"), F.sqrt(F.avg(d2)).alias("rms"))
+
+
+def grid_points(points: DataFrame, grid: DataFrame, origin: tuple[float, float, float], spacing: tuple[float, float, float], dims: tuple[int, int, int], spline: bool = True) -> DataFrame:
+    """points(id, x, y, z) moved by a grid of displacements(gi, gj, gk, dx, dy, dz).
+
+    Each point meets the 64 nodes around it with cubic B-spline weights, or 8 with linear ones; beyond the border the
+    nearest node counts. Every node of dims must be there.
+    """
+    p = points.select("id", "x", "y", "z")
+    for a, o, s, n in zip("xyz", origin, spacing, dims):
+        at = (F.col(a) - o) / s
+        p = p.withColumn("_b", at.cast("int")).withColumn("_t", at - F.col("_b"))
+        t = F.col("_t")
+        cubic = [F.pow(1 - t, F.lit(3)) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6]
+        shares = list(zip((-1, 0, 1, 2), cubic)) if spline else [(0, 1 - t), (1, t)]
+        node = lambda k: F.least(F.greatest(F.col("_b") + k, F.lit(0)), F.lit(n - 1))  # noqa: E731, B023
+        p = p.withColumn(f"_{a}", F.explode(F.array(*[F.struct(node(k).alias("n"), w.alias("w")) for k, w in shares]))).drop("_b", "_t")
+    p = p.select("id", "x", "y", "z", *[F.col(f"_{a}.n").alias(g) for a, g in zip("xyz", ("gi", "gj", "gk"))], (F.col("_x.w") * F.col("_y.w") * F.col("_z.w")).alias("w"))
+    j = p.join(grid, ["gi", "gj", "gk"]).groupBy("id", "x", "y", "z")
+    moved = j.agg(*[F.sum(F.col("w") * F.col(f"d{a}")).alias(f"m{a}") for a in "xyz"])
+    return moved.select("id", *[(F.col(a) + F.col(f"m{a}")).alias(a) for a in "xyz"])
+
+
+def rotation_scale(degrees: float, scale: tuple[float, float, float], centre: tuple[float, float, float]) -> Matrix:
+    """The matrix that turns about k and scales, both about a centre; for reslice() it takes output places to input places."""
+    a = np.deg2rad(degrees)
+    m = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]]) @ np.diag(scale)
+    return np.column_stack([m, np.array(centre) - m @ np.array(centre)]).tolist()

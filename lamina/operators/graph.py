@@ -38,3 +38,9 @@ def leading_eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
         norm = y.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n")).first()["n"]
         x = y.select("node", (F.col("x") / F.lit(float(norm or 1.0))).alias("x"))
     return x
+
+
+def maximum_node(degrees: DataFrame) -> DataFrame:
+    """node, total of the largest total degree, the smallest node of ties: one row."""
+    m = F.max(F.struct("total", (-F.col("node")).alias("o")))
+    return degrees.agg(m.alias("m")).select((-F.col("m.o")).alias("node"), F.col("m.total").alias("total"))

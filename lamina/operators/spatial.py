@@ -197,3 +197,13 @@ def smooth_labels(img: DataFrame, weight: float, iterations: int) -> DataFrame:
         best = vote.groupBy("i", "j", "k", "label").agg(F.sum("n").alias("n")).groupBy("i", "j", "k").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
         now = keep(now.select("voxel", "i", "j", "k").join(best, ["i", "j", "k"]))
     return now.select("voxel", "label")
+
+
+def patch_vectors(img: DataFrame, dims: tuple[int, int, int], radius: tuple[int, int, int], step: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """voxel, vals: the values of each voxel's box in order of k, j, i; beyond the border the nearest voxel's."""
+    box = img.select("voxel", "i", "j", "k")
+    for axis, size, r, s in zip("ijk", dims, radius, step):
+        box = box.withColumn(f"o{axis}", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn(axis, F.least(F.greatest(F.col(axis) + F.col(f"o{axis}") * s, F.lit(0)), F.lit(size - 1)))
+    j = box.join(img.select("i", "j", "k", "v"), ["i", "j", "k"])
+    vals = F.transform(F.array_sort(F.collect_list(F.struct("ok", "oj", "oi", "v"))), lambda x: x["v"])
+    return j.groupBy("voxel").agg(vals.alias("vals"))

@@ -191,3 +191,17 @@ def roi_mean_full(ser: DataFrame, roi: Column, regions: int) -> DataFrame:
     have = roi_mean(ser, roi)
     grid = ser.select("t").distinct().select("t", F.explode(F.sequence(F.lit(1), F.lit(regions))).alias("roi"))
     return grid.join(have, ["t", "roi"], "left").select("t", "roi", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def squared_correlation(pairs: DataFrame, least: float = 0.00001) -> DataFrame:
+    """Squared covariance of (x, y) over the product of their variances, each `least` at least: one row cc."""
+    return pairs.agg((F.covar_pop("x", "y") ** 2 / (F.greatest(F.var_pop("x"), F.lit(least)) * F.greatest(F.var_pop("y"), F.lit(least)))).alias("cc"))
+
+
+def project_on_vectors(ser: DataFrame, vectors: DataFrame, scale: float = 1.0) -> DataFrame:
+    """voxel, t, v: each frame rebuilt from vectors(voxel, c, e), its coefficient on c being sum(v e) / scale squared.
+
+    Coefficients (frames times vectors) combine before their shuffle; every voxel of the vectors is rebuilt.
+    """
+    a = ser.join(vectors, "voxel").groupBy("t", "c").agg((F.sum(F.col("v") * F.col("e")) / (scale * scale)).alias("a"))
+    return vectors.join(a, "c").groupBy("voxel", "t").agg(F.sum(F.col("a") * F.col("e")).alias("v"))

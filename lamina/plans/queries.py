@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import chains as H
 from ..operators import elementwise as E
 from ..operators import geometry as M
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import matrices as X
+from ..operators import perfusion as U
 from ..operators import spatial as P
 from ..operators import statistics as A
 from ..operators import temporal as T
@@ -806,3 +808,117 @@ def text_tools(spark, d):
 def sort_nodes(spark, d):
     deg = G.degree(edges(spark, d)).select("node", "total", (-F.col("total")).alias("o")).withColumn("key", F.struct("o", "node"))
     return A.global_rank(deg, "key").select("node", "total", F.col("rank").alias("place"))
+
+
+# --- perfusion, grids, patches, chains ----------------------------------------------------------------------------
+
+
+def _dims(img):
+    return 10, 10, img.agg(F.max("k").alias("k")).first()["k"] + 1  # one number
+
+
+@query(with_(VOLUME, "c as (select avg(v) / 8 cut from vol)", "m as (select avg(v) mean from vol, c where v > cut)") + "select voxel, round(case when v * (50.0 / mean) > 40 then v * (50.0 / mean) else 0.0 end, 4) v from vol, m")
+def spect_normalize(spark, d):
+    return rounded(U.normalize(volume(spark, d)))
+
+
+@query(with_(VOLUME) + "select voxel, round(case when label > 5 then (v - 30.0 * label - 10.0) / (label - 5) else 0.0 end, 4) v from vol")
+def spect_tmap(spark, d):
+    v = volume(spark, d)
+    other = lambda c: v.select("voxel", c.alias("v"))
+    return rounded(U.difference_map(v, other(F.col("label") * 30.0), other(F.col("label") - 5.0), other(F.lit(10.0))))
+
+
+_BOX = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)][1:]
+_SIDES = " ".join(f"left join o p{x}{y}{z} on p{x}{y}{z}.i = a.i + {x} and p{x}{y}{z}.j = a.j + {y} and p{x}{y}{z}.k = a.k + {z}" for x, y, z in _BOX)
+_FLAGS = ", ".join(f"p{x}{y}{z}.i is not null f{x}{y}{z}" for x, y, z in _BOX)
+RESELS = f"""o as (select i, j, k from vol where label > 12), f as (select {_FLAGS} from o a {_SIDES} where a.i < 9 and a.j < 9 and a.k < (select max(k) from vol)),
+ g as (select count(*) n, count(*) filter (f100) xe, count(*) filter (f010) ye, count(*) filter (f001) ze, count(*) filter (f100 and f010 and f110) xy, count(*) filter (f100 and f001 and f101) xz,
+  count(*) filter (f010 and f001 and f011) yz, count(*) filter (f100 and f010 and f110 and f001 and f101 and f011 and f111) cubes from f),
+ rs as (select *, (n - xe - ye - ze + xy + xz + yz - cubes)::double r0, (xe - xy - xz + cubes) * 0.11627907::double + (ye - xy - yz + cubes) * 0.120481928::double + (ze - yz - xz + cubes) * 0.109289617::double r1,
+  (xy - cubes) * 0.11627907::double * 0.120481928 + (xz - cubes) * 0.11627907::double * 0.109289617 + (yz - cubes) * 0.120481928::double * 0.109289617 r2, cubes * 0.11627907::double * 0.120481928 * 0.109289617 r3 from g)"""
+
+
+def _spots(spark, d):
+    return _label_image(spark, d).withColumn("v", F.when(F.col("v") > 12, F.col("v")).otherwise(0.0))
+
+
+@query(with_(VOLUME, RESELS) + "select n, xe, ye, ze, xy, xz, yz, cubes, r0, round(r1, 5) r1, round(r2, 5) r2, round(r3, 5) r3 from rs")
+def resel_counts(spark, d):
+    v = _spots(spark, d)
+    return rounded(U.resel_counts(v, _dims(v)), 5)
+
+
+_E = U.euler_densities(0.05, U.T_CUTS[0.05])
+_EM = " + ".join(f"{e!r}::double * r{k}" for k, e in enumerate(_E))
+
+
+@query(with_(VOLUME, RESELS, CC.replace("label > 30", "label / 20.0 > 1.76885")) + f"select component, n, peak, t, round(p, 6) p_cluster, round(1 - exp(-em * p), 6) p_corrected from (select *, exp(-((1.3378 / {_E[0] / _E[3]!r}::double * n / {U.SMOOTHNESS!r}::double) ** (2 / 3.0::double))) p from (select component, count(*) n, arg_max(voxel, label * 1000000 - voxel)::bigint peak, max(label / 20.0)::double t from comp join vol using (voxel) group by 1), (select {_EM} em from rs))")
+def cluster_probabilities(spark, d):
+    v = _spots(spark, d).withColumn("v", F.col("v") / 20)
+    return rounded(U.cluster_probabilities(v, _dims(v)), 6)
+
+
+@query("select round((avg(l_quantity * l_extendedprice) - avg(l_quantity) * avg(l_extendedprice)) ** 2 / (var_pop(l_quantity) * var_pop(l_extendedprice)), 6) cc from lineitem")
+def squared_correlation(spark, d):
+    return rounded(A.squared_correlation(read(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))), 6)
+
+
+@query(with_(SERIES, "e as (select voxel, c, ((voxel * (c + 1)) % 7 - 3) / 10.0::double e from (select distinct voxel from ser), (select unnest(range(3)) c))", "a as (select t, c, sum(v * e) / 4 a from ser join e using (voxel) group by 1, 2)") + "select voxel, t, round(sum(a * e), 3) v from e join a using (c) group by 1, 2")
+def eigenvector_denoise(spark, d):
+    s = series(spark, d)
+    c = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    e = s.select("voxel").distinct().select("voxel", c.alias("c")).withColumn("e", ((F.col("voxel") * (F.col("c") + 1)) % 7 - 3) / 10.0)
+    return rounded(A.project_on_vectors(s, e, 2.0), 3)
+
+
+@query(with_(EDGES, DEGREE) + "select node, total from deg order by total desc, node limit 1")
+def maximum_node(spark, d):
+    return G.maximum_node(G.degree(edges(spark, d)))
+
+
+def _axis_sql(a: str) -> str:
+    w = "case o when -1 then (1 - t) ** 3 / 6 when 0 then (3 * t ** 3 - 6 * t ** 2 + 4) / 6 when 1 then (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6 else t ** 3 / 6 end"
+    return f"w{a} as (select id, least(greatest(b + o, 0), 3) n{a}, {w} w{a} from (select id, trunc({a} / 4)::int b, {a} / 4 - trunc({a} / 4) t, unnest([-1, 0, 1, 2]) o from pts))"
+
+
+@query(with_(VOLUME, "pts as (select voxel id, i::double x, j::double y, k::double z from vol)", *[_axis_sql(a) for a in "xyz"]) + "select id, round(any_value(x) + sum(wx * wy * wz * (0.1 * nx - 0.05 * ny)), 4) x, round(any_value(y) + sum(wx * wy * wz * 0.02 * nz * nx), 4) y, round(any_value(z) + sum(wx * wy * wz * 0.3 * (ny % 2)), 4) z from pts join wx using (id) join wy using (id) join wz using (id) group by id")
+def grid_spline(spark, d):
+    g = spark.range(64).select((F.col("id") % 4).cast("int").alias("gi"), F.floor(F.col("id") / 4 % 4).cast("int").alias("gj"), F.floor(F.col("id") / 16).cast("int").alias("gk"))
+    g = g.select("*", (0.1 * F.col("gi") - 0.05 * F.col("gj")).alias("dx"), (0.02 * F.col("gk") * F.col("gi")).alias("dy"), (0.3 * (F.col("gj") % 2)).alias("dz"))
+    return rounded(M.grid_points(_points(spark, d), g, (0.0, 0.0, 0.0), (4.0, 4.0, 4.0), (4, 4, 4)))
+
+
+@query(with_(VOLUME) + "select a.i, a.j, a.k, round(coalesce(b.v, 0.0), 3) v from vol a left join vol b on b.i = 9 - a.j and b.j = a.i and b.k = a.k")
+def rotate_image(spark, d):
+    v = volume(spark, d)
+    return rounded(M.reslice(v, v.select("i", "j", "k"), M.rotation_scale(90.0, (1.0, 1.0, 1.0), (4.5, 4.5, 0.0)), _dims(v)), 3)
+
+
+@query(with_(VOLUME, "top as (select max(k) m from vol)", "x as (select a.voxel, c, b, e, least(greatest(a.i + b, 0), 9) i, least(greatest(a.j + c, 0), 9) j, least(greatest(a.k + e, 0), m) k from vol a, top, (select unnest([-1, 0, 1]) b), (select unnest([-1, 0, 1]) c), (select unnest([-1, 0, 1]) e))") + "select x.voxel, list(v order by e, c, b) vals from x join vol using (i, j, k) group by 1")
+def patch_vectors(spark, d):
+    v = volume(spark, d)
+    return P.patch_vectors(v, _dims(v), (1, 1, 1))
+
+
+@query(with_(SERIES, "b as (select voxel, t, v blue, v * 0.5 + t uv, v - 3 blue_f, v * 0.4 + 1 uv_f from ser)", "r as (select *, blue_f + avg(blue - blue_f) over w bb, uv_f + avg(uv - uv_f) over w uu from b window w as (partition by voxel))") + "select voxel, t, round(blue_f - sum(uu * bb) over w / sum(uu * uu) over w * uv_f, 3) v from r window w as (partition by voxel)")
+def two_wavelengths(spark, d):
+    v, t = F.col("v"), F.col("t")
+    return rounded(H.two_wavelengths(series(spark, d).select("voxel", "t", v.alias("blue"), (v * 0.5 + t).alias("uv"), (v - 3).alias("blue_f"), (v * 0.4 + 1).alias("uv_f"))), 3)
+
+
+_MOTION = "mo as (select voxel, t, v - (t % 4) * sum(v * (t % 4)) over (partition by voxel) / sum((t % 4) * (t % 4)) over (partition by voxel) v from ser)"
+_DRIFTED = DRIFT.replace("from ser join b", "from hi_y join b") + ", cl as (select s.voxel, s.t, case when s.voxel % 3 = 0 then 0.0 else v - c0 * x0 - c1 * x end v from hi_y s join b on s.t = b.t join c on s.voxel = c.voxel)"
+
+
+@query(with_(SERIES, _MOTION, _butter_sql(0.15, False, "mo", "lo"), _butter_sql(0.03, True, "lo_y", "hi"), _DRIFTED, GLOBAL.replace("from ser", "from cl")) + "select voxel, s.t, round(v - u * sum(v * u) over (partition by voxel), 2) v from cl s join u on s.t = u.t")
+def clean_voxels(spark, d):
+    out = H.clean_voxels(series(spark, d), 30, [[float(t % 4) for t in range(30)]], 0.03, 0.15, 1.0, 1, F.col("voxel") % 3 != 0)
+    return rounded(out, 2)
+
+
+@query(with_(SERIES, ROI, "rs as (select roi voxel, t, v from roi union all select 0, t, avg(v) from ser group by t)", _butter_sql(0.15, False, "rs", "lo"), _butter_sql(0.03, True, "lo_y", "hi")) + "select s.voxel roi, s.t, round(s.v - g.v * sum(s.v * g.v) over w / sum(g.v * g.v) over w, 3) v from hi_y s join hi_y g on s.t = g.t and g.voxel = 0 where s.voxel > 0 window w as (partition by s.voxel)")
+def clean_regions(spark, d):
+    s = series(spark, d)
+    g = s.groupBy("t").agg(F.avg("v").alias("v")).withColumn("name", F.lit("global"))
+    return rounded(H.clean_regions(s, (F.col("voxel") % 8 + 1).cast("int"), g, 0.03, 0.15, 1.0), 3)
