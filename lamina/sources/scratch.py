@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a table under spark.checkpoint.dir (a local folder where that is unset, as in tests) and read it back."""
+    """Write a table under spark.checkpoint.dir and read it back; where that is unset, a local folder serves a local master only."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = tempfile.mkdtemp(prefix="lamina-", dir="/tmp/checkpoints")
