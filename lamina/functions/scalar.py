@@ -76,3 +76,22 @@ def fill_in(template: Column, values: dict[str, Column]) -> Column:
         for mark in "%#":
             template = F.replace(template, F.lit(f"{mark}{name}{mark}"), v)
     return template
+
+
+#: The slice of coordinate 0 along each axis of the standard brain space.
+MNI_ZERO = (90, 126, 72)
+
+
+def mni_to_slice(x: Column, axis: int) -> Column:
+    """Whole slice of a coordinate; halves round up."""
+    return F.floor(x + 0.5) + MNI_ZERO[axis]
+
+
+def slice_to_mni(x: Column, axis: int) -> Column:
+    return F.floor(x + 0.5) - MNI_ZERO[axis]
+
+
+def run_order(name: Column) -> Column:
+    """A key that sorts run names by the number after their first '_'; names without one come last, by name."""
+    number = F.get(F.split(name, "_"), F.lit(1)).try_cast("long")
+    return F.struct(number.isNull().alias("none"), number.alias("number"), name.alias("name"))
