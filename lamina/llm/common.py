@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: spark.checkpoint.dir, or a local one where that is unset (as in tests)."""
+    """The shared folder for tables that cut lineage: spark.checkpoint.dir; where that is unset, a local one for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = tempfile.mkdtemp(prefix="lamina-", dir="/tmp/checkpoints")
