@@ -105,3 +105,19 @@ def reorient(img: DataFrame, axes: str, flips: str, sizes: dict[str, int]) -> Da
 def millimetres(img: DataFrame, spacing: tuple[float, float, float], origin: tuple[float, float, float]) -> DataFrame:
     """voxel, x, y, z: places in space under a spacing and an origin."""
     return img.select("voxel", *[(F.col(a) * s + o).alias(b) for a, b, s, o in zip("ijk", "xyz", spacing, origin)])
+
+
+def back_project(img: DataFrame, flat: DataFrame, axis: str, above: float, window: int, backwards: bool = False) -> DataFrame:
+    """voxel, v: values of a projection flat(two axes, v) laid on the surface that it shows, 0 elsewhere.
+
+    A ray comes from the axis's end (never hitting its first plane; backwards: from its start) and stops at the first
+    voxel above a threshold; that voxel and the window - 1 (1 at least) before it on the axis (backwards: after it) take
+    the ray's value.
+    """
+    rest = [a for a in "ijk" if a != axis]
+    seen = img.where(F.col("v") > above)
+    seen = seen if backwards else seen.where(F.col(axis) > 0)
+    hit = seen.groupBy(*rest).agg((F.min(axis) if backwards else F.max(axis)).alias("_hit")).join(flat.select(*rest, F.col("v").alias("_flat")), rest)
+    r = max(1, window - 1)
+    near = F.col(axis).between(F.col("_hit"), F.col("_hit") + r) if backwards else F.col(axis).between(F.col("_hit") - r, F.col("_hit"))
+    return img.select("voxel", "i", "j", "k").join(hit, rest, "left").select("voxel", F.when(near, F.col("_flat")).otherwise(0.0).alias("v"))

@@ -922,3 +922,17 @@ def clean_regions(spark, d):
     s = series(spark, d)
     g = s.groupBy("t").agg(F.avg("v").alias("v")).withColumn("name", F.lit("global"))
     return rounded(H.clean_regions(s, (F.col("voxel") % 8 + 1).cast("int"), g, 0.03, 0.15, 1.0), 3)
+
+
+def _back(name: str, ray: str, near: str):
+    def f(spark, d):
+        v = _label_image(spark, d)
+        flat = v.select("i", "j").distinct().withColumn("v", F.col("i") * 10.0 + F.col("j") + 1)
+        return E.back_project(v, flat, "k", 20, 3, name == "backwards")
+
+    f.__name__ = "back_project" + ("_backwards" if name == "backwards" else "")
+    return query(with_(VOLUME, f"h as (select i, j, {ray} hit from vol group by 1, 2)") + f"select voxel, case when {near} then i * 10.0::double + j + 1 else 0.0::double end v from vol join h using (i, j)")(f)
+
+
+_back("forwards", "max(k) filter (label > 20 and k > 0)", "k between hit - 2 and hit")
+_back("backwards", "min(k) filter (label > 20)", "k between hit and hit + 2")
