@@ -121,3 +121,36 @@ def back_project(img: DataFrame, flat: DataFrame, axis: str, above: float, windo
     r = max(1, window - 1)
     near = F.col(axis).between(F.col("_hit"), F.col("_hit") + r) if backwards else F.col(axis).between(F.col("_hit") - r, F.col("_hit"))
     return img.select("voxel", "i", "j", "k").join(hit, rest, "left").select("voxel", F.when(near, F.col("_flat")).otherwise(0.0).alias("v"))
+
+
+def lowest(img: DataFrame) -> float:
+    """The smallest v, which masks and boxes can write outside: one number."""
+    return float(img.agg(F.min("v")).first()[0] or 0.0)
+
+
+def crop_padded(img: DataFrame, box: dict[str, tuple[int, int]]) -> DataFrame:
+    """i, j, k, v of a box that may reach outside the image, axes numbered anew; what the image lacks is 0."""
+    grid = img.sparkSession.range(1)
+    for axis, (a, b) in box.items():
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(a), F.lit(b))))
+    inside = img.where(" and ".join(f"{axis} between {a} and {b}" for axis, (a, b) in box.items())).select(*box, "v")
+    full = grid.join(inside, list(box), "left")
+    return full.select(*[(F.col(axis) - a).alias(axis) for axis, (a, _) in box.items()], F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def permute_mirrored(img: DataFrame, order: list[str], dims: dict[str, int]) -> DataFrame:
+    """order ['K', 'Im', 'J']: the new i, j, k are the old k, the old i mirrored, and the old j."""
+    axis = lambda o: dims[o[0].lower()] - 1 - F.col(o[0].lower()) if o.endswith("m") else F.col(o[0].lower())
+    return img.select("voxel", *[axis(o).alias(n) for n, o in zip("ijk", order)], *[c for c in img.columns if c not in ("voxel", "i", "j", "k")])
+
+
+def plane(img: DataFrame, axis: str, at: int, size: int) -> DataFrame:
+    """One plane of an axis: below 0 is the middle, beyond the border the last."""
+    return img.where(F.col(axis) == (size // 2 if at < 0 else min(at, size - 1)))
+
+
+def label_counts_by_frame(frames: DataFrame, top: int) -> DataFrame:
+    """t, label, n for every frame of (t, voxel, v) and every label 0..top, 0 where a frame has none of it."""
+    have = frames.groupBy("t", F.round("v").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    every = frames.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("label"))
+    return every.join(have, ["t", "label"], "left").select("t", "label", F.coalesce("n", F.lit(0)).alias("n"))

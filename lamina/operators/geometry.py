@@ -28,36 +28,75 @@ def invert(m: Matrix) -> Matrix:
     return np.linalg.inv(np.vstack([np.array(m, float)[:3], [0, 0, 0, 1]]))[:3].tolist()
 
 
-def reslice(img: DataFrame, grid: DataFrame, m: Matrix, dims: tuple[int, int, int], linear: bool = True, background: float = 0.0) -> DataFrame:
-    """i, j, k, v of the output grid(i, j, k): the image at m applied to each place, `background` outside.
+def sample(places: DataFrame, img: DataFrame, keys: list[str], dims: tuple[int, int, int], order: int = 1, background: float = 0.0, frame: list[str] | None = None) -> DataFrame:
+    """keys, v: the image(i, j, k, v) at places(keys, sx, sy, sz) by nearest (order 0), linear (1) or cubic (3) interpolation.
 
-    Linear interpolation joins up to eight neighbours on their integer place and sums their weights; a place within half a
-    voxel outside the border is clamped to it.
+    A place joins up to 1, 8 or 64 neighbours on their integer place and sums their weights; neighbours beyond the border
+    are the border's. A place within half a voxel outside is clamped to the border, one farther away gets `background`.
+    frame: columns of both sides that must be equal as well, such as t.
     """
-    src = apply_matrix(m, F.col("i").cast("double"), F.col("j").cast("double"), F.col("k").cast("double"))
-    g = grid.select("i", "j", "k", *[c.alias(f"s{n}") for c, n in zip(src, "xyz")])
-    inside = F.lit(True)
+    inside, frame = F.lit(True), frame or []
     for n, size in zip("xyz", dims):
         inside = inside & F.col(f"s{n}").between(-0.5, size - 0.5)
-    g = g.withColumn("inside", inside)
+    g = places.select(*keys, *[f"s{n}" for n in "xyz"]).withColumn("inside", inside)
     for n, size in zip("xyz", dims):
         g = g.withColumn(f"s{n}", F.least(F.greatest(F.col(f"s{n}"), F.lit(0.0)), F.lit(float(size - 1))))
-    at = g.where("inside")
-    if linear:
-        weight = F.lit(1.0)
-        for n in "xyz":
-            at = at.withColumn(f"f{n}", F.floor(f"s{n}").cast("int")).withColumn(f"d{n}", F.explode(F.array(F.lit(0), F.lit(1))))
-            frac = F.col(f"s{n}") - F.col(f"f{n}")
-            weight = weight * F.when(F.col(f"d{n}") == 0, 1 - frac).otherwise(frac)
-        at = at.withColumn("w", weight).where("w > 0")
-    else:
-        at = at.withColumn("w", F.lit(1.0))
-        for n in "xyz":
-            at = at.withColumn(f"f{n}", F.floor(F.col(f"s{n}") + 0.5).cast("int")).withColumn(f"d{n}", F.lit(0))
-    at = at.select("i", "j", "k", "w", *[(F.col(f"f{n}") + F.col(f"d{n}")).alias(f"p{n}") for n in "xyz"])
-    v = img.select(F.col("i").alias("px"), F.col("j").alias("py"), F.col("k").alias("pz"), "v")
-    found = at.join(v, ["px", "py", "pz"]).groupBy("i", "j", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return g.select("i", "j", "k").join(found, ["i", "j", "k"], "left").select("i", "j", "k", F.coalesce("v", F.lit(background)).alias("v"))
+    at, weight = g.where("inside"), F.lit(1.0)
+    for n, size in zip("xyz", dims):
+        s = F.col(f"s{n}")
+        at = at.withColumn(f"f{n}", F.floor(s + (0.5 if order == 0 else 0.0)).cast("int"))
+        f = s - F.col(f"f{n}")
+        shares = {
+            0: [(0, F.lit(1.0))],
+            1: [(0, 1 - f), (1, f)],
+            3: [(-1, -0.5 * f * (f - 1) * (f - 1)), (0, 1 - 2.5 * f * f + 1.5 * f * f * f), (1, 0.5 * f + 2 * f * f - 1.5 * f * f * f), (2, 0.5 * f * f * (f - 1))],
+        }[order]
+        node = lambda k: F.least(F.greatest(F.col(f"f{n}") + k, F.lit(0)), F.lit(size - 1))  # noqa: E731, B023
+        at = at.withColumn(f"o{n}", F.explode(F.array(*[F.struct(node(k).alias("p"), w.alias("w")) for k, w in shares])))
+        weight = weight * F.col(f"o{n}.w")
+    at = at.select(*keys, weight.alias("w"), *[F.col(f"o{n}.p").alias(f"p{n}") for n in "xyz"]).where("w <> 0")
+    v = img.select(*frame, F.col("i").alias("px"), F.col("j").alias("py"), F.col("k").alias("pz"), "v")
+    found = at.join(v, [*frame, "px", "py", "pz"]).groupBy(*keys).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return g.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("v", F.lit(background)).alias("v"))
+
+
+def reslice(img: DataFrame, grid: DataFrame, m: Matrix, dims: tuple[int, int, int], linear: bool = True, background: float = 0.0, cubic: bool = False) -> DataFrame:
+    """i, j, k, v of the output grid(i, j, k): the image at m applied to each place, sampled as in sample()."""
+    src = apply_matrix(m, F.col("i").cast("double"), F.col("j").cast("double"), F.col("k").cast("double"))
+    places = grid.select("i", "j", "k", *[c.alias(f"s{n}") for c, n in zip(src, "xyz")])
+    return sample(places, img, ["i", "j", "k"], dims, 3 if cubic else int(linear), background)
+
+
+def motion_reslice(frames: DataFrame, transforms: DataFrame, dims: tuple[int, int, int], order: int = 1, background: float = 0.0) -> DataFrame:
+    """t, i, j, k, v of frames(t, i, j, k, v), each through its own transforms(t, m: 12 numbers by rows); frames without one are left out."""
+    j = frames.select("t", "i", "j", "k").join(transforms, "t")
+    at = [F.col(a).cast("double") for a in "ijk"]
+    places = j.select("t", "i", "j", "k", *[(sum((F.col("m")[4 * r + c] * at[c] for c in range(3)), F.lit(0.0)) + F.col("m")[4 * r + 3]).alias(f"s{n}") for r, n in enumerate("xyz")])
+    return sample(places, frames, ["t", "i", "j", "k"], dims, order, background, ["t"])
+
+
+def round_trip_error(points: DataFrame, forward: Matrix, back: Matrix) -> DataFrame:
+    """Root mean square distance of points(x, y, z) from themselves after both transformations: one row."""
+    there = apply_matrix(forward, F.col("x"), F.col("y"), F.col("z"))
+    again = apply_matrix(back, *there)
+    return points.agg(F.sqrt(F.avg(sum(((c - F.col(n)) ** 2 for c, n in zip(again, "xyz")), F.lit(0.0)))).alias("rms"))
+
+
+def quaternion(m: Matrix) -> tuple[list[float], float]:
+    """(b, c, d) of the unit quaternion of a matrix's rotation with a >= 0, and the sign of its determinant; columns are scaled to length 1 first."""
+    r = np.array(m, float)[:3, :3]
+    r = r / np.linalg.norm(r, axis=0)
+    side = 1.0 if np.linalg.det(r) > 0 else -1.0
+    r[:, 2] *= side
+    k = np.array([
+        [r[0, 0] + r[1, 1] + r[2, 2], r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]],
+        [r[2, 1] - r[1, 2], r[0, 0] - r[1, 1] - r[2, 2], r[0, 1] + r[1, 0], r[0, 2] + r[2, 0]],
+        [r[0, 2] - r[2, 0], r[0, 1] + r[1, 0], r[1, 1] - r[0, 0] - r[2, 2], r[1, 2] + r[2, 1]],
+        [r[1, 0] - r[0, 1], r[0, 2] + r[2, 0], r[1, 2] + r[2, 1], r[2, 2] - r[0, 0] - r[1, 1]],
+    ])
+    q = np.linalg.eigh(k)[1][:, -1]  # the leading eigenvector is the rotation nearest to r
+    q = q if q[0] >= 0 else -q
+    return q[1:].tolist(), side
 
 
 def displacement(grid: DataFrame, m: Matrix) -> DataFrame:

@@ -12,19 +12,21 @@ def cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def radius_pairs(points: DataFrame, radius: float, by: str | None = None) -> DataFrame:
-    """a < b, d2 of points(id, x, y, z[, by]) with 0 < d2 <= radius squared (and equal `by`).
+def radius_pairs(points: DataFrame, radius: float, by: str | None = None, value: str | None = None) -> DataFrame:
+    """a < b, d2 of points(id, x, y, z[, by][, value]) with 0 < d2 <= radius squared (and equal `by`); value adds f2, its squared difference.
 
-    Points meet in cells of side `radius`: one side goes to its own cell, the other to the 27 around it.
+    Points meet in cells of side `radius`, of one `by`: one side goes to its own cell, the other to the 27 around it.
     """
-    own = points.select(F.col("id").alias("a"), *([F.col(by).alias("ga")] if by else []), *[F.col(c).alias(f"{c}a") for c in "xyz"], *[cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"])
+    own, around = (
+        points.select(F.col("id").alias(s), *([F.col(by).alias("g")] if by else []), *([F.col(value).alias(f"f{s}")] if value else []), *[F.col(c).alias(f"{c}{s}") for c in "xyz"], *[cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"])
+        for s in "ab"
+    )
     d = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = points.select(F.col("id").alias("b"), *([F.col(by).alias("gb")] if by else []), *[F.col(c).alias(f"{c}b") for c in "xyz"], *[cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"])
     for c in "xyz":
         around = around.select("*", F.explode(d).alias("_d")).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
     d2 = sum(((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in "xyz"), F.lit(0.0))
-    j = own.join(around, ["cx", "cy", "cz"]).where("a < b").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
-    return (j.where("ga = gb") if by else j).select("a", "b", "d2")
+    j = own.join(around, ["cx", "cy", "cz", *(["g"] if by else [])]).where("a < b").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
+    return j.select("a", "b", "d2", *([((F.col("fa") - F.col("fb")) ** 2).alias("f2")] if value else []))
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, itself: bool = True) -> DataFrame:

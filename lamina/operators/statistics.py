@@ -205,3 +205,8 @@ def project_on_vectors(ser: DataFrame, vectors: DataFrame, scale: float = 1.0) -
     """
     a = ser.join(vectors, "voxel").groupBy("t", "c").agg((F.sum(F.col("v") * F.col("e")) / (scale * scale)).alias("a"))
     return vectors.join(a, "c").groupBy("voxel", "t").agg(F.sum(F.col("a") * F.col("e")).alias("v"))
+
+
+def mean_squared_error(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
+    """mse of each group (of all rows without groups)."""
+    return rows.groupBy(*by).agg(F.avg((F.col(truth) - F.col(predicted)) ** 2).alias("mse"))
