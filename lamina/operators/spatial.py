@@ -24,9 +24,9 @@ def gradient_kernel(sigma: float) -> list[float]:
     return [x / sum(map(abs, w)) for x in w]
 
 
-def convolve(img: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
-    """One pass along an axis; beyond the border the nearest voxel counts."""
-    w = Window.partitionBy(*[a for a in "ijk" if a != axis]).orderBy(axis)
+def convolve(img: DataFrame, axis: str, kernel: list[float], frame: tuple[str, ...] = ()) -> DataFrame:
+    """One pass along an axis; beyond the border the nearest voxel counts. frame: columns that tell images apart, such as t."""
+    w = Window.partitionBy(*frame, *[a for a in "ijk" if a != axis]).orderBy(axis)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     r = len(kernel) // 2
     out = F.lit(0.0)
@@ -37,9 +37,9 @@ def convolve(img: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
     return img.withColumn("v", out)
 
 
-def smooth(img: DataFrame, sigma: float) -> DataFrame:
+def smooth(img: DataFrame, sigma: float, frame: tuple[str, ...] = ()) -> DataFrame:
     for axis in "ijk":
-        img = convolve(img, axis, gaussian_kernel(sigma))
+        img = convolve(img, axis, gaussian_kernel(sigma), frame)
     return img
 
 

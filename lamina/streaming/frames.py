@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,37 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def concatenate(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Frames of several streams one after the other: each is a stream and its number of frames, which sets where the next begins."""
+    out, at = None, 0
+    for frames, n in parts:
+        moved = frames.withColumn("t", F.col("t") + at)
+        out, at = moved if out is None else out.unionByName(moved), at + n
+    return out
+
+
+def joined(left: DataFrame, right: DataFrame, by: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Stream-stream join: rows of both (by, ts, ...) whose right one follows the left one within an interval; state is dropped by both watermarks."""
+    a = left.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).alias("a")
+    b = right.select(F.col(by).alias("_by"), F.col("ts").cast("timestamp").alias("follow_ts"), *[F.col(c).alias(f"follow_{c}") for c in right.columns if c not in (by, "ts")]).withWatermark("follow_ts", late).alias("b")
+    near = F.expr(f"follow_ts >= ts and follow_ts <= ts + interval {within}")
+    return a.join(b, (F.col(by) == F.col("_by")) & near).drop("_by")
+
+
+def process_frames(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Run a batch operator on each micro-batch of frames that are there and write its rows under path/batch=n.
+
+    A batch that is run again after a failure overwrites its own folder, so no frame is written twice. Frames must arrive
+    whole (a file holds whole frames); smoothing, resampling and reslicing by frame then need no state between batches.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and return its result table: the batch form of a stream, for tests."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
