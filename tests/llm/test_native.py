@@ -208,3 +208,81 @@ def test_rows_are_judged_by_their_own_text(spark):
     back = mixing.schedule(docs)
     assert back.columns == docs.columns
     assert {r.text for r in back.collect()} <= {t for _, t, _ in data} and back.where("doc_id is null").select("text").distinct().count() == 3
+
+
+def tree_by_sorting(rows, shards, whole=0.01):
+    """Shard of each row of measured(), by sorting each node's rows: what kd_shards finds with histograms."""
+    out, total = {}, sum(r["size"] for r in rows)
+
+    def cut(part, n, first):
+        if n == 1 or not part:
+            out.update({(r.doc_id, r.text_crc32): first for r in part})
+            return
+        dims = list(kd_shards.DIMENSIONS)
+        dim = max(dims, key=lambda c: (max(r[c] for r in part) - min(r[c] for r in part), -dims.index(c)))
+        weight, want = {}, sum(r["size"] for r in part) * (n // 2) / n
+        for r in part:
+            weight[r[dim], r.y] = weight.get((r[dim], r.y), 0) + r["size"]
+        below = 0
+        for cell in sorted(weight):
+            if below + weight[cell] >= want:
+                break
+            below += weight[cell]
+        rest, z = want - below, -1
+        if weight[cell] > whole * total / shards:
+            upto = 0
+            for r in sorted((r for r in part if (r[dim], r.y) == cell), key=lambda r: r.tie >> 24):
+                upto, z = upto + r["size"], r.tie >> 24
+                if upto >= rest:
+                    break
+        elif 2 * rest >= weight[cell]:
+            z = 1 << 16
+        low = lambda r: (r[dim], r.y) < cell or ((r[dim], r.y) == cell and r.tie >> 24 <= z)
+        cut([r for r in part if low(r)], n // 2, first)
+        cut([r for r in part if not low(r)], n - n // 2, first + n // 2)
+
+    cut(rows, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("shards, whole", [(7, 0.01), (7, 2.0), (16, 0.5)])
+def test_shards_by_sorting(spark, shards, whole):
+    docs = table(spark, SF, "documents")
+    want = tree_by_sorting(kd_shards.measured(docs).collect(), shards, whole)
+    assert {(r.doc_id, r.text_crc32): r.shard for r in kd_shards.kd_shards(docs, shards, whole=whole).collect()} == want
+    assert len(set(want.values())) == shards
+
+
+def statistics_rows(spark, bad):
+    """400 rows of two statistics on a grid, the others constant; bad(a, b, n) labels them."""
+    rest = [c for c in quality_rules.TESTED if c not in ("mean_word", "symbol_share")]
+    rows = [(n, float(n % 20 + 1), float(n // 20 + 1) / 20, *[1.0] * len(rest), bad(n % 20 + 1, n // 20 + 1, n)) for n in range(400)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long", "mean_word double", "symbol_share double", *[f"{c} double" for c in rest], "bad boolean"]))
+
+
+def test_rules_grow_a_conjunction(spark):
+    rows = statistics_rows(spark, lambda a, b, n: a >= 13 and b >= 11)
+    rules = quality_rules.learn(rows)
+    assert rules and {x.name for x in rules[0]} == {"mean_word", "symbol_share"} and all(x.at_least for x in rules[0])
+    hit = {r.doc_id for r in rows.withColumn("f", quality_rules.verdict(rules)).where("f is not null").select("doc_id").collect()}
+    bad = {r.doc_id for r in rows.where("bad").collect()}
+    assert len(hit & bad) >= 0.8 * len(bad) and len(hit - bad) <= 0.03 * len(hit)
+
+
+def test_rules_are_pruned_and_ordered(spark):
+    # One row in 40 above the cut is good, on the rows to grow on only: a second literal would fit them and not pay on the others.
+    crc = {r.doc_id: r.c for r in spark.range(400).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 3).alias("c")).collect()}
+    rows = statistics_rows(spark, lambda a, b, n: a >= 13 and not (crc[n] and n % 40 == 13))
+    rules = quality_rules.learn(rows, precision=0.95)
+    assert rules and [x.name for x in rules[0]] == ["mean_word"]
+    two = [(quality_rules.Literal("mean_word", True, 13.0),), (quality_rules.Literal("symbol_share", False, 0.5),)]
+    for r in rows.withColumn("f", quality_rules.verdict(two)).collect():
+        assert r.f == (1 if r.mean_word >= 13 else 2 if r.symbol_share < 0.5 else None)
+
+
+def test_rules_need_labels_and_evidence(spark):
+    none = statistics_rows(spark, lambda a, b, n: None)
+    assert quality_rules.learn(none) == [] and quality_rules.learn(none.limit(0)) == []
+    assert quality_rules.learn(statistics_rows(spark, lambda a, b, n: False)) == []
+    few = statistics_rows(spark, lambda a, b, n: a >= 4).where("doc_id < 10")  # seven bad rows
+    assert quality_rules.learn(few, least=8) == [] and len(quality_rules.learn(few, least=5)) == 1
