@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, exact_dedup, jaccard_join, kd_shards, license_scan, mixing, ppm_language, quality_rules, toxicity_fm, unigram_pieces
+from . import context_mixing, exact_dedup, jaccard_join, kd_shards, license_scan, merkle_manifest, mixing, ppm_language, quality_rules, toxicity_fm, unigram_pieces
 from .common import crc_mod, table
 
 
@@ -63,9 +63,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest.manifest(docs, changed={"text": text}).drop("proof")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_license_scan, op3_sentencepiece, op4_lm_score, op5_ngram_jaccard, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language, op10_quality_rules)
+    for f in (op1_sharding, op2_license_scan, op3_sentencepiece, op4_lm_score, op5_ngram_jaccard, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language, op10_quality_rules, op11_merkle_manifest)
 }
 
 ORACLE: dict[str, str] = {
@@ -88,4 +94,26 @@ ORACLE: dict[str, str] = {
         g as (select t, max(doc_id) keep_id, count(*) group_size from n group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.t) as text_sha256 from n join g on n.t = g.t
     """,
+    "op11_merkle_manifest": r"""
+        with recursive crc(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(3988292384, v >> 1) else v >> 1 end from crc where k < 8),
+        tab as (select list(v order by i) l from crc where k = 8),
+        c as (select *, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])) % 2 = 1 as even from documents, tab),
+        f as (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') p,
+            case when even then replace(text, chr(10), '') else text end as cut from c),
+        h as (select doc_id, source, sha256(p || coalesce(strlen(text) || ':' || text, '-')) leaf, sha256(p || coalesce(strlen(cut) || ':' || cut, '-')) seen from f),
+        pos as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p from h),
+        lv(source, k, nodes) as (select source, 0, list(leaf order by p) from pos group by source
+            union all select source, k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[i * 3 + 1:i * 3 + 3], ''))) from lv where len(nodes) > 1),
+        sub as (select source, nodes[1] subroot, row_number() over (order by source nulls first) - 1 as s from lv where len(nodes) = 1),
+        tv(k, nodes) as (select 0, list(subroot order by s) from sub
+            union all select k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[i * 3 + 1:i * 3 + 3], ''))) from tv where len(nodes) > 1),
+        walk as (select pos.source, p, 0 tree, k, nodes, p // (3 ** k)::bigint as b from pos join lv on pos.source is not distinct from lv.source where len(nodes) > 1
+            union all select pos.source, p, 1, k, nodes, s // (3 ** k)::bigint from pos join sub on pos.source is not distinct from sub.source, tv where len(nodes) > 1),
+        side as (select source, p, tree, k, array_to_string(nodes[b - b % 3 + 1:b], '') l, array_to_string(nodes[b + 2:b - b % 3 + 3], '') r from walk),
+        path as (select source, p, list({'l': l, 'r': r} order by tree, k) steps, string_agg(l || r, '' order by tree, k) proof from side group by source, p),
+        o as (select doc_id, leaf, sub.subroot, (select nodes[1] from tv where len(nodes) = 1) root, sha256(coalesce(proof, '')) proof_sha256,
+            list_reduce(list_prepend({'l': seen, 'r': ''}, coalesce(steps, [])), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l folded_root
+            from pos join sub on pos.source is not distinct from sub.source left join path on pos.source is not distinct from path.source and pos.p = path.p)
+        select *, folded_root = root as verified from o
+    """,
 }
