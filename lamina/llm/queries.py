@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, exact_dedup, jaccard_join, kd_shards, license_scan, merkle_manifest, mixing, ppm_language, quality_rules, toxicity_fm, unigram_pieces
+from . import adaptive_neighbours, context_mixing, embedding_whitening, exact_dedup, jaccard_join, kd_shards, license_scan, merkle_manifest, mixing, ppm_language, quality_rules, toxicity_fm, unigram_pieces
 from .common import crc_mod, table
 
 
@@ -69,9 +69,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(docs, changed={"text": text}).drop("proof")
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_license_scan, op3_sentencepiece, op4_lm_score, op5_ngram_jaccard, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language, op10_quality_rules, op11_merkle_manifest)
+    for f in (op1_sharding, op2_license_scan, op3_sentencepiece, op4_lm_score, op5_ngram_jaccard, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language, op10_quality_rules, op11_merkle_manifest, op12_nearest_neighbours, op13_embedding_whitening)
 }
 
 ORACLE: dict[str, str] = {
