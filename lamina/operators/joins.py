@@ -41,18 +41,6 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius: float, itself:
     return j.groupBy("q").agg(F.min(F.struct("d2", "p")).alias("m")).select("q", F.col("m.p").alias("p"), F.col("m.d2").alias("d2"))
 
 
-def knn_pairs(vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of the same label: id, other, d2, rank. vectors(id, label, x ARRAY). Equal distances rank by id.
-
-    Distances are summed in the JVM; the window keeps k rows per id before it sorts (WindowGroupLimit).
-    """
-    a, b = vectors.select("label", F.col("id"), F.col("x").alias("xa")), vectors.select("label", F.col("id").alias("other"), F.col("x").alias("xb"))
-    d2 = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q).cast("double") * (p - q).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = a.join(b, "label").where("id <> other").select("id", "other", F.round(d2, 4).alias("d2"))
-    w = Window.partitionBy("id").orderBy("d2", "other")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def in_interval(frames: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
     """frames(t, ...) with the intervals [lo, hi) that hold t: intervals are exploded to buckets of `width`, which makes it an equi-join."""
     b = intervals.where("lo < hi").select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_b"))

@@ -12,6 +12,7 @@ from ..operators import geometry as M
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import matrices as X
+from ..operators import neighbours as N
 from ..operators import perfusion as U
 from ..operators import spatial as P
 from ..operators import statistics as A
@@ -471,7 +472,7 @@ def nearest_point(spark, d):
 
 @query("with x as (select a.vec_id id, b.vec_id other, round(list_sum(list_transform(range(1, 65), lambda n: (a.embedding[n] - b.embedding[n])::double * (a.embedding[n] - b.embedding[n])::double)), 4) d2 from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) select id, other, d2, row_number() over (partition by id order by d2, other)::int rank from x qualify row_number() over (partition by id order by d2, other) <= 3")
 def knn_selfjoin(spark, d):
-    return J.knn_pairs(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x")), 3)
+    return N.knn_pairs(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x")), 3)
 
 
 # --- graphs -------------------------------------------------------------------------------------------------------

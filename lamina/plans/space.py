@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import distances as D
 from ..operators import elementwise as E
 from ..operators import geometry as M
+from ..operators import neighbours as N
 from ..operators import spatial as P
 from ..operators import statistics as A
 from ..operators import surfaces as W
@@ -79,6 +80,20 @@ def sparse_matrix(spark, d):
     return rounded(D.sparse_matrix(_featured(spark, d), 3))
 
 
+_SERIES_SPARSE = """pt as (select voxel, voxel % 3 as label, (voxel % 10)::double x, (voxel // 10)::double y, list(floor(v / 40)::double order by t) f from ser group by voxel),
+ nb as (select greatest(2, least(count(*), floor(count(*) * 4.0 * 0.01)::bigint)) best from pt),
+ near as (select a.voxel i, b.voxel j, list_sum(list_transform(range(1, 31), lambda n: (a.f[n] - b.f[n]) * (a.f[n] - b.f[n]))) feature, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) dist from pt a join pt b on a.label = b.label and a.voxel <> b.voxel),
+ rk as (select *, row_number() over (partition by i order by feature, j) r from near), cut as (select i, feature c from rk, nb where r = best + 1)"""
+
+
+@query(with_(SERIES, _SERIES_SPARSE) + "select near.* from near left join cut using (i) where c is null or feature < c union all select voxel, voxel, 0.0::double, 0.0::double from pt")
+def knn_series(spark, d):
+    f = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: F.floor(p["v"] / 40).cast("double"))
+    place = F.array((F.col("voxel") % 10).cast("double"), F.floor(F.col("voxel") / 10).cast("double"))
+    points = series(spark, d).groupBy("voxel").agg(f.alias("f")).select(F.col("voxel").alias("id"), (F.col("voxel") % 3).alias("label"), "f", place.alias("place"))
+    return N.sparse_series_matrix(points, sparsity=4.0)
+
+
 _AFFINITY = """med as (select quantile_cont(feature + 0.5 * dist, 0.5) m from mat where i <> j), ex as (select i, j, exp(-(feature + 0.5 * dist) / (greatest(m, 1e-5::double) * 2)) e from mat, med),
  sc as (select i, 1 / sqrt(sum(e) + 1) s from ex group by i), pr as (select ex.i, ex.j, a.s * b.s * case when ex.i = ex.j then e + 0.5 else 0.5 * e end w from ex join sc a on ex.i = a.i join sc b on ex.j = b.i),
  aff as (select i src, j dst, sum(w) w from (select i, j, w from pr union all select j, i, w from pr where i <> j) group by 1, 2)"""
