@@ -82,3 +82,10 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drain_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there into Parquet files and return them; run again with the same checkpoint, it goes on where it ended."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
