@@ -358,6 +358,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: one document (the smallest id) of each group, with all their columns."""
-    gone = similar_groups(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti")
+    """The rows of docs that stay, with all their columns whatever their names: of each group the row of the smallest id.
+
+    Rows are judged by id and text: texts that share an id with another text, and texts without an id, get a key of their
+    own below all ids, and go or stay by themselves. A group's row with an id stays rather than one without. Of rows equal in id and
+    text one stays. Null and empty texts link with nothing, so one row for each id stays. An empty table gives an empty table.
+    """
+    mark = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    marks = keep(docs.select(docs[id_col].cast("long").alias("k"), mark.alias("m")))
+    per = keep(marks.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")))
+    several = per.groupBy(F.col("k").alias("kk")).agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("texts"))
+    several = several.where("texts > 1 or kk is null")
+    others = per.join(several, F.col("k").eqNullSafe(F.col("kk"))).where("k is null or m <> least")
+    low = F.lit(min(0, marks.agg(F.min("k")).first()[0] or 0))
+    strays = keep(others.select("k", "m", (low - 1 - F.monotonically_increasing_id()).alias("stray")))
+    own = strays.select(F.col("k").alias("s_k"), F.col("m").alias("s_m"), "stray")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("k"), docs[text_col].alias("text"), mark.alias("m"))
+    row = row.join(own, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("m") == F.col("s_m")), "left").withColumn("key", F.coalesce("stray", "k"))
+    groups = keep(similar_groups(row.select("key", "text"), "key", "text").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    real = groups.join(strays.select(F.col("stray").alias("key"), "k", F.lit(True).alias("is_stray")), "key", "left").withColumn("k", F.when(F.col("is_stray"), F.col("k")).otherwise(F.col("key")))
+    stays = real.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", F.col("is_stray").isNotNull().alias("s"), (-F.col("key")).alias("minus"))).alias("b"))
+    gone = real.join(stays, "component_id").where(F.col("key") != -F.col("b.minus")).select("key", F.lit(True).alias("gone"))
+    twice = per.where("n > 1").join(own, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("m") == F.col("s_m")), "left").select(F.coalesce("stray", "k").alias("key"))
+    left = row.join(gone.hint("merge"), "key", "left").where("gone is null").select("key", "row")
+    if not per.where("n > 1").limit(1).count():
+        return left.select("row.*")
+    twice = keep(twice)
+    again = left.join(twice.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    return left.join(twice.hint("merge"), "key", "left_anti").unionByName(again).select("row.*")

@@ -172,8 +172,8 @@ class Unigram:
         return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """doc_id, ids, n_ids, n_bytes (byte pieces among them), round_trip (decoding the ids gives the text) of every row, whole texts.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, keep_columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_ids, n_bytes (byte pieces among them), round_trip (decoding the ids gives the text) and keep_columns of every row, whole texts.
 
     Null text gives null ids, n_ids 0 and round_trip null; the empty text gives no ids. Repeated rows come back repeated.
     The model is read on the driver and broadcast: its size is the vocabulary's.
@@ -191,10 +191,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 same = [None if t is None else m.decode(x) == t for t, x in zip(texts, ids)]
                 n = [len(x or ()) for x in ids]
                 fall = [sum(map(is_byte.__contains__, x or ())) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(fall, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "n_bytes", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(fall, pa.int64()), pa.array(same, pa.bool_()), *part.columns[2:]], ["doc_id", "ids", "n_ids", "n_bytes", "round_trip", *keep_columns])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep_columns)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in d.schema.fields[2:])
+    return d.mapInArrow(run, f"doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean{more}")
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -3,8 +3,11 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from lamina.llm import mixing, queries, toxicity_fm
+from cases import empty, frame
+from lamina.llm import jaccard_join, mixing, queries, toxicity_fm
 from lamina.llm.common import table
 from test_text_models import groups
 
@@ -41,3 +44,51 @@ def test_stages(spark, tmp_path):
             assert {r for r in after} <= set(before)
         if name == "sentencepiece":
             assert len(after) == len(before) and all(r.round_trip for r in after)
+
+
+def drop_similar_rows(spark, rows, schema="doc_id long, text string, text_hash long, key string, row long, m string"):
+    df = spark.createDataFrame([(*r, 1, "k", 2, "m") for r in rows], schema)
+    out = jaccard_join.drop_similar(df)
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_drop_similar_judges_rows(spark):
+    """Reused and null ids, repeated rows, clashing names: texts go or stay by themselves."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other, third = base + " end", " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(1, base), (5, near), (5, other), (7, None), (7, None), (8, ""), (None, third), (None, third), (None, third + " z"), (None, None), (3, third + " t"), (9, "short text"), (9, "short text")]
+    want = [(1, base), (5, other), (7, None), (8, ""), (None, None), (3, third + " t"), (9, "short text")]
+    assert drop_similar_rows(spark, rows) == sorted(want, key=str)
+    assert drop_similar_rows(spark, []) == []
+    assert drop_similar_rows(spark, [(None, base), (None, near)]) in ([(None, base)], [(None, near)])
+
+
+def test_order_of_training_survives_storage(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(12, "text")
+    mixed = mixing.schedule(docs)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    out = [(p.position, r.row.doc_id, p.copy) for r in mixing.in_order(read).collect() for p in r.places]
+    assert [i for _, i, _ in sorted(out)] == [r.doc_id for r in mixed.collect()]
+    encoded = corpus_pipeline.encode_pieces(spark, read, "").select("doc_id", "position", "copy").collect()
+    assert sorted((r.position, r.doc_id, r.copy) for r in encoded) == sorted(out)
+
+
+@pytest.mark.parametrize("rows", ["hard", "none"])
+def test_run_on_hard_rows(spark, tmp_path, rows):
+    """Null, empty and very long texts, ties, repeated rows, null and reused ids, extra columns of clashing names, an empty table."""
+    docs = empty(spark) if rows == "none" else frame(spark)
+    if rows == "hard":
+        more = [(None, "no id", None, None, None, "h", 1, 9), (4, "another text of a reused id", "en", "src1", 3, "h", 1, 9), (900, "so it goes on " * 750_000, "en", "src1", 9, "h", 1, 9)]
+        docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_ids", "round_trip", "position", "copy").collect()
+    if rows == "none":
+        assert out == []
+        return
+    assert all(r.round_trip in (True, None) for r in out)
+    ids = {r.doc_id for r in out}
+    assert {None, 4} <= ids and (900 in ids)
+    assert len({(r.position, r.doc_id, r.copy, r.n_ids) for r in out}) == len(out)
