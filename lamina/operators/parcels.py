@@ -1,4 +1,4 @@
-"""Parcellations: runs of equal regions, nearest node, slice intensity correction."""
+"""Parcellations: runs of equal regions, centroids."""
 
 from __future__ import annotations
 
@@ -17,37 +17,3 @@ def centroids(img: DataFrame) -> DataFrame:
     """label, x, y, z, n of each label above 0."""
     return img.where("label > 0").groupBy("label").agg(*[F.avg(a).alias(n) for a, n in zip("ijk", "xyz")], F.count(F.lit(1)).alias("n"))
 
-
-def slice_bias(img: DataFrame, axis: str, above: float) -> DataFrame:
-    """v corrected along an axis: neighbouring slices are fitted to one another and the scale is carried outwards from the middle slice.
-
-    v of a slice = a + b * v of the slice before, over places above a threshold in both; each direction is fitted and the
-    two are averaged where they agree, b within 2/3 .. 3/2. The fits are one row per slice and are solved here.
-    """
-    rest = [x for x in "ijk" if x != axis]
-    here, there = img.select(axis, *rest, F.col("v").alias("y")), img.select((F.col(axis) + 1).alias(axis), *rest, F.col("v").alias("x"))
-    pair = here.join(there, [axis, *rest]).where((F.col("x") > above) & (F.col("y") > above)).groupBy(axis)
-    rows = pair.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_slope("x", "y").alias("bh"), F.regr_intercept("x", "y").alias("ah")).collect()
-    fit = {}
-    for r in rows:
-        a, b = r["a"], r["b"]
-        if b is None or r["bh"] is None:
-            continue
-        if b * r["bh"] > 0.5:
-            a, b = (a - r["ah"] / r["bh"]) / 2, (b + 1 / r["bh"]) / 2
-        if not 2 / 3 <= b <= 1.5:
-            a, b = 0.0, min(max(b, 2 / 3), 1.5)
-        fit[r[axis]] = (a, b)
-    top = img.agg(F.max(axis).alias("m")).first()["m"]
-    if top is None:
-        return img
-    scale = {(top + 1) // 2: (0.0, 1.0)}
-    for k in range((top + 1) // 2 + 1, top + 1):
-        a, b = fit.get(k, (0.0, 1.0))
-        scale[k] = (a + b * scale[k - 1][0], b * scale[k - 1][1])
-    for k in range((top + 1) // 2 - 1, -1, -1):
-        a, b = fit.get(k + 1, (0.0, 1.0))
-        scale[k] = ((scale[k + 1][0] - a) / b, scale[k + 1][1] / b)
-    table = img.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in scale.items()], f"{axis} int, _a double, _b double")
-    out = img.join(F.broadcast(table), axis)  # one row per slice
-    return out.withColumn("v", F.when(F.col("v") > above, (F.col("v") - F.col("_a")) / F.col("_b")).otherwise(F.col("v"))).select(img.columns)

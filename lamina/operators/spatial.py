@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..sources.scratch import keep
 
 
-def gaussian_kernel(sigma: float) -> list[float]:
-    r = max(1, int(sigma * 1.5))
+def gaussian_kernel(sigma: float, factor: float = 1.5) -> list[float]:
+    r = max(1, int(sigma * factor))
     w = [exp(-0.5 * (x / sigma) ** 2) for x in range(-r, r + 1)]
     return [x / sum(w) for x in w]
 
 
-def gradient_kernel(sigma: float) -> list[float]:
-    r = max(1, int(sigma * 1.5))
+def gradient_kernel(sigma: float, factor: float = 1.5) -> list[float]:
+    r = max(1, int(sigma * factor))
     w = [-x * exp(-(x**2) / (2 * sigma**2)) for x in range(-r, r + 1)]
     return [x / sum(map(abs, w)) for x in w]
 
@@ -37,17 +37,17 @@ def convolve(img: DataFrame, axis: str, kernel: list[float], frame: tuple[str, .
     return img.withColumn("v", out)
 
 
-def smooth(img: DataFrame, sigma: float, frame: tuple[str, ...] = ()) -> DataFrame:
+def smooth(img: DataFrame, sigma: float, frame: tuple[str, ...] = (), factor: float = 1.5) -> DataFrame:
     for axis in "ijk":
-        img = convolve(img, axis, gaussian_kernel(sigma), frame)
+        img = convolve(img, axis, gaussian_kernel(sigma, factor), frame)
     return img
 
 
-def gradient(img: DataFrame, sigma: float) -> DataFrame:
+def gradient(img: DataFrame, sigma: float, factor: float = 1.5) -> DataFrame:
     """gi, gj, gk of each voxel."""
     out = None
     for axis in "ijk":
-        g = convolve(img, axis, gradient_kernel(sigma)).select("voxel", F.col("v").alias(f"g{axis}"))
+        g = convolve(img, axis, gradient_kernel(sigma, factor)).select("voxel", F.col("v").alias(f"g{axis}"))
         out = g if out is None else out.join(g, "voxel")
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import space  # noqa: F401  (adds its queries)
+from . import fields, space  # noqa: F401  (they add their queries)
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -22,14 +22,6 @@ def test_runs(spark):
     assert got == [(0, 1, 1, 2), (2, 4, 2, 3), (5, 5, 1, 1)]
 
 
-def test_slice_bias(spark):
-    img = spark.range(600).select((F.col("id") % 10).cast("int").alias("i"), F.floor(F.col("id") / 10 % 10).cast("int").alias("j"), F.floor(F.col("id") / 100).cast("int").alias("k"))
-    img = img.withColumn("v", (100 + 10 * F.col("i") + F.col("j")) * F.pow(F.lit(1.1), F.col("k") - 3))
-    out = parcels.slice_bias(img, "k", 1.0)
-    worst = out.select(F.max(F.abs(F.col("v") - (100 + 10 * F.col("i") + F.col("j"))))).first()[0]
-    assert worst < 1e-6
-
-
 def test_surfaces(spark, tmp_path):
     (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nelement face 1\nend_header\n0 0 0\n1 0 0\n0 1 0.5\n3 0 1 2\n")
     (tmp_path / "b.vtk").write_text("# vtk DataFile Version 3.0\nsurface\nASCII\nDATASET POLYDATA\nPOINTS 3 float\n0 0 0 1 0 0\n0 1 0.5\nPOLYGONS 1 4\n3 0 1 2\n")
