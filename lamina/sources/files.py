@@ -44,12 +44,17 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matr(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, vals of .matr files: four header lines (the fourth holds the numbers of rows and columns), a name line, then values."""
-    x = lines(spark, path)
-    size = x.where("n = 3").select("file", F.split(F.trim("line"), r"\s+")[0].cast("int").alias("rows"), F.split(F.trim("line"), r"\s+")[1].cast("int").alias("cols"))
-    body = x.where("n >= 5 and trim(line) <> ''").join(size, "file")
-    vals = F.transform(F.split(F.trim("line"), r"\s+"), lambda p: p.cast("double"))
-    return body.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1).alias("row"), vals.alias("vals"), "rows", "cols").where("row < rows").drop("rows", "cols")
+    """file, row, vals of .matr files: header lines that start with #, of which "# rows: n" and "# columns: n" give the size, then a line for each row.
+
+    Files whose header has the two numbers alone in its fourth line, and a name line after it, are read as well. Rows beyond the size are left out.
+    """
+    x = lines(spark, path).withColumn("line", F.trim("line"))
+    after = lambda name: F.max(F.regexp_extract("line", rf"^#\s*{name}:\s*(\d+)", 1).try_cast("int"))
+    old = F.max(F.when(F.col("n") == 3, F.regexp_extract("line", r"^(\d+)\s+\d+$", 1).try_cast("int")))
+    size = x.groupBy("file").agg(after("rows").alias("new"), old.alias("old")).select("file", F.coalesce("new", "old").alias("rows"))
+    body = x.join(size, "file").where("line <> '' and not startswith(line, '#') and n >= 4")
+    vals = F.transform(F.split("line", r"\s+"), lambda p: F.when(F.lower(p) == "nan", F.lit(float("nan"))).otherwise(p.try_cast("double")))
+    return body.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1).alias("row"), vals.alias("vals"), "rows").where("row < rows").drop("rows")
 
 
 def to_csv_lines(matrix: DataFrame) -> DataFrame:

@@ -21,6 +21,32 @@ def write_matrix(matrix: DataFrame, path: str, compression: str = "none") -> Non
     write_lines(to_csv_lines(matrix), ["row"], path, compression)
 
 
+def matr_lines(matrix: DataFrame, name: str = "matrix") -> DataFrame:
+    """at, value: a .matr file of (row, vals): a header with the size, then a line for each row."""
+    size = matrix.agg(F.count(F.lit(1)).cast("string").alias("r"), F.coalesce(F.max(F.size("vals")), F.lit(0)).cast("string").alias("c"))
+    head = F.array(F.lit("#vtkpxMatrix File"), F.lit(f"# name: {name}"), F.lit("# type: matrix"), F.concat(F.lit("# rows: "), "r"), F.concat(F.lit("# columns: "), "c"))
+    head = size.select(F.posexplode(head).alias("at", "value")).select((F.col("at") - 5).cast("long").alias("at"), "value")
+    return head.unionByName(matrix.select(F.col("row").cast("long").alias("at"), F.array_join(F.transform("vals", lambda v: v.cast("string")), " ").alias("value")))
+
+
+def write_matr(matrix: DataFrame, path: str, name: str = "matrix") -> None:
+    write_lines(matr_lines(matrix, name), ["at"], path)
+
+
+def binary_files(matrices: DataFrame, kind: str = "<f4") -> DataFrame:
+    """name, content: a .binmatr file of each matrix of (name, row, vals); a matrix is one group, as its file is."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .files import binary_matrix_bytes
+
+    def make(t: pa.Table) -> pa.Table:
+        m = np.array(t.sort_by("row").column("vals").to_pylist(), kind)
+        return pa.table({"name": t.column("name")[:1], "content": pa.array([binary_matrix_bytes(m)], pa.binary())})
+
+    return matrices.select("name", "row", "vals").groupBy("name").applyInArrow(make, "name string, content binary")
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Rows added to a folder of CSV files."""
     rows.write.mode("append").csv(path)
