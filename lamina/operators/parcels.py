@@ -17,3 +17,30 @@ def centroids(img: DataFrame) -> DataFrame:
     """label, x, y, z, n of each label above 0."""
     return img.where("label > 0").groupBy("label").agg(*[F.avg(a).alias(n) for a, n in zip("ijk", "xyz")], F.count(F.lit(1)).alias("n"))
 
+
+
+def sort_parcels(nodes: DataFrame) -> DataFrame:
+    """nodes(index, attr ARRAY of whole numbers, ...) with place from 1: by the first attribute, then the second, third and fourth, then the index.
+
+    The order is that of the sum of attributes times falling powers of a thousand plus a thousandth of the index; a range sort, no window over all rows.
+    """
+    from .statistics import global_rank
+
+    n = F.least(F.size("attr"), F.lit(4))
+    key = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.col("index") * 0.001, lambda a, k: a + F.coalesce(F.get("attr", k), F.lit(0)) * F.pow(F.lit(1000.0), n - k))
+    return global_rank(nodes.withColumn("_key", F.struct(key.alias("k"), F.col("index").alias("i"))), "_key").drop("_key").withColumnRenamed("rank", "place")
+
+
+def sort_task_ranges(ranges: DataFrame) -> DataFrame:
+    """run, ranges: an array of (lo, hi, task) of each run of ranges(run, task, lo, hi), by onset, then end, then task."""
+    return ranges.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "task"))).alias("ranges"))
+
+
+def repair_lobes(nodes: DataFrame, size: float = 10.0) -> DataFrame:
+    """nodes(id, x, y, z, lobe) in which a node outside all lobes (0) takes the lobe of the nearest node inside one; the smaller id of ties."""
+    from .joins import nearest
+
+    bad, good = nodes.where("lobe = 0"), nodes.where("lobe <> 0")
+    near = nearest(bad, good.select("id", "x", "y", "z"), size).select(F.col("q").alias("id"), "p")
+    fixed = near.join(good.select(F.col("id").alias("p"), F.col("lobe").alias("new")), "p").select("id", "new")
+    return nodes.join(fixed, "id", "left").select("id", "x", "y", "z", F.coalesce("new", "lobe").alias("lobe"))

@@ -84,7 +84,14 @@ def resample(img: DataFrame, step: float, size: dict[str, int]) -> DataFrame:
     return pair.join(img.select("i", "j", "k", "v"), ["i", "j", "k"]).groupBy(F.col("o").alias("i"), "j", "k").agg(F.sum(F.col("v") * weight).alias("v"))
 
 
-def label_block(table: pa.Table) -> pa.Table:
+def steps_forward(corners: bool) -> list[tuple[int, int, int]]:
+    """One of each pair of opposite steps to a neighbour: 3 by faces, 13 with edges and corners."""
+    if not corners:
+        return [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    return [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (c, b, a) > (0, 0, 0)]
+
+
+def label_block(table: pa.Table, steps: list[tuple[int, int, int]]) -> pa.Table:
     """voxel, i, j, k, piece of one block of the grid: piece is the smallest voxel of those connected inside the block."""
     voxel, *at = (table.column(c).to_numpy() for c in ("voxel", "i", "j", "k"))
     low = [x.min() for x in at]
@@ -96,31 +103,31 @@ def label_block(table: pa.Table) -> pa.Table:
     inside = label < none
     while True:
         before = label.copy()
-        for axis in range(3):
-            for step in (1, -1):
-                np.minimum(label, np.roll(label, step, axis), out=label)
+        for step in steps:
+            for sign in (1, -1):
+                np.minimum(label, np.roll(label, [sign * x for x in step], (0, 1, 2)), out=label)
                 label[~inside] = none
         if np.array_equal(before, label):
             break
     return pa.table({"voxel": voxel, "i": at[0], "j": at[1], "k": at[2], "piece": label[place]})
 
 
-def components(img: DataFrame, inside: Column, side: int = 32) -> DataFrame:
-    """Face-connected components of the voxels where `inside` holds: voxel, component (its smallest voxel).
+def components(img: DataFrame, inside: Column, side: int = 32, corners: bool = False) -> DataFrame:
+    """Components of the voxels where `inside` holds, connected by faces (corners: by edges and corners too): voxel, component (its smallest voxel).
 
-    Blocks of side^3 voxels are labelled each in one task of bounded size; only the faces between blocks are joined, and
+    Blocks of side^3 voxels are labelled each in one task of bounded size; only neighbours in different blocks are joined, and
     components of the pieces' graph are found by minima with pointer jumping.
     """
+    steps = steps_forward(corners)
     v = img.where(inside).select(F.col("voxel").cast("long"), *[F.col(c).cast("long") for c in "ijk"])
     block = [F.floor(F.col(c) / side).alias(f"b{c}") for c in "ijk"]
-    piece = keep(v.select("*", *block).groupBy("bi", "bj", "bk").applyInArrow(label_block, "voxel long, i long, j long, k long, piece long"))
+    piece = keep(v.select("*", *block).groupBy("bi", "bj", "bk").applyInArrow(lambda t: label_block(t, steps), "voxel long, i long, j long, k long, piece long"))
     other = piece.select(F.col("piece").alias("b"), "i", "j", "k")
-    links = None
-    for c in "ijk":  # each block's last plane against the next block's first
-        edge = piece.where(F.pmod(F.col(c), F.lit(side)) == side - 1).select(F.col("piece").alias("a"), *[(F.col(x) + int(x == c)).alias(x) for x in "ijk"])
-        met = edge.join(other, ["i", "j", "k"]).select("a", "b").distinct()
-        links = met if links is None else links.unionByName(met)
-    label = connected(links)
+    first, last = (lambda c: F.pmod(F.col(c), F.lit(side)) == 0), (lambda c: F.pmod(F.col(c), F.lit(side)) == side - 1)
+    leaves = lambda step: F.when(sum((F.when(last(c) if x > 0 else first(c), 1).otherwise(0) for c, x in zip("ijk", step) if x), F.lit(0)) > 0, F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip("ijk", step)]))
+    edge = piece.select(F.col("piece").alias("a"), "i", "j", "k", F.explode(F.array_compact(F.array(*[leaves(s) for s in steps]))).alias("s"))
+    edge = edge.select("a", *[(F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "ijk"])
+    label = connected(edge.join(other, ["i", "j", "k"]).select("a", "b").distinct())
     out = piece.join(label.withColumnRenamed("id", "piece"), "piece", "left")
     return out.select("voxel", F.coalesce("component", "piece").alias("component"))
 
@@ -153,6 +160,27 @@ def cluster_threshold(img: DataFrame, above: float, least: int, both_signs: bool
     return img.join(kept, "voxel", "left").select("voxel", F.when(F.col("on"), F.col("v")).otherwise(0.0).alias("v"))
 
 
+def cluster_filter(img: DataFrame, least: float, size: int, corners: bool = True) -> DataFrame:
+    """voxel, v: values of clusters of at least `size` voxels whose |v| is not below `least`, 0 elsewhere; size below 0 keeps the largest clusters.
+
+    Values of either sign are one cluster where they touch, by faces, edges or corners (corners=False: faces only).
+    """
+    c = keep(components(img, F.abs("v") >= least, corners=corners))
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    if size < 0:
+        size = sizes.agg(F.max("n")).first()[0] or 0
+    kept = c.join(sizes.where(F.col("n") >= size), "component").select("voxel", F.lit(True).alias("on"))
+    return img.join(kept, "voxel", "left").select("voxel", F.when(F.col("on"), F.col("v")).otherwise(0.0).alias("v"))
+
+
+def connect(img: DataFrame, seed: tuple[int, int, int], corners: bool = True) -> DataFrame:
+    """voxel, v: 1 for the voxels above 0 that are connected with a seed place (i, j, k), 0 elsewhere; all 0 if the seed is not above 0."""
+    c = keep(components(img, F.col("v") > 0, corners=corners))
+    at = img.where(" and ".join(f"{a} = {int(x)}" for a, x in zip("ijk", seed))).select("voxel").join(c, "voxel").select("component")
+    on = c.join(F.broadcast(at), "component", "left_semi").select("voxel", F.lit(True).alias("on"))  # one row
+    return img.join(on, "voxel", "left").select("voxel", F.when(F.col("on"), 1.0).otherwise(0.0).alias("v"))
+
+
 def cluster_peaks(img: DataFrame, above: float) -> DataFrame:
     """component, n, peak (its voxel of the largest value, the smallest of ties), v."""
     c = components(img, F.col("v") > above).join(img.select("voxel", "v"), "voxel")

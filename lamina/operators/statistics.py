@@ -210,3 +210,40 @@ def project_on_vectors(ser: DataFrame, vectors: DataFrame, scale: float = 1.0) -
 def mean_squared_error(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
     """mse of each group (of all rows without groups)."""
     return rows.groupBy(*by).agg(F.avg((F.col(truth) - F.col(predicted)) ** 2).alias("mse"))
+
+
+def weighted_correlation_matrix(cells: DataFrame, weights: DataFrame, binary: bool = True, to_z: bool = False) -> DataFrame:
+    """a <= b, r: correlation of all columns of (row, col, v) with one weight for each of weights(row, w); 0 where a column does not vary.
+
+    binary: a weight above 0 counts as 1, any other as 0; else weights above 0 count as they are. Rows without a weight do not
+    count. Six sums for each pair of columns in one aggregate. to_z: Fisher's z instead of r.
+    """
+    w = weights.where("w > 0").select("row", (F.lit(1.0) if binary else F.col("w").cast("double")).alias("w"))
+    c = cells.join(w, "row")
+    x, y = c.select("row", "w", F.col("col").alias("a"), F.col("v").alias("x")), c.select("row", F.col("col").alias("b"), F.col("v").alias("y"))
+    part = lambda e: F.sum(F.col("w") * e)
+    x_, y_ = F.col("x"), F.col("y")
+    s = x.join(y, "row").where("a <= b").groupBy("a", "b").agg(F.sum("w").alias("n"), part(x_).alias("sx"), part(y_).alias("sy"), part(x_ * x_).alias("sxx"), part(y_ * y_).alias("syy"), part(x_ * y_).alias("sxy"))
+    mean = lambda k: F.col(k) / F.col("n")
+    vx, vy = mean("sxx") - mean("sx") ** 2, mean("syy") - mean("sy") ** 2
+    flat = (vx <= 1e-12 * mean("sxx")) | (vy <= 1e-12 * mean("syy"))
+    r = F.when(flat, 0.0).otherwise((mean("sxy") - mean("sx") * mean("sy")) / F.sqrt(vx * vy))
+    return s.select("a", "b", (fisher_z(r) if to_z else r).alias("r"))
+
+
+def roi_table(ser: DataFrame, places: DataFrame, regions: int) -> DataFrame:
+    """row, roi, v for regions 1..regions: a row for each frame with the mean of the region of ser(voxel, t, v), then -1, the
+    number of voxels, and the means of i, j and k of places(voxel, i, j, k, label). A region without voxels has 0, and -1 in its marker row.
+
+    Means combine in the tasks; a region, however large, is a few sums.
+    """
+    p = places.where(F.col("label").between(1, regions)).select("voxel", F.col("label").cast("int").alias("roi"), "i", "j", "k")
+    frames = ser.agg((F.max("t") + 1).alias("n")).select("n")  # one row
+    means = ser.join(p.select("voxel", "roi"), "voxel").groupBy("roi", "t").agg(F.avg("v").alias("v")).select(F.col("t").cast("long").alias("row"), "roi", "v")
+    shape = p.groupBy("roi").agg(F.count(F.lit(1)).cast("double").alias("n1"), *[F.avg(a).alias(f"c{a}") for a in "ijk"])
+    every = ser.sparkSession.range(1, regions + 1).select(F.col("id").cast("int").alias("roi"))
+    shape = every.join(shape, "roi", "left").crossJoin(F.broadcast(frames.withColumnRenamed("n", "frames")))
+    extra = F.array(F.lit(-1.0), *[F.coalesce(c, F.lit(0.0)) for c in ("n1", "ci", "cj", "ck")])
+    extra = shape.select("roi", "frames", F.posexplode(extra).alias("k", "v")).select((F.col("frames") + F.col("k")).cast("long").alias("row"), "roi", "v")
+    grid = every.crossJoin(F.broadcast(frames)).select("roi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("row"))
+    return grid.join(means, ["row", "roi"], "left").select("row", "roi", F.coalesce("v", F.lit(0.0)).alias("v")).unionByName(extra)

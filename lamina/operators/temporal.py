@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi, sqrt, tan
+from math import ceil, pi, sqrt, tan, tanh
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,3 +165,64 @@ def frame_neighbours(ser: DataFrame, k: int) -> DataFrame:
     a, b = ser.select("voxel", "t", "v"), ser.select("voxel", F.col("t").alias("other"), F.col("v").alias("w"))
     d2 = a.join(b, "voxel").where("t <> other").groupBy("t", "other").agg(F.round(F.sum((F.col("v") - F.col("w")) ** 2), 4).alias("d2"))
     return d2.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("d2", "other"))).where(F.col("rank") <= k)
+
+
+def top_hat_padded(ser: DataFrame, width: int) -> DataFrame:
+    """v minus its opening over windows of `width` frames (even widths too), the series being mirrored before its first frame.
+
+    The opening is the largest of the least values of the windows that hold a frame; windows may end beyond the last frame. The mirror
+    holds 2 v(0) - v(t) at -t for t up to `width`, which keeps the level at the start.
+    """
+    first = ser.where("t = 0").select("voxel", F.col("v").alias("v0"))
+    mirror = ser.where(F.col("t").between(1, width)).join(first, "voxel").select("voxel", (-F.col("t")).alias("t"), (2 * F.col("v0") - F.col("v")).alias("v"))
+    whole = ser.select("voxel", "t", "v").unionByName(mirror)
+    w = Window.partitionBy("voxel").orderBy("t")
+    low = whole.withColumn("lo", F.min("v").over(w.rowsBetween(0, width - 1)))
+    return low.withColumn("v", F.col("v") - F.max("lo").over(w.rowsBetween(1 - width, 0))).where("t >= 0").select("voxel", "t", "v")
+
+
+#: Fixed values of the response: seconds of delay, rise, fall and restoring, and depth of the undershoot.
+DELAY, RISE, FALL, RESTORE, UNDERSHOOT = 2.0, 4.0, 6.0, 2.0, 0.2
+
+
+def response(period: float) -> list[float]:
+    """The haemodynamic response at multiples of `period` seconds, from 0 to its end."""
+
+    def tone(x: float) -> float:
+        return min(1.0, 0.50212657 * (tanh(tan(0.5 * pi * (1.6 * x - 0.8))) + 0.99576486)) if 0 < x < 1 else float(x >= 1)
+
+    def at(t: float) -> float:
+        t -= DELAY
+        if t < RISE:
+            return tone(t / RISE)
+        if t < RISE + FALL:
+            return (1 + UNDERSHOOT) * tone((RISE + FALL - t) / FALL) - UNDERSHOOT
+        return -UNDERSHOOT * tone((RISE + FALL + RESTORE - t) / RESTORE)
+
+    return [at(k * period) for k in range(1 + ceil((DELAY + RISE + FALL + RESTORE) / period))]
+
+
+def stacked_waveform(tasks: DataFrame, frames: int, period: float, order: int = -1, shifted: bool = False) -> DataFrame:
+    """run, frame, col, v: the design of tasks(run, frame, col, v): each column convolved with the response within its run of `frames` frames, then drift.
+
+    A value is joined with the response's few points and summed, so a run's frames spread over tasks. order 0 to 3 adds columns of
+    Legendre polynomials over -1..1, which are 0 outside their own run; they are numbered after the tasks' columns, run by run. shifted: the
+    polynomial of second order less 1 / frames, and -1..1 without its end, as some programs have them.
+    """
+    h = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("h")) for d, x in enumerate(response(period)) if x != 0])
+    out = tasks.where("v <> 0").select("run", "frame", "col", "v", F.explode(h).alias("p")).select("run", (F.col("frame") + F.col("p.d")).alias("frame"), "col", (F.col("v") * F.col("p.h")).alias("v"))
+    out = out.where(F.col("frame") < frames).groupBy("run", "frame", "col").agg(F.sum("v").alias("v"))
+    runs, cols = tasks.select("run").distinct(), tasks.select("col").distinct()
+    grid = runs.crossJoin(F.broadcast(cols)).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))  # columns of a design are few
+    out = grid.join(out, ["run", "frame", "col"], "left").select("run", "frame", F.col("col").cast("int").alias("col"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    if order < 0:
+        return out
+    order = min(order, 3)
+    place = F.row_number().over(Window.orderBy("run")) - 1  # one row a run
+    numbered = runs.select("run", place.alias("r")).crossJoin(F.broadcast(tasks.agg((F.max("col") + 1).alias("width"), F.countDistinct("run").alias("runs"))))
+    t = 2 * F.col("frame") / float(frames if shifted else max(1, frames - 1)) - 1
+    poly = [F.lit(1.0), t, 1.5 * t * t - 0.5 - (1.0 / frames if shifted else 0.0), 2.5 * t * t * t - 1.5 * t][: order + 1]
+    rows = numbered.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    drift = rows.select("run", "frame", "r", "other", "width", F.posexplode(F.array(*[p.cast("double") for p in poly])).alias("k", "p"))
+    drift = drift.select("run", "frame", (F.col("width") + F.col("other") * (order + 1) + F.col("k")).cast("int").alias("col"), F.when(F.col("r") == F.col("other"), F.col("p")).otherwise(0.0).alias("v"))
+    return out.unionByName(drift)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import bias as B
 from ..operators import histograms as K
 from ..operators import labels as L
+from ..operators import parcels as Q
 from ..operators import projection as R
+from ..operators import spatial as P
+from ..operators import statistics as A
+from ..operators import temporal as T
 from ..sources.adapters import SERIES, VOLUME, read, series, volume
-from .queries import _dims, query, rounded, with_
+from .queries import CELLS, INTERVALS, _dims, _intervals, cells, query, rounded, with_
 
 _SMOOTH = ["kx as (select unnest([-1, 0, 1]) o)", "kw as (select o, exp(-0.5 * o * o)::double / (1 + 2 * exp(-0.5::double)) w from kx)", "tp as (select max(k) m from vol)", *[f"s{a} as (select q.voxel, q.i, q.j, q.k, sum(w * p.v) v from {src} q, kw, tp join {src} p on {on} group by 1, 2, 3, 4)" for a, src, on in (
     ("i", "vol", "p.i = least(greatest(q.i + o, 0), 9) and p.j = q.j and p.k = q.k"),
@@ -135,3 +139,89 @@ def joint_histogram_pv(spark, d):
     + ", ".join(f"(select -sum(p * ln(p)) {h} from (select sum(count) / (select sum(count) from bins)::double p from bins group by {g}))" for h, g in (("hx", "a"), ("hy", "b"), ("hxy", "a, b"))))
 def joint_measures_pv(spark, d):
     return rounded(K.measures(_deposits(spark, d)), 5)
+
+
+# --- clusters, correlation, regions, designs ------------------------------------------------------------------------------
+
+_SIGNED = VOLUME.replace("p_retailprice v", "(p_size - 25)::double v")
+_CORNERS = """ins as (select voxel, i, j, k from vol where abs(v) >= 19), nb as (select a.voxel a, b.voxel b from ins a join ins b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and abs(a.k - b.k) <= 1 and a.voxel <> b.voxel),
+ reach as (select voxel a, voxel c from ins union select nb.b, reach.c from reach join nb on nb.a = reach.a), comp as (select a voxel, min(c) component from reach group by a)"""
+
+
+def _signed(spark, d):
+    return volume(spark, d).withColumn("v", (F.col("label") - 25).cast("double"))
+
+
+@query(with_(_SIGNED, _CORNERS, "big as (select component from comp group by 1 having count(*) >= 5)") + "select voxel, case when voxel in (select voxel from comp where component in (select component from big)) then v else 0.0 end::double v from vol")
+def cluster_filter(spark, d):
+    return P.cluster_filter(_signed(spark, d), 19, 5)
+
+
+@query(with_(_SIGNED, _CORNERS.replace("abs(v) >= 19", "v > 12"), "sd as (select i, j, k from vol where v > 12 order by voxel limit 1)") + "select voxel, case when voxel in (select voxel from comp where component = (select component from comp join ins using (voxel) join sd using (i, j, k))) then 1.0 else 0.0 end::double v from vol")
+def connect_from_seed(spark, d):
+    v = _signed(spark, d).withColumn("v", F.col("v") - 12)
+    seed = v.where("v > 0").orderBy("voxel").select("i", "j", "k").first()
+    return P.connect(v, tuple(seed))
+
+
+@query("with " + CELLS + " select a.col a, b.col b, round(case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then corr(a.v, b.v) else 0.0 end, 4) r from cells a join cells b on a.row = b.row and a.col <= b.col where a.row % 3 > 0 group by 1, 2")
+def correlation_binary_weights(spark, d):
+    c = cells(spark, d)
+    return rounded(A.weighted_correlation_matrix(c, c.select("row").distinct().withColumn("w", (F.col("row") % 3).cast("double"))))
+
+
+@query("with " + CELLS + ", s as (select a.col a, b.col b, sum(w) n, sum(w * a.v) / sum(w) x, sum(w * b.v) / sum(w) y, sum(w * a.v * a.v) / sum(w) xx, sum(w * b.v * b.v) / sum(w) yy, sum(w * a.v * b.v) / sum(w) xy from (select *, (row % 3)::double w from cells) a join cells b on a.row = b.row and a.col <= b.col where w > 0 group by 1, 2), "
+    "r as (select a, b, case when a = b then 1.0::double else (xy - x * y) / sqrt((xx - x * x) * (yy - y * y)) end r from s) select a, b, round(case when abs(r) < 0.99999 then 0.5 * ln((1 + r) / (1 - r)) when r > 0 then 6.103 else -6.103 end, 4) r from r")
+def correlation_weighted_z(spark, d):
+    c = cells(spark, d)
+    return rounded(A.weighted_correlation_matrix(c, c.select("row").distinct().withColumn("w", (F.col("row") % 3).cast("double")), binary=False, to_z=True))
+
+
+_PLACES = "pl as (select voxel, (voxel % 10)::int i, (voxel // 10)::int j, 0::int k, (voxel % 9)::int as label from (select distinct voxel from ser))"
+
+
+@query(with_(SERIES, _PLACES, "nf as (select max(t) + 1 n from ser)", "rg as (select unnest(range(1, 11))::int roi)", "sh as (select label roi, count(*)::double n, avg(i) ci, avg(j) cj, avg(k) ck from pl where label > 0 group by 1)")
+    + "select t::bigint as row, roi, round(coalesce(avg(v), 0.0), 4) v from rg, (select distinct t from ser) f left join (select label, t tt, v from ser join pl using (voxel)) x on label = roi and tt = t group by 1, 2 union all "
+    + " union all ".join(f"select (n + {k})::bigint, roi, round({e}, 4)::double from rg, nf left join (select roi r, n c, ci, cj, ck from sh) on r = roi" for k, e in enumerate(("-1.0", "coalesce(c, 0)", "coalesce(ci, 0)", "coalesce(cj, 0)", "coalesce(ck, 0)"))))
+def roi_table(spark, d):
+    s, v = series(spark, d), F.col("voxel")
+    places = s.select("voxel").distinct().select("voxel", (v % 10).cast("int").alias("i"), F.floor(v / 10).cast("int").alias("j"), F.lit(0).alias("k"), (v % 9).cast("int").alias("label"))
+    return rounded(A.roi_table(s, places, 10))
+
+
+def _response_sql(period: float) -> str:
+    return ", ".join(f"({d}, {x!r}::double)" for d, x in enumerate(T.response(period)))
+
+
+@query("with " + INTERVALS + f", hr(d, h) as (values {_response_sql(1.5)}), o as (select distinct run, task, unnest(range(lo, hi)) f from iv), nm as (select task, (row_number() over (order by task) - 1)::int col from (select distinct task from iv)), rn as (select run, row_number() over (order by run) - 1 as r, count(*) over () runs from (select distinct run from iv)), "
+    "cv as (select run, (f + d)::int frame, col, sum(h) v from o join nm using (task), hr where f + d < 720 group by 1, 2, 3), gd as (select run, fr::int frame, col from rn, nm, (select unnest(range(720)) fr)), "
+    "dr as (select a.run, fr::int frame, ((select count(*) from nm) + b.r * 4 + k)::int col, case when a.r = b.r then case k when 0 then 1.0 when 1 then t when 2 then 1.5 * t * t - 0.5 else 2.5 * t * t * t - 1.5 * t end else 0.0 end v from rn a, rn b, (select unnest(range(720)) fr, 2 * unnest(range(720)) / 719.0::double - 1 t), (select unnest(range(4)) k)) "
+    "select run, frame, col, round(coalesce(v, 0.0), 4)::double v from gd left join cv using (run, frame, col) union all select run, frame, col, round(v, 4)::double from dr")
+def stacked_waveform(spark, d):
+    iv = _intervals(spark, d)
+    names = A.global_rank(iv.select("task").distinct(), "task").select("task", (F.col("rank") - 1).cast("int").alias("col"))
+    tasks = T.intervals_to_frames(iv).join(names, "task").select("run", "frame", "col", F.lit(1.0).alias("v"))
+    return rounded(T.stacked_waveform(tasks, 720, 1.5, 3))
+
+
+@query(with_(SERIES, "pd as (select voxel, t, v from ser union all select a.voxel, -a.t, 2 * b.v - a.v from ser a join ser b on b.voxel = a.voxel and b.t = 0 where a.t between 1 and 6)", "lo as (select voxel, t, v, min(v) over (partition by voxel order by t rows between current row and 5 following) lo from pd)") + "select voxel, t::int t, round(v, 4) v from (select voxel, t, v - max(lo) over (partition by voxel order by t rows between 5 preceding and current row) v from lo) where t >= 0")
+def top_hat_padded(spark, d):
+    return rounded(T.top_hat_padded(series(spark, d), 6))
+
+
+@query("select p_partkey as index, [p_size, p_partkey % 7, p_partkey % 3] attr, row_number() over (order by p_size, p_partkey % 7, p_partkey % 3, p_partkey) place from part")
+def sort_parcels(spark, d):
+    k = F.col("p_partkey")
+    return Q.sort_parcels(read(spark, d, "part").select(k.alias("index"), F.array(F.col("p_size").cast("long"), k % 7, k % 3).alias("attr")))
+
+
+@query("with " + INTERVALS + " select run, list(lo || '-' || hi || ' ' || task order by lo, hi, task) ranges from iv group by run")
+def sort_task_ranges(spark, d):
+    text = F.transform("ranges", lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"), F.lit(" "), r["task"]))
+    return Q.sort_task_ranges(_intervals(spark, d)).select("run", text.alias("ranges"))
+
+
+@query(with_(VOLUME, "nd as (select voxel id, i::double x, j::double y, k::double z, case when label <= 40 then 0 else label end lobe from vol)", "nr as (select a.id, b.lobe, row_number() over (partition by a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.id) r from nd a, nd b where a.lobe = 0 and b.lobe <> 0)") + "select nd.id, x, y, z, coalesce(nr.lobe, nd.lobe)::int lobe from nd left join nr on nr.id = nd.id and r = 1")
+def repair_lobes(spark, d):
+    v = volume(spark, d)
+    return Q.repair_lobes(v.select(F.col("voxel").alias("id"), *[F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")], F.when(F.col("label") <= 40, 0).otherwise(F.col("label")).alias("lobe")), 2.0)

@@ -805,9 +805,9 @@ def text_tools(spark, d):
     return c.select("c_custkey", S.separated(F.concat("c_name", F.lit("  "), "c_mktsegment")).alias("line"), job.alias("job"))
 
 
-@query(with_(EDGES, DEGREE) + "select node, total, row_number() over (order by total desc, node) as place from deg")
+@query(with_(EDGES, DEGREE) + "select node, total, row_number() over (order by total, node) as place from deg")
 def sort_nodes(spark, d):
-    deg = G.degree(edges(spark, d)).select("node", "total", (-F.col("total")).alias("o")).withColumn("key", F.struct("o", "node"))
+    deg = G.degree(edges(spark, d)).select("node", "total").withColumn("key", F.struct("total", "node"))
     return A.global_rank(deg, "key").select("node", "total", F.col("rank").alias("place"))
 
 

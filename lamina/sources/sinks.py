@@ -92,3 +92,25 @@ def read_demographics(spark: SparkSession, path: str, mark: str = "---") -> Data
 
     x = lines(spark, path).where("trim(line) <> ''")
     return x.select("file", "n", F.transform(F.split("line", F.lit(r"\Q" + mark + r"\E")), lambda p: F.trim(p)).alias("fields"))
+
+
+def provenance(command: str, output: str, parameters: dict | None = None, system: dict | None = None) -> str:
+    """What made an output, as one comment in JSON."""
+    import json
+
+    return json.dumps({"output": output, "command": command, **({"parameters": parameters} if parameters else {}), **({"system": system} if system else {})}, sort_keys=True)
+
+
+def with_comment(objects: DataFrame, comment: str) -> DataFrame:
+    """JSON objects (name, value) with a comment added to the list that each of them has; all other fields stay as they are."""
+    old = F.from_json(F.get_json_object("value", "$.comments"), "array<string>")
+    comments = F.to_json(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.array(F.lit(comment))))
+    fields = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: k != "comments")
+    quoted = F.transform(F.map_entries(fields), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.coalesce(F.to_json(F.try_parse_json(e["value"])), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2))))
+    return objects.select("name", F.concat(F.lit("{"), F.concat_ws(",", F.concat(quoted, F.array(F.concat(F.lit('"comments":'), comments)))), F.lit("}")).alias("value"))
+
+
+def write_with_provenance(df: DataFrame, path: str, comment: str) -> None:
+    """A table as Parquet, and beside it a row of text with what made it."""
+    df.write.parquet(path)
+    df.sparkSession.createDataFrame([(comment,)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}.provenance")
