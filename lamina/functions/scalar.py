@@ -95,3 +95,14 @@ def run_order(name: Column) -> Column:
     """A key that sorts run names by the number after their first '_'; names without one come last, by name."""
     number = F.get(F.split(name, "_"), F.lit(1)).try_cast("long")
     return F.struct(number.isNull().alias("none"), number.alias("number"), name.alias("name"))
+
+
+def running_sums(xs: Column) -> Column:
+    """Cumulative sums of an array of whole numbers."""
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(xs, none, lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
+
+
+def zero_filled(xs: Column, n: int) -> Column:
+    """An array of n numbers: the first ones given, then zeros."""
+    return F.slice(F.concat(F.transform(xs, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), n)), F.lit(1), F.lit(n))

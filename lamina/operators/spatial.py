@@ -195,8 +195,10 @@ def open_close(img: DataFrame, opening: bool) -> DataFrame:
     return morphology(img.drop("v").join(first, "voxel"), steps[1])
 
 
-def bilateral(img: DataFrame, radius: int, space: float, value: float, flat: bool = True) -> DataFrame:
-    """Mean over the box weighted by distance and by difference of value."""
+def bilateral(img: DataFrame, radius: int, space: float, value: float, flat: bool = True, iterations: int = 1) -> DataFrame:
+    """Mean over the box weighted by distance and by difference of value; repeated on its own result."""
+    for _ in range(iterations - 1):
+        img = img.drop("v").join(keep(bilateral(img, radius, space, value, flat)), "voxel")
     d = F.sequence(F.lit(-radius), F.lit(radius))
     box = img.select("voxel", "i", "j", "k", F.col("v").alias("own"), F.explode(d).alias("di")).select("*", F.explode(d).alias("dj")).select("*", F.explode(F.array(F.lit(0)) if flat else d).alias("dk"))
     box = box.select("voxel", "own", "di", "dj", "dk", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), (F.col("k") + F.col("dk")).alias("k"))

@@ -247,3 +247,41 @@ def roi_table(ser: DataFrame, places: DataFrame, regions: int) -> DataFrame:
     extra = shape.select("roi", "frames", F.posexplode(extra).alias("k", "v")).select((F.col("frames") + F.col("k")).cast("long").alias("row"), "roi", "v")
     grid = every.crossJoin(F.broadcast(frames)).select("roi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("row"))
     return grid.join(means, ["row", "roi"], "left").select("row", "roi", F.coalesce("v", F.lit(0.0)).alias("v")).unionByName(extra)
+
+
+def quantile_normalize_frames(ser: DataFrame) -> DataFrame:
+    """voxel, t, v: quantile_normalize() of all frames of ser(voxel, t, v) with the order statistics of frame 0."""
+    first = ser.where("t = 0").select("voxel", "v")
+    q = order_statistics(first, [F.floor(F.col("n") / 4), F.floor(F.col("n") / 2), F.floor(3 * F.col("n") / 4)])
+    return ser.crossJoin(F.broadcast(q)).select("voxel", "t", ((F.col("v") - F.col("r1")) / F.greatest(F.col("r2") - F.col("r0"), F.lit(0.001))).alias("v"))
+
+
+def predict_from_edges(edges: DataFrame, traits: DataFrame, folds: DataFrame, least: float) -> DataFrame:
+    """subject, fold, truth, predicted: connectome prediction with the subjects of one fold left out at a time.
+
+    edges(subject, edge, v), traits(subject, y), folds(subject, fold). In each fold, edges whose correlation with the trait over the other
+    folds' subjects is at least `least` in size are added up by sign for every subject; the trait is fitted on the two sums over
+    the other folds and predicted for the fold left out. Folds are a key: all are worked out in one pass. A fold without any edge, or whose sums do not
+    vary, predicts the others' mean.
+    """
+    e = edges.join(traits, "subject").join(folds, "subject")
+    each = folds.select(F.col("fold").alias("out")).distinct()
+    train = e.join(F.broadcast(each), F.col("fold") != F.col("out"))  # folds are few: the number of them is the caller's
+    r = train.groupBy("out", "edge").agg(F.corr("v", "y").alias("r")).where(F.abs("r") >= least).select("out", "edge", F.signum("r").alias("sign"))
+    sums = e.join(r, "edge").groupBy("out", "subject", "fold", "y").agg(F.sum(F.when(F.col("sign") > 0, F.col("v")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("sign") < 0, F.col("v")).otherwise(0.0)).alias("n"))
+    every = traits.join(folds, "subject").join(F.broadcast(each), how="cross").select(F.col("out"), "subject", "fold", "y")
+    s = every.join(sums.select("out", "subject", "p", "n"), ["out", "subject"], "left").fillna(0.0, ["p", "n"])
+    m = s.where("fold <> out").groupBy("out").agg(F.avg("y").alias("my"), F.avg("p").alias("mp"), F.avg("n").alias("mn"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in (("p", "p"), ("n", "n"), ("p", "n"), ("p", "y"), ("n", "y"))])
+    det = F.col("cpp") * F.col("cnn") - F.col("cpn") ** 2
+    both = det > 1e-12 * F.col("cpp") * F.col("cnn")
+    bp = F.when(both, (F.col("cpy") * F.col("cnn") - F.col("cny") * F.col("cpn")) / det).when(F.col("cpp") > 0, F.col("cpy") / F.col("cpp")).otherwise(0.0)
+    bn = F.when(both, (F.col("cny") * F.col("cpp") - F.col("cpy") * F.col("cpn")) / det).when(F.col("cpp") > 0, F.lit(0.0)).when(F.col("cnn") > 0, F.col("cny") / F.col("cnn")).otherwise(0.0)
+    model = m.select("out", "my", "mp", "mn", bp.alias("bp"), bn.alias("bn"))
+    test = s.where("fold = out").join(model, "out")
+    return test.select("subject", "fold", F.col("y").alias("truth"), (F.col("my") + F.col("bp") * (F.col("p") - F.col("mp")) + F.col("bn") * (F.col("n") - F.col("mn"))).alias("predicted"))
+
+
+def assign_folds(subjects: DataFrame, k: int) -> DataFrame:
+    """subject, fold (0 to k - 1): subjects in a fixed pseudo-random order, dealt in turn, so folds differ by one subject at most."""
+    ranked = global_rank(subjects.select("subject").withColumn("_key", F.struct(F.xxhash64("subject").alias("h"), "subject")), "_key")
+    return ranked.select("subject", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int").alias("fold"))

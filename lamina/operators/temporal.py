@@ -226,3 +226,50 @@ def stacked_waveform(tasks: DataFrame, frames: int, period: float, order: int =
     drift = rows.select("run", "frame", "r", "other", "width", F.posexplode(F.array(*[p.cast("double") for p in poly])).alias("k", "p"))
     drift = drift.select("run", "frame", (F.col("width") + F.col("other") * (order + 1) + F.col("k")).cast("int").alias("col"), F.when(F.col("r") == F.col("other"), F.col("p")).otherwise(0.0).alias("v"))
     return out.unionByName(drift)
+
+
+def frame_matrix(ser: DataFrame, sparsity: float | None = None, best: int | None = None) -> DataFrame:
+    """t, other, d2: for each frame of ser(voxel, t, v) the frames whose squared distance over all voxels lies strictly below the one at
+    rank `best`, counted from 0 among all frames, the frame itself (at 0) among them. sparsity: best is this share of the frames, rounded down, plus 1.
+
+    Voxels become rows with their series; a task adds up one matrix of frames by frames, so what is shuffled is a matrix a task and not a row for
+    each voxel and pair. A frame that a voxel lacks counts as 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n = (ser.agg(F.max("t")).first()[0] or 0) + 1
+    best = int(sparsity * n) + 1 if best is None else best
+
+    def add(batches):
+        total = np.zeros((n, n))
+        for batch in batches:
+            flat, t, v = batch.column(0), batch.column(0).flatten().field("t"), batch.column(0).flatten().field("v")
+            rows = np.repeat(np.arange(len(flat)), np.diff(flat.offsets.to_numpy()))
+            x = np.zeros((len(flat), n))
+            x[rows, t.to_numpy()] = v.to_numpy()
+            for a in range(n):
+                total[a] += ((x - x[:, a : a + 1]) ** 2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["t", "d"])
+
+    wide = ser.groupBy("voxel").agg(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), F.col("v").cast("double").alias("v"))).alias("x")).select("x")
+    d2 = wide.mapInArrow(add, "t int, d array<double>").select("t", F.posexplode("d").alias("other", "d2")).groupBy("t", "other").agg(F.sum("d2").alias("d2"))
+    w = Window.partitionBy("t")
+    rank = F.row_number().over(w.orderBy("d2", "other")) - 1
+    cut = F.max(F.when(F.col("rank") == best, F.col("d2"))).over(w)
+    return d2.withColumn("rank", rank).withColumn("cut", cut).where("cut is null or d2 < cut").select("t", "other", "d2")
+
+
+def global_signal(ser: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """t, u, on: the mean over voxels of each frame, scaled to length 1 over the frames in use (0 elsewhere); weights(t, w) above 0.5 are in use, all without weights."""
+    g = ser.groupBy("t").agg(F.avg("v").alias("g"))
+    g = g.withColumn("on", F.lit(True)) if weights is None else g.join(weights.select("t", (F.col("w") > 0.5).alias("on")), "t", "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    norm = g.where("on").agg(F.sqrt(F.sum(F.col("g") ** 2)).alias("norm"))  # one row
+    return g.crossJoin(F.broadcast(norm)).select("t", F.when(F.col("on") & (F.col("norm") > 0), F.col("g") / F.col("norm")).otherwise(0.0).alias("u"), "on")
+
+
+def global_regress_weighted(ser: DataFrame, weights: DataFrame) -> DataFrame:
+    """Residual of each voxel against the global signal over the frames in use; frames out of use are 0."""
+    j = ser.join(global_signal(ser, weights), "t")
+    c = F.sum(F.col("v") * F.col("u")).over(Window.partitionBy("voxel"))
+    return j.select("voxel", "t", F.when(F.col("on"), F.col("v") - c * F.col("u")).otherwise(0.0).alias("v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import bias as B
 from ..operators import histograms as K
 from ..operators import labels as L
@@ -225,3 +226,77 @@ def sort_task_ranges(spark, d):
 def repair_lobes(spark, d):
     v = volume(spark, d)
     return Q.repair_lobes(v.select(F.col("voxel").alias("id"), *[F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")], F.when(F.col("label") <= 40, 0).otherwise(F.col("label")).alias("lobe")), 2.0)
+
+
+# --- frames, folds, sketches, maps ----------------------------------------------------------------------------------------
+
+
+@query(with_(SERIES, "x as (select a.t, b.t other, sum((floor(a.v / 40) - floor(b.v / 40)) ** 2) d2 from ser a join ser b using (voxel) group by 1, 2)", "k as (select t, d2 c from x qualify row_number() over (partition by t order by d2, other) = 5)") + "select x.* from x join k using (t) where d2 < c")
+def frame_matrix(spark, d):
+    return T.frame_matrix(series(spark, d).withColumn("v", F.floor(F.col("v") / 40).cast("double")), sparsity=0.1)
+
+
+@query(with_(SERIES, "g as (select t, avg(v) g from ser group by 1)", "u as (select t, case when t % 4 > 0 then g / (select sqrt(sum(g * g)) from g where t % 4 > 0) else 0 end u from g)", "c as (select voxel, sum(v * u) c from ser join u using (t) group by 1)") + "select voxel, t, round(case when t % 4 > 0 then v - c * u else 0.0 end, 3) v from ser join u using (t) join c using (voxel)")
+def global_regress_weighted(spark, d):
+    s = series(spark, d)
+    return rounded(T.global_regress_weighted(s, s.select("t").distinct().withColumn("w", (F.col("t") % 4 > 0).cast("double"))), 3)
+
+
+@query(with_(SERIES, "o as (select v, row_number() over (order by v) - 1 as rk, count(*) over () n from ser where t = 0)", "q as (select max(case when rk = n // 4 then v end) a, max(case when rk = n // 2 then v end) b, max(case when rk = 3 * n // 4 then v end) c from o)") + "select voxel, t, round((v - b) / greatest(c - a, 0.001), 4) v from ser, q")
+def quantile_normalize_frames(spark, d):
+    return rounded(A.quantile_normalize_frames(series(spark, d)))
+
+
+@query(with_(SERIES, "fo as (select distinct voxel subject, (voxel % 5)::int fold from ser)", "tr as (select voxel subject, avg(v) y from ser where t < 10 group by 1)", "ed as (select voxel subject, t edge, v from ser where t >= 5)",
+    "rr as (select o.fold out, edge, corr(v, y) r from ed join tr using (subject) join fo using (subject), (select distinct fold from fo) o where fo.fold <> o.fold group by 1, 2 having abs(corr(v, y)) >= 0.2)",
+    "sm as (select o.fold out, fo.subject, fo.fold, y, coalesce(sum(v) filter (r > 0), 0) p, coalesce(sum(v) filter (r < 0), 0) n from fo join tr using (subject) join (select distinct fold from fo) o on true left join rr on rr.out = o.fold left join ed on ed.subject = fo.subject and ed.edge = rr.edge group by 1, 2, 3, 4)",
+    "md as (select out, avg(y) my, avg(p) mp, avg(n) mn, var_pop(p) pp, var_pop(n) nn, covar_pop(p, n) pn, covar_pop(p, y) py, covar_pop(n, y) ny from sm where fold <> out group by 1)",
+    "cf as (select *, pp * nn - pn * pn det from md)", "be as (select *, case when det > 1e-12 * pp * nn then (py * nn - ny * pn) / det when pp > 0 then py / pp else 0 end bp, case when det > 1e-12 * pp * nn then (ny * pp - py * pn) / det when pp > 0 then 0 when nn > 0 then ny / nn else 0 end bn from cf)")
+    + "select subject, fold, round(y, 4) truth, round(my + bp * (p - mp) + bn * (n - mn), 3) predicted from sm join be using (out) where fold = out")
+def predict_from_edges(spark, d):
+    s = series(spark, d).withColumnRenamed("voxel", "subject")
+    folds = s.select("subject").distinct().withColumn("fold", (F.col("subject") % 5).cast("int"))
+    out = A.predict_from_edges(s.where("t >= 5").select("subject", F.col("t").alias("edge"), "v"), s.where("t < 10").groupBy("subject").agg(F.avg("v").alias("y")), folds, 0.2)
+    return out.select("subject", "fold", F.round("truth", 4).alias("truth"), F.round("predicted", 3).alias("predicted"))
+
+
+@query("select fold, n from (select unnest(range(7))::int fold), (select count(*) c from customer), lateral (select (c - fold + 6) // 7 n)")
+def fold_sizes(spark, d):
+    folds = A.assign_folds(read(spark, d, "customer").select(F.col("c_custkey").alias("subject")), 7)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_returnflag, true distinct_near, true median_near, true merged_same from lineitem group by 1")
+def sketches(spark, d):
+    """HyperLogLog and quantile sketches by flag, against the exact figures, and sketches of parts of the table merged."""
+    l = read(spark, d, "lineitem")  # noqa: E741
+    by = l.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey", 14).alias("s"), F.countDistinct("l_partkey").alias("n"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("q"), F.percentile("l_extendedprice", F.lit(0.5)).alias("m"))
+    parts = l.groupBy("l_returnflag", "l_linenumber").agg(F.hll_sketch_agg("l_partkey", 14).alias("s")).groupBy("l_returnflag").agg(F.hll_union_agg("s").alias("u"))
+    near = lambda a, b, share: F.abs(a - b) <= share * b
+    return by.join(parts, "l_returnflag").select("l_returnflag", near(F.hll_sketch_estimate("s"), F.col("n"), 0.05).alias("distinct_near"), near(F.col("q"), F.col("m"), 0.02).alias("median_near"), near(F.hll_sketch_estimate("u"), F.hll_sketch_estimate("s"), 0.02).alias("merged_same"))
+
+
+@query("with " + INTERVALS + ", r as (select run, task, list(lo || '-' || hi order by lo, hi) l, count(*) n from iv group by 1, 2) select run, list(task order by task) tasks, list(n order by task) counts, sum(n)::bigint total, list(l order by task)[1] as first, array_to_string(list_transform(range(1, len(list(n)) + 1), lambda k: list_sum(list(n order by task)[1:k])::bigint), ' ') running from r group by run")
+def task_dictionary(spark, d):
+    """Dictionaries: task to ranges and task to count of each run as maps, and the counts' running sums."""
+    text = F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))
+    r = _intervals(spark, d).groupBy("run", "task").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", text.alias("x")))).alias("l"), F.count(F.lit(1)).alias("n"))
+    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", c))))
+    m = r.groupBy("run").agg(entries(F.transform("l", lambda x: x["x"]).alias("v")).alias("ranges"), entries(F.col("n").alias("v")).alias("counts"))
+    return m.select("run", F.map_keys("counts").alias("tasks"), F.map_values("counts").alias("counts"), F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.map_values("ranges")[0].alias("first"), F.array_join(F.transform(S.running_sums(F.map_values("counts")), lambda x: x.cast("string")), " ").alias("running"))
+
+
+@query(with_(VOLUME, *[f"{b} as (select a.voxel, a.i, a.j, a.k, sum(w * x) / sum(w) v from (select p.voxel, p.i, p.j, p.k, q.v x, exp(-((p.i - q.i) ** 2 + (p.j - q.j) ** 2 + (p.k - q.k) ** 2) / 2.0 - (p.v - q.v) ** 2 / 20000.0) w from {a} p join {a} q on abs(p.i - q.i) <= 1 and abs(p.j - q.j) <= 1 and abs(p.k - q.k) <= 1) a group by 1, 2, 3, 4)" for a, b in (("vol", "b1"), ("b1", "b2"))]) + "select voxel, round(v, 3) v from b2")
+def bilateral_twice(spark, d):
+    return rounded(P.bilateral(volume(spark, d), 1, 1.0, 100.0, flat=False, iterations=2), 3)
+
+
+@query(with_(VOLUME, "nb as (select a.voxel, b.v, row_number() over (partition by a.voxel order by b.v) - 1 r, count(*) over (partition by a.voxel) n from vol a join vol b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and abs(a.k - b.k) <= 1)") + "select voxel, v from nb where r = n // 2")
+def median_filter_box(spark, d):
+    return P.median_filter(volume(spark, d), 1, flat=False)
+
+
+@query("with x as (select p_partkey, (p_partkey % 41 - 20) / 8.0::double x from part) select p_partkey, round(case when abs(x) < 1 then -2 * x + 1.5 * x * abs(x) when abs(x) < 2 then -sign(x) * (2 - abs(x)) ** 2 / 2 else 0.0 end, 6) d from x")
+def b_spline_slope(spark, d):
+    x = (F.col("p_partkey") % 41 - 20) / 8.0
+    return rounded(read(spark, d, "part").select("p_partkey", S.b_spline_derivative(x).alias("d")), 6)

@@ -104,12 +104,13 @@ def affinity(spark, d):
     return rounded(D.affinity(D.sparse_matrix(_featured(spark, d), 3), 0.5, 2.0), 6)
 
 
-@query(with_(VOLUME) + "select q, p, d2 from (select a.voxel q, b.voxel p, " + _D2 + " d2 from vol a, vol b where a.label <= 5 and b.label > 45) where d2 <= 25 qualify row_number() over (partition by q order by d2, p) = 1")
+@query(with_(VOLUME) + "select q, p, d2 from (select a.voxel q, b.voxel p, " + _D2 + " d2 from vol a, vol b where a.label <= 45 and b.label > 45) qualify row_number() over (partition by q order by d2, p) = 1")
 def nearest_labelled(spark, d):
-    from ..operators.joins import nearest_within
+    """Every voxel outside the labels above 45 looks for the nearest inside them, in cells that grow until it has one."""
+    from ..operators.joins import nearest
 
     p = _points(spark, d)
-    return nearest_within(p.where("label <= 5"), p.where("label > 45"), 5.0)
+    return nearest(p.where("label <= 45"), p.where("label > 45"))
 
 
 # --- resampling -------------------------------------------------------------------------------------------------------

@@ -118,15 +118,10 @@ def _unpacked(data: bytes) -> bytes:
 
 
 def read_nifti_headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, dims, code, spacing of each image."""
+    """file, dims, code, spacing, frame_bytes of each image; tasks read the few bytes of a header."""
+    from .ranges import read_headers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = nifti_header(_unpacked(data)[:352])
-                yield pa.RecordBatch.from_pydict({"file": [name], "dims": [np.array(h["dims"], np.int32)], "code": np.array([h["code"]], np.int32), "spacing": [h["spacing"]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, dims array<int>, code int, spacing array<double>")
+    return read_headers(spark, path)
 
 
 def read_nifti(spark: SparkSession, path: str) -> DataFrame:
@@ -194,3 +189,11 @@ def read_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     v, f = v_ply.unionByName(flat("v", 3)), f_ply.unionByName(flat("f", 4))
     whole = lambda k: F.col("p")[k].cast("int")
     return v.select("file", F.col("at").alias("id"), num(0).alias("x"), num(1).alias("y"), num(2).alias("z")), f.select("file", F.col("at").alias("id"), whole(1).alias("v0"), whole(2).alias("v1"), whole(3).alias("v2"))
+
+
+def connectivity_json(groups: DataFrame) -> DataFrame:
+    """value: one JSON object of all subjects of group_subject_files(), each with its files' names and texts. One row, as the file is one object; subjects are in order."""
+    rows = groups.select("subject", F.to_json("files").alias("files"))
+    entry = F.concat(F.to_json(F.array("subject")).substr(F.lit(2), F.length(F.to_json(F.array("subject"))) - 2), F.lit(":"), F.col("files"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("subject", entry.alias("e")))), lambda x: x["e"])
+    return rows.agg(F.concat(F.lit("{"), F.array_join(whole, ","), F.lit("}")).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from .files import lines, nifti_bytes
 #: Fixed values of the NRRD header: type name -> numpy type.
 NRRD_TYPES = {"uint8": "u1", "uchar": "u1", "unsigned char": "u1", "int8": "i1", "int16": "i2", "short": "i2", "uint16": "u2", "ushort": "u2", "int32": "i4", "int": "i4", "uint32": "u4", "float": "f4", "double": "f8"}
 #: Fixed values of TIFF: tag numbers, and field type -> numpy type.
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 277, 279, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, PREDICTOR, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 277, 279, 317, 339
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKED_BITS = 1, 5, 8, 32946, 32773
 TIFF_FIELDS = {1: "u1", 3: "u2", 4: "u4"}
 VOXELS = "file string, voxel long, i int, j int, k int, c int, v double"
 
@@ -38,8 +40,47 @@ def nrrd_array(data: bytes) -> np.ndarray:
     return np.frombuffer(body if coding == "raw" else gzip.decompress(body), kind, int(np.prod(sizes))).reshape(sizes, order="F")
 
 
+def unpack_bits(data: bytes) -> bytes:
+    """Runs of bytes: a count n of 0..127 is followed by n + 1 bytes, one of 129..255 by a byte that stands 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends; a width grows one code early."""
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, width, last, out, bits, held = list(first), 9, None, bytearray(), 0, 0
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(first), 9, None
+            continue
+        piece = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + piece[:1])
+        out += piece
+        last = piece
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
 def tiff_array(data: bytes) -> np.ndarray:
-    """The pages of an uncompressed TIFF with axes i (width), j (height), k (page), c (sample)."""
+    """The pages of a TIFF in strips, plain or packed (runs, LZW, deflate), with axes i (width), j (height), k (page), c (sample)."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or np.frombuffer(data, f"{order}u2", 1, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -52,12 +93,17 @@ def tiff_array(data: bytes) -> np.ndarray:
             if kind:
                 inline = count * np.dtype(kind).itemsize <= 4
                 tags[one(e, "u2")] = np.frombuffer(data, order + kind, count, e + 8 if inline else one(e + 8, "u4")).tolist()
-        if tags.get(COMPRESSION, [1])[0] != 1:
-            raise ValueError("a compressed TIFF is not read")
+        coding = tags.get(COMPRESSION, [PLAIN])[0]
+        unpack = {PLAIN: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKED_BITS: unpack_bits}.get(coding)
+        if unpack is None or OFFSETS not in tags:
+            raise ValueError(f"a TIFF of compression {coding} or in tiles is not read")
         width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0]
         kind = {1: "u", 2: "i", 3: "f"}[tags.get(SAMPLE_FORMAT, [1])[0]] + str(tags.get(BITS, [8])[0] // 8)
-        raw = b"".join(data[o : o + n] for o, n in zip(tags[OFFSETS], tags[COUNTS]))
-        pages.append(np.frombuffer(raw, order + kind, width * height * samples).reshape(height, width, samples).transpose(1, 0, 2))
+        raw = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[OFFSETS], tags[COUNTS]))
+        page = np.frombuffer(raw, order + kind, width * height * samples).reshape(height, width, samples)
+        if tags.get(PREDICTOR, [1])[0] == 2:  # differences along a row
+            page = np.cumsum(page, axis=1, dtype=page.dtype)
+        pages.append(page.transpose(1, 0, 2))
         at = one(at + 2 + 12 * n, "u4")
     return np.stack(pages, axis=2)
 
@@ -168,3 +214,8 @@ def write_files(files: DataFrame, path: str) -> None:
 def write_nifti(images: DataFrame, path: str, spacing: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0), compress: bool = True) -> None:
     """images(name, i, j, k, t, v) as NIfTI-1 files under path."""
     write_files(nifti_files(images, spacing, compress), path)
+
+
+def frame_names(images: DataFrame, prefix: str) -> DataFrame:
+    """(name, i, j, k, t, v) with each frame as an image of its own, named prefix_<frame from 1>.nii.gz: what write_nifti() writes as a file a frame."""
+    return images.select(F.concat(F.lit(f"{prefix}_"), (F.col("t") + 1).cast("string"), F.lit(".nii.gz")).alias("name"), "i", "j", "k", F.lit(0).alias("t"), "v")

@@ -99,3 +99,97 @@ def test_optical_chain(spark):
     assert (volume_of(out, want.shape) == want).all()
     whole = volume_of(chains.preprocess_optical(frame(spark, v), v.shape, mask=frame(spark, (v > 50) * 1.0).selectExpr("voxel", "v m")), v.shape)
     assert whole.min() == 0 and whole.max() == 255 and (whole[v <= 50] == 0).all()
+
+
+def test_frame_matrix(spark):
+    x = np.random.default_rng(1).integers(0, 3, (20, 9)).astype(float)
+    d = ((x[:, :, None] - x[:, None, :]) ** 2).sum(0)
+    want = {(a, b, d[a, b]) for a in range(9) for b in range(9) if d[a, b] < np.sort(d[a])[3]}
+    df = spark.createDataFrame([(v, t, float(x[v, t])) for v, t in np.ndindex(x.shape) if x[v, t]], "voxel long, t int, v double")
+    assert {tuple(r) for r in temporal.frame_matrix(df, best=3).collect()} == want
+
+
+def test_folds_and_prediction(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(30)
+    e = np.stack([y + 0.1 * rng.random(30), -y + 0.1 * rng.random(30), rng.random(30)], 1)
+    folds = statistics.assign_folds(spark.range(30).withColumnRenamed("id", "subject"), 4)
+    size = [r["count"] for r in folds.groupBy("fold").count().collect()]
+    assert sorted(size) == [7, 7, 8, 8]
+    edges = spark.createDataFrame([(s, k, float(e[s, k])) for s, k in np.ndindex(e.shape)], "subject long, edge int, v double")
+    traits = spark.createDataFrame(list(enumerate(y.tolist())), "subject long, y double")
+    fold = {r.subject: r.fold for r in folds.collect()}
+    got = {r.subject: r.predicted for r in statistics.predict_from_edges(edges, traits, folds, 0.6).collect()}
+    for f in range(4):
+        train = np.array([s for s in range(30) if fold[s] != f])
+        r = np.array([np.corrcoef(e[train, k], y[train])[0, 1] for k in range(3)])
+        sums = np.stack([e[:, (r >= 0.6)].sum(1), e[:, (r <= -0.6)].sum(1), np.ones(30)], 1)
+        b = np.linalg.lstsq(sums[train], y[train], rcond=None)[0]
+        assert all(got[s] == pytest.approx(sums[s] @ b, abs=1e-8) for s in range(30) if fold[s] == f)
+    none = statistics.predict_from_edges(edges, traits, folds, 1.1).where("fold = 0").collect()
+    assert {round(r.predicted, 12) for r in none} == {round(float(np.mean([y[s] for s in range(30) if fold[s] != 0])), 12)}
+
+
+def tiff(page, coding, packed, predictor=1):
+    h, w = page.shape
+    entries = [(256, 4, w), (257, 4, h), (258, 3, page.itemsize * 8), (259, 3, coding), (273, 4, 8), (277, 3, 1), (279, 4, len(packed)), (317, 3, predictor), (339, 3, 1)]
+    ifd = np.array([len(entries)], "<u2").tobytes() + b"".join(np.array([t, k], "<u2").tobytes() + np.array([1, v], "<u4").tobytes() for t, k, v in entries) + b"\0" * 4
+    return b"II*\0" + np.array([8 + len(packed)], "<u4").tobytes() + packed + ifd
+
+
+def lzw(data):
+    """Codes of the widths that a reader expects, most significant bit first."""
+    table, bits, n, width = {bytes([k]): k for k in range(256)}, 256, 9, 9
+    size, w = 258, b""
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if w + c in table:
+            w += c
+            continue
+        bits, n = bits << width | table[w], n + width
+        table[w + c] = size
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        w = c
+    bits, n = bits << width | table[w], n + width
+    size += 1
+    width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    bits, n = bits << width | 257, n + width
+    return (bits << (-n % 8)).to_bytes(-(-n // 8), "big")
+
+
+def test_packed_tiff():
+    import zlib
+
+    from lamina.sources import images
+
+    page = np.random.default_rng(0).integers(0, 5, (40, 30)).astype("<u2")
+    raw = page.tobytes()
+    runs = b"".join(bytes([len(raw[i : i + 100]) - 1]) + raw[i : i + 100] for i in range(0, len(raw), 100))
+    for coding, packed in ((1, raw), (8, zlib.compress(raw)), (32773, runs), (5, lzw(raw))):
+        assert (images.tiff_array(tiff(page, coding, packed))[:, :, 0, 0] == page.T).all()
+    assert images.unpack_bits(bytes([254, 7, 1, 5, 6, 128])) == b"\x07\x07\x07\x05\x06"
+    steps = np.diff(page, axis=1, prepend=np.zeros((40, 1), "<u2")).astype("<u2")
+    assert (images.tiff_array(tiff(page, 8, zlib.compress(steps.tobytes()), 2))[:, :, 0, 0] == page.T).all()
+
+
+def test_frames_as_files_and_connectivity(spark, tmp_path):
+    from lamina.sources import files, images, ranges
+
+    rows = [("x", i, j, 0, t, float(i + 10 * j + 100 * t)) for i in range(3) for j in range(2) for t in range(3)]
+    img = spark.createDataFrame(rows, "name string, i int, j int, k int, t int, v double")
+    images.write_nifti(images.frame_names(img, "part"), str(tmp_path / "f"))
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == ["part_1.nii.gz", "part_2.nii.gz", "part_3.nii.gz"]
+    got = {r.voxel: r.v for r in ranges.read_planes(spark, str(tmp_path / "f" / "part_3.nii.gz")).collect()}
+    assert got == {i + 3 * j: i + 10 * j + 200.0 for i in range(3) for j in range(2)}
+    for n in ("sub2_conn1.csv", "sub2_behaviors.csv", "sub10_conn1.csv"):
+        (tmp_path / n).write_text(f"1,2\n{n}")
+    text = files.connectivity_json(files.group_subject_files(spark, str(tmp_path))).first().value
+    assert json.loads(text) == {"sub10": {"sub10_conn1.csv": "1,2\nsub10_conn1.csv"}, "sub2": {"sub2_behaviors.csv": "1,2\nsub2_behaviors.csv", "sub2_conn1.csv": "1,2\nsub2_conn1.csv"}}
+
+
+def test_zero_fill(spark):
+    from lamina.functions import scalar
+
+    df = spark.createDataFrame([([1.5, None],), ([],)], "x array<double>")
+    assert [r.z for r in df.select(scalar.zero_filled(F.col("x"), 3).alias("z")).collect()] == [[1.5, 0, 0], [0, 0, 0]]
