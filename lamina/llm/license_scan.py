@@ -78,8 +78,8 @@ FAMILIES = (
 
 #: Names that stand for a licence together with a version alone, such as "GPL v2".
 ACRONYMS = {
-    "gpl": "(?:gnu )?gpl", "lgpl": "(?:gnu )?lgpl", "agpl": "(?:gnu )?agpl", "gfdl": "(?:gnu )?gfdl", "mpl": "mpl", "epl": "epl", "edl": "edl", "cddl": "cddl", "cpl": "cpl", "eupl": "eupl", "odbl": "odbl",
-    "sspl": "sspl", "osl": "osl", "afl": "afl", "ofl": "(?:sil )?ofl", "cc-by": "cc by", "cc-by-sa": "cc by sa", "cc-by-nc": "cc by nc", "cc-by-nd": "cc by nd", "cc-by-nc-sa": "cc by nc sa", "cc-by-nc-nd": "cc by nc nd",
+    "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "edl": "edl", "cddl": "cddl", "cpl": "cpl", "eupl": "eupl", "odbl": "odbl", "sspl": "sspl", "osl": "osl", "afl": "afl", "ofl": "ofl",
+    "cc-by": "cc by", "cc-by-sa": "cc by sa", "cc-by-nc": "cc by nc", "cc-by-nd": "cc by nd", "cc-by-nc-sa": "cc by nc sa", "cc-by-nc-nd": "cc by nc nd",
 }
 #: Fixed values of the phrase templates: confidence; words around {n} (name) and {v} (version), {l} is the word licence; what they need.
 TEMPLATES = (
@@ -88,7 +88,7 @@ TEMPLATES = (
     (0.95, "released under (?:the )?(?:terms of (?:the )?)?{n}(?: {l})?(?: (?:version |v ?)?(?:{v}))?", ""),
     (0.9, "(?:distributed|available|published|provided|covered|governed) (?:under|by) (?:the )?(?:terms of (?:the )?)?{n} {l}(?: (?:version |v ?)?(?:{v}))?", ""),
     (0.9, "{n} {l} (?:version |v ?)?(?:{v})(?: or (?:any )?later(?: version)?)?", "version"),
-    (0.85, "{a}(?: {l})? (?:version |v ?)?(?:{v})(?: only| or (?:any )?later(?: version)?)?", "acronym"),
+    (0.85, "{a} (?:{l} )?(?:version |v ?)?(?:{v})(?: only| or (?:any )?later(?: version)?)?", "acronym"),
     (0.8, "{n}(?: (?:{v}))? {l}", ""),
 )
 LICENCE = "licen[sc]es?"
