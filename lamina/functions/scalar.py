@@ -106,3 +106,9 @@ def running_sums(xs: Column) -> Column:
 def zero_filled(xs: Column, n: int) -> Column:
     """An array of n numbers: the first ones given, then zeros."""
     return F.slice(F.concat(F.transform(xs, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), n)), F.lit(1), F.lit(n))
+
+
+def converter_date(name: Column) -> Column:
+    """The first fourteen digits in a row of a converter's file name, its date and time; 'no-date' if there are none."""
+    d = F.regexp_extract(name, r"(\d{14})", 1)
+    return F.when(d == "", F.lit("no-date")).otherwise(d)

@@ -169,3 +169,67 @@ def rotation_scale(degrees: float, scale: tuple[float, float, float], centre: tu
     a = np.deg2rad(degrees)
     m = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]]) @ np.diag(scale)
     return np.column_stack([m, np.array(centre) - m @ np.array(centre)]).tolist()
+
+
+# --- chains of transformations ------------------------------------------------------------------------------------------
+
+
+def grid_step(nodes: DataFrame, origin: tuple[float, float, float], spacing: tuple[float, float, float], dims: tuple[int, int, int], spline: bool = True) -> tuple:
+    """A step of move_points(): a grid of displacements, as grid_points() takes it."""
+    return nodes, origin, spacing, dims, spline
+
+
+def combo(linear: Matrix, grids: list[tuple]) -> list:
+    """The steps of a linear transformation with grids before it: the last grid moves a point first, the matrix last."""
+    return [*reversed(grids), linear]
+
+
+def move_points(points: DataFrame, steps: list) -> DataFrame:
+    """points(id, x, y, z, ...) moved by steps one after the other, each a 3 x 4 matrix or a grid_step(); other columns stay.
+
+    Matrices that follow one another become one projection; a grid is one join. Vertices of surfaces and electrodes are points too.
+    """
+    more = [c for c in points.columns if c not in ("id", "x", "y", "z")]
+    now, k = points.select("id", "x", "y", "z"), 0
+    while k < len(steps):
+        if isinstance(steps[k], tuple):
+            now, k = grid_points(now, *steps[k]), k + 1
+            continue
+        m = steps[k]
+        while k + 1 < len(steps) and not isinstance(steps[k + 1], tuple):
+            m, k = compose(steps[k + 1], m), k + 1
+        now, k = transform_points(now, m), k + 1
+    return now.join(points.select("id", *more), "id") if more else now
+
+
+def chain_displacement(grid: DataFrame, steps: list, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """voxel, i, j, k, dx, dy, dz: how far steps move each place of an image(voxel, i, j, k) with a spacing, in millimetres."""
+    at = grid.select(F.col("voxel").alias("id"), "i", "j", "k", *[(F.col(a) * float(s)).alias(n) for a, n, s in zip("ijk", "xyz", spacing)])
+    moved = move_points(at.select("id", "x", "y", "z"), steps).select("id", *[F.col(n).alias(f"m{n}") for n in "xyz"])
+    return at.join(moved, "id").select(F.col("id").alias("voxel"), "i", "j", "k", *[(F.col(f"m{n}") - F.col(n)).alias(f"d{n}") for n in "xyz"])
+
+
+def chain_jacobian(grid: DataFrame, steps: list, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), nonlinear_only: bool = False) -> DataFrame:
+    """voxel, v: 100 (det - 1) of a chain of steps inside an image, 0 on its border; spacing in millimetres.
+
+    nonlinear_only: of a chain that ends with a matrix after grids (a combo) the matrix is left out; of others the mean determinant inside the image is
+    taken off as well.
+    """
+    is_combo = len(steps) > 1 and not isinstance(steps[-1], tuple) and all(isinstance(s, tuple) for s in steps[:-1])
+    field = chain_displacement(grid, steps[:-1] if nonlinear_only and is_combo else steps, spacing)
+    scaled = field.select("voxel", "i", "j", "k", *[F.col(f"d{n}") for n in "xyz"])
+    out, slopes, inner = scaled, {}, F.lit(True)
+    for axis, s in zip("ijk", spacing):
+        w = Window.partitionBy(*[a for a in "ijk" if a != axis]).orderBy(axis)
+        for n in "xyz":
+            out = out.withColumn(f"g{n}{axis}", (F.lead(f"d{n}").over(w) - F.lag(f"d{n}").over(w)) / (2 * float(s)))
+            slopes[n, axis] = F.col(f"g{n}{axis}") + (1.0 if (n, axis) in (("x", "i"), ("y", "j"), ("z", "k")) else 0.0)
+            inner = inner & F.col(f"g{n}{axis}").isNotNull()
+    g = [[slopes[n, a] for a in "ijk"] for n in "xyz"]
+    det = g[0][0] * (g[1][1] * g[2][2] - g[1][2] * g[2][1]) - g[0][1] * (g[1][0] * g[2][2] - g[1][2] * g[2][0]) + g[0][2] * (g[1][0] * g[2][1] - g[1][1] * g[2][0])
+    out = out.select("voxel", F.when(inner, det).alias("det"))
+    if nonlinear_only and not is_combo:
+        out = out.crossJoin(F.broadcast(out.agg(F.avg("det").alias("mean"))))  # one row
+    else:
+        out = out.withColumn("mean", F.lit(0.0))
+    return out.select("voxel", F.when(F.col("det").isNotNull(), 100 * (F.col("det") - 1 - F.col("mean"))).otherwise(0.0).alias("v"))

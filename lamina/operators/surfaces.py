@@ -53,3 +53,34 @@ def relax(vertices: DataFrame, faces: DataFrame, rounds: int = 10, share: float
         now = now.join(near, "id", "left").select("id", *[(F.col(c) + share * (F.coalesce(f"m{c}", c) - F.col(c))).alias(c) for c in "xyz"])
         now = keep(now) if r < rounds - 1 else now
     return now
+
+
+def vertex_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """id, area, curvature: the mixed area around each vertex off the border, and the length of its cotangent sum over twice that area.
+
+    A triangle gives its Voronoi share, an obtuse one half of its area at the obtuse corner and a quarter at the others. Everything is
+    a sum over triangles of terms for their three corners, so a vertex of many triangles is no group of rows.
+    """
+    f = face_table(vertices, faces).select("id", "v0", "v1", "v2", "area", "obtuse")
+    for k in range(3):
+        f = f.join(vertices.select(F.col("id").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]), f"v{k}")
+    d = lambda a, b: [F.col(f"{c}{a}") - F.col(f"{c}{b}") for c in "xyz"]
+    dot = lambda p, q: sum((x * y for x, y in zip(p, q)), F.lit(0.0))
+    twice = F.when(F.col("area") > 0, 2 * F.col("area"))
+    cot = [F.coalesce(dot(d((k + 1) % 3, k), d((k + 2) % 3, k)) / twice, F.lit(0.0)) for k in range(3)]  # at corner k
+    corners = []
+    for k in range(3):
+        a, b = (k + 1) % 3, (k + 2) % 3
+        share = (dot(d(k, a), d(k, a)) * cot[b] + dot(d(k, b), d(k, b)) * cot[a]) / 8
+        blunt = F.when(dot(d(a, k), d(b, k)) < 0, F.col("area") / 2).otherwise(F.col("area") / 4)
+        pull = [cot[b] * x + cot[a] * y for x, y in zip(d(k, a), d(k, b))]
+        corners.append(F.struct(F.col(f"v{k}").alias("v"), F.when(F.col("obtuse"), blunt).otherwise(share).alias("s"), *[p.alias(c) for p, c in zip(pull, "xyz")]))
+    s = f.select(F.explode(F.array(*corners)).alias("c")).groupBy("c.v").agg(F.sum("c.s").alias("area"), *[F.sum(f"c.{c}").alias(c) for c in "xyz"])
+    border = edge_table(faces).where("n = 1").select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    length = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    return s.join(border, "v", "left_anti").where("area > 0").select(F.col("v").alias("id"), "area", (length / F.col("area") / 2).alias("curvature"))
+
+
+def mean_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """k, one row: the root of the vertices' curvatures' sum over 4 pi."""
+    return vertex_curvature(vertices, faces).agg(F.sqrt(F.coalesce(F.sum("curvature"), F.lit(0.0)) / (4 * F.pi())).alias("k"))

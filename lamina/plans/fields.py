@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import bias as B
+from ..operators import geometry as M
 from ..operators import histograms as K
 from ..operators import labels as L
 from ..operators import parcels as Q
 from ..operators import projection as R
 from ..operators import spatial as P
 from ..operators import statistics as A
+from ..operators import surfaces as W
 from ..operators import temporal as T
 from ..sources.adapters import SERIES, VOLUME, read, series, volume
 from .queries import CELLS, INTERVALS, _dims, _intervals, cells, query, rounded, with_
+from .space import MESH, _mesh
 
 _SMOOTH = ["kx as (select unnest([-1, 0, 1]) o)", "kw as (select o, exp(-0.5 * o * o)::double / (1 + 2 * exp(-0.5::double)) w from kx)", "tp as (select max(k) m from vol)", *[f"s{a} as (select q.voxel, q.i, q.j, q.k, sum(w * p.v) v from {src} q, kw, tp join {src} p on {on} group by 1, 2, 3, 4)" for a, src, on in (
     ("i", "vol", "p.i = least(greatest(q.i + o, 0), 9) and p.j = q.j and p.k = q.k"),
@@ -300,3 +303,49 @@ def median_filter_box(spark, d):
 def b_spline_slope(spark, d):
     x = (F.col("p_partkey") % 41 - 20) / 8.0
     return rounded(read(spark, d, "part").select("p_partkey", S.b_spline_derivative(x).alias("d")), 6)
+
+
+# --- chains of transformations, curvature ---------------------------------------------------------------------------------
+
+_NODES = "nod as (select gi, gj, gk, 0.1 * gi + 0.02 * gj * gk dx, 0.05 * gj dy, -0.04 * gk + 0.01 * gi * gi dz from (select unnest(range(5)) gi), (select unnest(range(5)) gj), (select unnest(range(12)) gk))"
+_CHAIN = [
+    _NODES, "pl as (select voxel, i, j, k, i::double x, j::double y, k::double z, least(trunc(i / 2.5)::int, 4) a, least(trunc(j / 2.5)::int, 4) b, least(trunc(k / 2.5)::int, 11) c, i / 2.5::double - trunc(i / 2.5) u, j / 2.5::double - trunc(j / 2.5) v, k / 2.5::double - trunc(k / 2.5) w from vol)",
+    "mv as (select voxel, i, j, k, x, y, z, sum(g * dx) mx, sum(g * dy) my, sum(g * dz) mz from (select pl.*, least(a + p, 4) na, least(b + q, 4) nb, least(c + r, 11) nc, (case p when 1 then u else 1 - u end) * (case q when 1 then v else 1 - v end) * (case r when 1 then w else 1 - w end) g from pl, (select unnest([0, 1]) p), (select unnest([0, 1]) q), (select unnest([0, 1]) r)) join nod on gi = na and gj = nb and gk = nc group by 1, 2, 3, 4, 5, 6, 7)",
+    "fld as (select voxel, i, j, k, 1.1 * (x + mx) - 0.2 * (y + my) + 3 - x dx, 0.9 * (y + my) - y dy, 1.2 * (z + mz) + 0.1 * (x + mx) - z dz, mx, my, mz from mv)",
+]
+
+
+def _combo(spark, d):
+    nodes = volume(spark, d).where("i < 5 and j < 5").select(F.col("i").alias("gi"), F.col("j").alias("gj")).distinct().withColumn("gk", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    i, j, k = F.col("gi"), F.col("gj"), F.col("gk")
+    nodes = nodes.select("gi", "gj", "gk", (0.1 * i + 0.02 * j * k).alias("dx"), (0.05 * j).alias("dy"), (-0.04 * k + 0.01 * i * i).alias("dz"))
+    return M.combo([[1.1, -0.2, 0, 3], [0, 0.9, 0, 0], [0.1, 0, 1.2, 0]], [M.grid_step(nodes, (0, 0, 0), (2.5, 2.5, 2.5), (5, 5, 12), spline=False)])
+
+
+@query(with_(VOLUME, *_CHAIN) + "select voxel, i, j, k, round(dx, 4)::double dx, round(dy, 4)::double dy, round(dz, 4)::double dz from fld")
+def combo_displacement(spark, d):
+    return rounded(M.chain_displacement(volume(spark, d), _combo(spark, d)))
+
+
+_SLOPES = ", ".join(f"(lead({m}) over w{a} - lag({m}) over w{a}) / 2 s{m}{a}" for m in ("mx", "my", "mz") for a in "ijk")
+
+
+@query(with_(VOLUME, *_CHAIN, f"sl as (select voxel, {_SLOPES} from fld window wi as (partition by j, k order by i), wj as (partition by i, k order by j), wk as (partition by i, j order by k))")
+    + "select voxel, round(coalesce(100 * ((1 + smxi) * ((1 + smyj) * (1 + smzk) - smyk * smzj) - smxj * (smyi * (1 + smzk) - smyk * smzi) + smxk * (smyi * smzj - (1 + smyj) * smzi) - 1), 0), 3)::double v from sl")
+def jacobian_nonlinear(spark, d):
+    return rounded(M.chain_jacobian(volume(spark, d), _combo(spark, d), nonlinear_only=True), 3)
+
+
+_COT = "cor as (select fac.id f, unnest([v0, v1, v2]) p, unnest([v1, v2, v0]) q, unnest([v2, v0, v1]) r from fac)"
+_CURVE = [
+    _COT, "crn as (select f, cor.p, cor.q, cor.r, a.x px, a.y py, a.z pz, b.x qx, b.y qy, b.z qz, c.x rx, c.y ry, c.z rz from cor join ver a on cor.p = a.id join ver b on cor.q = b.id join ver c on cor.r = c.id)",
+    "ar as (select id f, sqrt(wx * wx + wy * wy + wz * wz) / 2 area from crs)", "ct as (select f, p, ((qx - px) * (rx - px) + (qy - py) * (ry - py) + (qz - pz) * (rz - pz)) dt, ((qx - px) * (rx - px) + (qy - py) * (ry - py) + (qz - pz) * (rz - pz)) / (2 * area) cot from crn join ar using (f))",
+    "bl as (select f, bool_or(dt < 0) obtuse from ct group by f)",
+    "tm as (select n.p, case when obtuse then case when o.dt < 0 then area / 2 else area / 4 end else (((px - qx) ** 2 + (py - qy) ** 2 + (pz - qz) ** 2) * cr.cot + ((px - rx) ** 2 + (py - ry) ** 2 + (pz - rz) ** 2) * cq.cot) / 8 end s, cr.cot * (px - qx) + cq.cot * (px - rx) x, cr.cot * (py - qy) + cq.cot * (py - ry) y, cr.cot * (pz - qz) + cq.cot * (pz - rz) z from crn n join ar using (f) join bl using (f) join ct o on o.f = n.f and o.p = n.p join ct cq on cq.f = n.f and cq.p = n.q join ct cr on cr.f = n.f and cr.p = n.r)",
+    "sm as (select p id, sum(s) area, sqrt(sum(x) ** 2 + sum(y) ** 2 + sum(z) ** 2) / sum(s) / 2 curvature from tm group by p)",
+]
+
+
+@query(with_(MESH, *_CURVE) + "select id, round(area, 4) area, round(curvature, 4) curvature from sm where id not in (select unnest([a, b]) from edg where n = 1)")
+def mesh_curvature(spark, d):
+    return rounded(W.vertex_curvature(*_mesh(spark, d)))

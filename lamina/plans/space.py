@@ -154,19 +154,19 @@ def smooth_and_resample(spark, d):
     return rounded(M.reslice(v, grid, [[2, 0, 0, 0], [0, 2, 0, 0], [0, 0, 1, 0]], _dims(v)), 3)
 
 
-# --- meshes: all parts as a grid of rows of 100, its squares as two triangles each, heights from prices ------------------
+# --- meshes: all parts as a grid of rows of 20, its squares as two triangles each, heights from prices ------------------
 
 
 def _mesh(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 7).alias("z"))
-    v = p.select("id", (F.col("id") % 100).cast("double").alias("x"), F.floor(F.col("id") / 100).cast("double").alias("y"), "z")
-    q = p.join(p.select((F.col("id") - 101).alias("id")), "id", "left_semi").where("id % 100 < 99").select("id", F.col("id").alias("p"))
-    tri = F.explode(F.array(F.struct((F.col("id") * 2).alias("id"), F.col("p").alias("v0"), (F.col("p") + 1).alias("v1"), (F.col("p") + 100).alias("v2")), F.struct((F.col("id") * 2 + 1).alias("id"), (F.col("p") + 1).alias("v0"), (F.col("p") + 101).alias("v1"), (F.col("p") + 100).alias("v2"))))
+    v = p.select("id", (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"), "z")
+    q = p.join(p.select((F.col("id") - 21).alias("id")), "id", "left_semi").where("id % 20 < 19").select("id", F.col("id").alias("p"))
+    tri = F.explode(F.array(F.struct((F.col("id") * 2).alias("id"), F.col("p").alias("v0"), (F.col("p") + 1).alias("v1"), (F.col("p") + 20).alias("v2")), F.struct((F.col("id") * 2 + 1).alias("id"), (F.col("p") + 1).alias("v0"), (F.col("p") + 21).alias("v1"), (F.col("p") + 20).alias("v2"))))
     return v, q.select(tri.alias("f")).select("f.*")
 
 
-MESH = """ver as (select p_partkey id, (p_partkey % 100)::double x, (p_partkey // 100)::double y, p_retailprice % 7 z from part),
- qd as (select p_partkey n, p_partkey p from part where p_partkey % 100 < 99 and p_partkey + 101 in (select p_partkey from part)), fac as (select n * 2 id, p v0, p + 1 v1, p + 100 v2 from qd union all select n * 2 + 1, p + 1, p + 101, p + 100 from qd),
+MESH = """ver as (select p_partkey id, (p_partkey % 20)::double x, (p_partkey // 20)::double y, p_retailprice % 7 z from part),
+ qd as (select p_partkey n, p_partkey p from part where p_partkey % 20 < 19 and p_partkey + 21 in (select p_partkey from part)), fac as (select n * 2 id, p v0, p + 1 v1, p + 20 v2 from qd union all select n * 2 + 1, p + 1, p + 21, p + 20 from qd),
  crs as (select fac.id, v0, v1, v2, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) wx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) wy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) wz, (a.z + b.z + c.z) / 3 cz
  from fac join ver a on v0 = a.id join ver b on v1 = b.id join ver c on v2 = c.id),
  edg as (select least(p, q) a, greatest(p, q) b, count(*) n from (select v0 p, v1 q from fac union all select v1, v2 from fac union all select v2, v0 from fac) group by 1, 2)"""
