@@ -185,12 +185,12 @@ _PLACES = "pl as (select voxel, (voxel % 10)::int i, (voxel // 10)::int j, 0::in
 
 
 @query(with_(SERIES, _PLACES, "nf as (select max(t) + 1 n from ser)", "rg as (select unnest(range(1, 11))::int roi)", "sh as (select label roi, count(*)::double n, avg(i) ci, avg(j) cj, avg(k) ck from pl where label > 0 group by 1)")
-    + "select t::bigint as row, roi, round(coalesce(avg(v), 0.0), 4) v from rg, (select distinct t from ser) f left join (select label, t tt, v from ser join pl using (voxel)) x on label = roi and tt = t group by 1, 2 union all "
-    + " union all ".join(f"select (n + {k})::bigint, roi, round({e}, 4)::double from rg, nf left join (select roi r, n c, ci, cj, ck from sh) on r = roi" for k, e in enumerate(("-1.0", "coalesce(c, 0)", "coalesce(ci, 0)", "coalesce(cj, 0)", "coalesce(ck, 0)"))))
+    + "select t::bigint as row, roi, round(coalesce(avg(v), 0.0), 6) v from rg, (select distinct t from ser) f left join (select label, t tt, v from ser join pl using (voxel)) x on label = roi and tt = t group by 1, 2 union all "
+    + " union all ".join(f"select (n + {k})::bigint, roi, round({e}, 6)::double from rg, nf left join (select roi r, n c, ci, cj, ck from sh) on r = roi" for k, e in enumerate(("-1.0", "coalesce(c, 0)", "coalesce(ci, 0)", "coalesce(cj, 0)", "coalesce(ck, 0)"))))
 def roi_table(spark, d):
     s, v = series(spark, d), F.col("voxel")
     places = s.select("voxel").distinct().select("voxel", (v % 10).cast("int").alias("i"), F.floor(v / 10).cast("int").alias("j"), F.lit(0).alias("k"), (v % 9).cast("int").alias("label"))
-    return rounded(A.roi_table(s, places, 10))
+    return rounded(A.roi_table(s, places, 10), 6)
 
 
 def _response_sql(period: float) -> str:
