@@ -15,18 +15,21 @@ def cell(c: Column, size: float) -> Column:
 def radius_pairs(points: DataFrame, radius: float, by: str | None = None, value: str | None = None) -> DataFrame:
     """a < b, d2 of points(id, x, y, z[, by][, value]) with 0 < d2 <= radius squared (and equal `by`); value adds f2, its squared difference.
 
-    Points meet in cells of side `radius`, of one `by`: one side goes to its own cell, the other to the 27 around it.
+    Points meet in cells of side `radius`, of one `by`: one side goes to its own cell, the other to its own and to the 13 of the 26
+    around it that come after it, so that two cells meet once.
     """
     own, around = (
         points.select(F.col("id").alias(s), *([F.col(by).alias("g")] if by else []), *([F.col(value).alias(f"f{s}")] if value else []), *[F.col(c).alias(f"{c}{s}") for c in "xyz"], *[cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"])
         for s in "ab"
     )
-    d = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    after = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    around = around.withColumn("_d", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", d)], F.lit(d == (0, 0, 0)).alias("same")) for d in after])))
     for c in "xyz":
-        around = around.select("*", F.explode(d).alias("_d")).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
+        around = around.withColumn(f"c{c}", F.col(f"c{c}") - F.col(f"_d.{c}"))
+    around = around.withColumn("same", F.col("_d.same")).drop("_d")
     d2 = sum(((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in "xyz"), F.lit(0.0))
-    j = own.join(around, ["cx", "cy", "cz", *(["g"] if by else [])]).where("a < b").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
-    return j.select("a", "b", "d2", *([((F.col("fa") - F.col("fb")) ** 2).alias("f2")] if value else []))
+    j = own.join(around, ["cx", "cy", "cz", *(["g"] if by else [])]).where("(same and a < b) or (not same and a <> b)").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
+    return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d2", *([((F.col("fa") - F.col("fb")) ** 2).alias("f2")] if value else []))
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, itself: bool = True) -> DataFrame:

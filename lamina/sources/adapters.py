@@ -46,9 +46,11 @@ CELLS = "cells as (select (year(l_shipdate) * 12 + month(l_shipdate))::int as ro
 
 def edges(spark: SparkSession, sf_dir: str, nodes: int = 20) -> DataFrame:
     """Signed connections of part groups bought in one order: pos is high quantities in common, neg low ones."""
-    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % nodes).alias("node")).agg(F.sum("l_quantity").alias("q"))  # noqa: E741
-    a, b = l.select("l_orderkey", F.col("node").alias("src"), F.col("q").alias("qa")), l.select("l_orderkey", F.col("node").alias("dst"), F.col("q").alias("qb"))
-    pair = a.join(b, "l_orderkey").where("src <> dst")
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % nodes).alias("node"), "l_quantity").repartition("l_orderkey")  # noqa: E741
+    q = l.groupBy("l_orderkey", "node").agg(F.sum("l_quantity").alias("q"))
+    g = q.groupBy("l_orderkey").agg(F.collect_list(F.struct("node", "q")).alias("g"))  # an order has few lines: pairs are formed inside its row
+    pair = g.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a.node <> b.node")
+    pair = pair.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.q").alias("qa"), F.col("b.q").alias("qb"))
     return pair.groupBy("src", "dst").agg(F.sum(F.when(F.col("qa") + F.col("qb") >= 50, 1.0).otherwise(0.0)).alias("pos"), (-F.sum(F.when(F.col("qa") + F.col("qb") < 25, 1.0).otherwise(0.0))).alias("neg"))
 
 
