@@ -349,3 +349,21 @@ _CURVE = [
 @query(with_(MESH, *_CURVE) + "select id, round(area, 4) area, round(curvature, 4) curvature from sm where id not in (select unnest([a, b]) from edg where n = 1)")
 def mesh_curvature(spark, d):
     return rounded(W.vertex_curvature(*_mesh(spark, d)))
+
+
+# --- an image that is written and read by ranges -----------------------------------------------------------------------------
+
+
+@query(with_(SERIES) + "select t, sum(floor(v))::double v from ser where t between 5 and 9 or t = 20 group by t")
+def frames_of_file(spark, d):
+    """The series as one NIfTI file in the shared folder; six of its frames are read back by ranges of bytes, the others are not."""
+    from ..sources.images import write_nifti
+    from ..sources.ranges import read_planes
+    from ..sources.scratch import folder
+
+    v = F.col("voxel")
+    img = series(spark, d).select(F.lit("series.nii").alias("name"), (v % 10).cast("int").alias("i"), F.floor(v / 10).cast("int").alias("j"), F.lit(0).alias("k"), "t", F.floor("v").cast("double").alias("v"))
+    path = folder(spark)
+    write_nifti(img, path, compress=False)
+    few = read_planes(spark, path, 1 << 14).where("t >= 5 and t <= 9").unionByName(read_planes(spark, path, 1 << 14).where("t = 20"))
+    return few.groupBy("t").agg(F.sum("v").alias("v"))
