@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +98,9 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
     docs holds (doc_id, text), or with width None (doc_id, shingles) as packed_sets gives them.
 
     Documents are packed in blocks. A hash found twice in a block is credited at once and sent as a marker; others are
-    sent with their place in the block. So a hash costs one entry per block, however many documents hold it, and the
-    answers of a bucket to a block come back as one row.
+    sent with their document's place in the block. So a hash costs one entry per block, however many documents hold it, and
+    the answers of a bucket to a block come back as one row. A block's ids travel once, with its credits: what a block sends to
+    a bucket grows with its hashes there alone, also where many buckets leave few hashes to each.
     """
 
     def send(batches):
@@ -121,41 +123,42 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
             cut = np.searchsorted(part, np.arange(buckets + 1))
             owner = np.array([-1 if x is None else x for x in ids], np.int64)
             rows = {"bucket": [], "block": [], "hash": [], "who": [], "ids": [], "credit": []}
-            name = int(h[0].view(np.int64))  # only brings answers together; sums do not depend on it
+            name = int.from_bytes(blake2b(owner.tobytes(), digest_size=8).digest(), "little", signed=True)  # blocks of one name have the same ids at the same places
+            small = np.iinfo(np.uint16 if len(sets) < 65_000 else np.uint32)
             for b in np.flatnonzero(np.diff(cut)):
                 x = slice(cut[b], cut[b + 1])
                 packed = h[x] >> U(16)
                 rows["bucket"].append(int(b))
                 rows["block"].append(name)
                 rows["hash"].append((packed >> U(16)).astype(np.uint32).tobytes() + (packed & U(0xFFFF)).astype(np.uint16).tobytes())
-                used, place = np.unique(who[x], return_inverse=True)
-                rows["who"].append(np.where(many[x], np.uint32(0xFFFFFFFF), place.astype(np.uint32)).astype(np.uint32 if len(used) > 65000 else np.uint16).tobytes())
-                rows["ids"].append(owner[used].tobytes())
+                rows["who"].append(np.where(many[x], small.max, who[x]).astype(small.dtype).tobytes())
+                rows["ids"].append(None)
                 rows["credit"].append(None)
             rows["bucket"].append(int(owner[0]) % buckets)
             rows["block"].append(name)
             for c in ("hash", "who"):
                 rows[c].append(b"")
-            rows["ids"].append(owner[credit > 0].tobytes())
-            rows["credit"].append(credit[credit > 0].astype(np.int64).tobytes())
+            rows["ids"].append(owner.tobytes())
+            rows["credit"].append(credit.astype(np.uint32).tobytes())
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     def meet(table: pa.Table) -> pa.Table:
-        out = {"block": [], "ids": [], "shared": []}
-        hashes, places, sent_ids, blocks, base = [], [], [], [], 0
+        out = {"block": [], "ids": [], "who": [], "shared": []}
+        hashes, places, docs_of, blocks, base = [], [], [], [], 0
         for block, hb, wb, ib, cb in zip(*(table.column(c).to_pylist() for c in ("block", "hash", "who", "ids", "credit"))):
             if cb is not None:
-                for c, v in zip(out, (block, ib, cb)):
+                for c, v in zip(out, (block, ib, None, cb)):
                     out[c].append(v)
                 continue
             n = len(hb) // 6
             hashes.append((np.frombuffer(hb[: 4 * n], np.uint32).astype(U) << U(16)) | np.frombuffer(hb[4 * n :], np.uint16))
             w = np.frombuffer(wb, np.uint16 if len(wb) == 2 * n else np.uint32)
-            places.append(np.where(w == np.iinfo(w.dtype).max, -1, w.astype(np.int64) + base))
-            sent_ids.append(np.frombuffer(ib, np.int64))
+            used, place = np.unique(w, return_inverse=True)
+            places.append(np.where(w == np.iinfo(w.dtype).max, -1, place + base))
+            docs_of.append(used)
             blocks.append(block)
-            base += len(sent_ids[-1])
+            base += len(used)
         if hashes:
             h, p = np.concatenate(hashes), np.concatenate(places)
             order = np.argsort(h, kind="stable")
@@ -165,19 +168,22 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
             hit[1:] |= same
             hit[:-1] |= same
             n = np.bincount(p[hit & (p >= 0)], minlength=base)
-            for block, ids, part in zip(blocks, sent_ids, np.split(n, np.cumsum([len(x) for x in sent_ids])[:-1])):
+            for block, used, part in zip(blocks, docs_of, np.split(n, np.cumsum([len(x) for x in docs_of])[:-1])):
                 if part.any():
-                    for c, v in zip(out, (block, ids[part > 0].tobytes(), part[part > 0].astype(np.int64).tobytes())):
+                    for c, v in zip(out, (block, None, used[part > 0].astype(np.uint32).tobytes(), part[part > 0].astype(np.uint32).tobytes())):
                         out[c].append(v)
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary()))})
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
 
     def add(table: pa.Table) -> pa.Table:
-        ids, shared = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("ids", "shared"))
-        u, at = np.unique(ids, return_inverse=True)
-        return pa.table({"doc_id": u, "shared": np.bincount(at, shared, len(u)).astype(np.int64)})
+        ids = next(np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist() if x is not None)
+        total = np.zeros(len(ids), np.int64)
+        for who, n in zip(table.column("who").to_pylist(), table.column("shared").to_pylist()):
+            total[slice(None) if who is None else np.frombuffer(who, np.uint32)] += np.frombuffer(n, np.uint32)
+        u, at = np.unique(ids[total > 0], return_inverse=True)
+        return pa.table({"doc_id": u, "shared": np.bincount(at, total[total > 0], len(u)).astype(np.int64)})
 
     sent = docs.mapInArrow(send, "bucket int, block long, hash binary, who binary, ids binary, credit binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "block long, ids binary, shared binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "block long, ids binary, who binary, shared binary")
     return met.groupBy("block").applyInArrow(add, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 

@@ -1,14 +1,16 @@
 """The stages of corpus_pipeline.py on a small table: each stage's decisions against brute force on its own input."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cases import empty, frame
 from lamina.llm import jaccard_join, mixing, queries, toxicity_fm
-from lamina.llm.common import table
+from lamina.llm.common import CLEAN, keep, table
 from test_text_models import groups
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +77,32 @@ def test_order_of_training_survives_storage(spark, tmp_path):
     assert sorted((r.position, r.doc_id, r.copy) for r in encoded) == sorted(out)
 
 
+def test_disk_of_a_stage(spark):
+    """Shuffle files go with the table that they were for; the mix sends texts once to be told apart and joined, once to be ordered."""
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before = files()
+    kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):  # files go in the background
+        time.sleep(0.1 * bool(files() - before))
+    assert not files() - before and kept.count() == 7 and spark.conf.get(CLEAN) == "false"
+    docs = table(spark, SF, "documents")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    mixed = mixing.schedule(docs)
+    assert exchanges(mixed) == 3 and exchanges(mixing.in_order(docs)) == 2  # rows, their places, the order
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 400])
+def test_shared_counts_by_brute_force(spark, buckets):
+    """Small blocks, many and few buckets, reused ids: each row's shingles that another row has too."""
+    rows = [(i % 50, f"{' '.join(f'w{(i * i + k) % 97}' for k in range(5 + i % 9))} u{i}") for i in range(60)] + [(3, "w1 w2 w3 w4 w5 w6"), (9, None)]
+    sets = [(i, set(zip(*[(w := (t or "").split())[k:] for k in range(5)]))) for i, t in rows]
+    seen, want = Counter(x for _, s in sets for x in s), Counter()
+    for i, s in sets:
+        want[i] += sum(seen[x] > 1 for x in s)
+    got = jaccard_join.shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, buckets, 200)
+    assert dict(map(tuple, got.collect())) == {i: n for i, n in want.items() if n}
+
+
 @pytest.mark.parametrize("rows", ["hard", "none"])
 def test_run_on_hard_rows(spark, tmp_path, rows):
     """Null, empty and very long texts, ties, repeated rows, null and reused ids, extra columns of clashing names, an empty table."""
