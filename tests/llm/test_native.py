@@ -159,6 +159,24 @@ def test_mix(docs):
     assert mixing.schedule(docs).columns == docs.columns
 
 
+def test_mix_follows_its_schedule(docs):
+    """Words taken come phase by phase from the sources' integrated schedules; a word by word walk over each stream finds the same."""
+    rows = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        rows[r.source].append(r)
+    assert len(rows) > 1
+    half_up = lambda x: int(x + 0.5)
+    for part in rows.values():
+        b, target, took = 0.8 * (part[0].weight - 2), part[0].target, Counter()
+        stream = [i for i, r in sorted(enumerate(part), key=lambda x: x[1].offset) for _ in range(r["size"])]
+        ends = [half_up(target * ((1 - b) * (p / 8) + b * (p / 8) ** 2)) for p in range(8)] + [half_up(target)]
+        for p in range(8):
+            for w in range(ends[p], ends[p + 1]):
+                took[stream[w % len(stream)], p] += 1
+        for i, r in enumerate(part):
+            assert r.phases == [took[i, p] for p in range(8)] and r.taken == sum(r.phases)
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_shards(docs, shards):
     data = docs.select("doc_id", "text").collect()
