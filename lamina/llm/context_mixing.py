@@ -38,6 +38,10 @@ RATE = 0.02
 SEGMENT = 1 << 18  # bytes of text whose decisions are held at once; a longer text is read in segments
 RANKED = 16_384  # pairs of bytes with ranks of their own; after others, bytes have the ranks that the last byte gives
 M = np.uint32
+#: Counts as bytes: exact below 128, then in steps of 13 %.
+COUNTS = np.concatenate([np.arange(128), np.rint(128 * 2 ** (np.arange(1, 129) / 5.5))]).astype(np.int32)
+BINS = np.searchsorted([-64, -32, -12, 0, 12, 32, 64], np.arange(-127, 128), "right")  # of log odds in UNITs, by 127 + odds
+CELLS = 8**INPUTS  # of each gate
 
 
 # --- symbols, contexts and decisions ---------------------------------------------------------------------------------
@@ -242,41 +246,30 @@ def levels(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, zeros + ones, "right").astype(np.uint8)
 
 
-def survey(train: DataFrame, tune_texts: int, tune_bytes: int) -> tuple[Code, int, list[bytes]]:
-    """The code, the bytes of train(doc_id, text), and the texts that set the weights: those first by a hash of id and text, tune_texts and about tune_bytes at most."""
+def survey(train: DataFrame) -> tuple[Code, int]:
+    """The code and the bytes of train(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = np.zeros((2, 0), np.int64), []
+        total = np.zeros((2, 0), np.int64)
         for batch in batches:
-            order = batch.column(1).to_numpy()
             for i, j, begin, (s, at, offs) in segments(batch, SEGMENT * 8):
                 code, n = runs(pairs(s)[at].astype(np.uint32) << M(8) | s[at])
                 u, where = np.unique(np.concatenate([total[0], code]), return_inverse=True)
                 total = np.stack([u, np.bincount(where, np.concatenate([total[1], n]), len(u)).astype(np.int64)])
-            small = np.flatnonzero(batch.column(2).to_numpy() <= tune_bytes)
-            first += [(int(order[i]), (batch.column(0)[i].as_py() or "").encode()) for i in small[np.argsort(order[small], kind="stable")[:tune_texts]]]
-            first = sorted(first)[:tune_texts]
         part = total[0] >> 16
         cut = np.searchsorted(part, np.arange(257))
-        rows = [(int(p), None, total[0, cut[p] : cut[p + 1]].tobytes(), total[1, cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut))]
-        rows += [(-1, h, t, b"") for h, t in first]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "first", "key", "n"])
+        rows = [(int(p), total[0, cut[p] : cut[p + 1]].tobytes(), total[1, cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 3, (pa.int32(), pa.binary(), pa.binary()))], ["part", "key", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         key, n = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("key", "n"))
         u, at = np.unique(key, return_inverse=True)
         return pa.table({"key": pa.array([u.tobytes()], pa.binary()), "n": pa.array([np.bincount(at, n, len(u)).astype(np.int64).tobytes()], pa.binary())})
 
-    d = train.select("text", F.xxhash64("doc_id", "text").alias("first"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    found = keep(d.mapInArrow(run, "part int, first long, key binary, n binary"))
-    rows = found.where("part >= 0").groupBy("part").applyInArrow(add, "key binary, n binary").collect()  # at most 256 rows, 2**24 counts
+    found = train.select("text").mapInArrow(run, "part int, key binary, n binary")
+    rows = found.groupBy("part").applyInArrow(add, "key binary, n binary").collect()  # at most 256 rows, 2**24 counts
     key, n = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for c in ("key", "n"))
-    texts: list[bytes] = []
-    for r in found.where("part < 0").select("first", "key").orderBy("first", "key").limit(tune_texts).collect():
-        if sum(map(len, texts)) + len(r["key"]) > tune_bytes:
-            break
-        texts.append(bytes(r["key"]))
-    return Code(key >> 8, key & 255, n), int(n.sum()), texts
+    return Code(key >> 8, key & 255, n), int(n.sum())
 
 
 def slot_counts(code: Code, ctx: np.ndarray, rank: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,10 +288,9 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[begin], np.diff(begin, append=len(keys)).astype(np.uint32)
 
 
-def count_contexts(train: DataFrame, code, bits: tuple[int, ...], taken: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, list, list, list]:
-    """By input, log odds and levels from all training texts; then both, for the slots of `taken` (sorted slot * 2 + bit, counts), without these counts."""
+def count_contexts(train: DataFrame, code, bits: tuple[int, ...]) -> tuple[list, list, list]:
+    """By input, log odds, levels, and counts as places in COUNTS (of slot * 2 + bit), from all training texts."""
     width, pieces = [2 << b for b in bits], 128
-    left_out = train.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(w, np.uint32) for w in width]
@@ -317,70 +309,102 @@ def count_contexts(train: DataFrame, code, bits: tuple[int, ...], taken: list[tu
             total = np.zeros(width[k] // pieces) if total is None else total
             for x in batch.column("n"):
                 total += np.frombuffer(x.as_buffer(), np.uint32)
-        key, n = left_out.value[k]
-        a, b = np.searchsorted(key, [p * len(total), (p + 1) * len(total)])
-        less = total.copy()
-        less[key[a:b] - p * len(total)] -= n[a:b]
-        slot = np.unique(key[a:b] - p * len(total) >> 1)
-        less = np.maximum(less, 0)
-        parts = {"odds": log_odds(total[::2], total[1::2]), "level": levels(total[::2], total[1::2]), "odds_less": log_odds(less[2 * slot], less[2 * slot + 1]), "level_less": levels(less[2 * slot], less[2 * slot + 1])}
+        packed = np.searchsorted((COUNTS[1:] + COUNTS[:-1].astype(np.int64)) / 2, total, "right").astype(np.uint8)
+        parts = {"odds": log_odds(total[::2], total[1::2]), "level": levels(total[::2], total[1::2]), "packed": packed}
         yield pa.RecordBatch.from_pydict({"piece": pa.array([k * pieces + p], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in parts.items()}})
 
     # Each task sends whole tables, so tasks are as many as the cluster's cores ask for, not as many as the input's splits.
     few = train.select("text").coalesce(2 * train.sparkSession.sparkContext.defaultParallelism)
     sent = few.mapInArrow(run, "piece int, n binary").groupBy("piece")
-    rows = {r["piece"]: r for r in sent.applyInArrow(add, "piece int, odds binary, level binary, odds_less binary, level_less binary").collect()}
+    rows = {r["piece"]: r for r in sent.applyInArrow(add, "piece int, odds binary, level binary, packed binary").collect()}
     out = []
-    for c, kind in (("odds", np.int8), ("level", np.uint8), ("odds_less", np.int8), ("level_less", np.uint8)):
+    for c, kind in (("odds", np.int8), ("level", np.uint8), ("packed", np.uint8)):
         out.append([np.concatenate([np.frombuffer(rows[k * pieces + p][c], kind) for p in range(pieces)]) for k in range(INPUTS)])
     return tuple(out)
 
 
-def fit_mixer(docs: DataFrame, bits: tuple[int, ...] = BITS, tune_texts: int = 300, tune_bytes: int = 1_000_000) -> tuple[Mixer, int]:
-    """Counts of all training texts of docs(doc_id, text, train), and their bytes. At most tune_texts of them (tune_bytes in all) set the gated weights, by the counts of all other texts."""
+def fit_mixer(docs: DataFrame, bits: tuple[int, ...] = BITS, steps: int = 50, at_once: int = SEGMENT) -> tuple[Mixer, int]:
+    """Counts and gated weights from all training texts of docs(text, train), and their bytes. Weights take `steps` Newton steps at most; texts are read `at_once` bytes at a time."""
     train = docs.where("train")
-    code, size, texts = survey(train, tune_texts, tune_bytes)
+    code, size = survey(train)
     gates = np.full((256 * 4, INPUTS), 0.3, np.float32)
     if not size:
         return Mixer(code, bits, [np.zeros(1 << b, np.int8) for b in bits], np.zeros(1 << bits[-1], np.uint8), gates), 0
-    parts = []
-    for _, _, _, (s, at, _) in segments(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"]), SEGMENT):
-        parts.append(([c[at] for c in contexts(s)], code.ranks_of(s, at)))
-    taken = []
-    for k in range(INPUTS):
-        found = [slot_counts(code, ctx[k], rank, bits[k]) for ctx, rank in parts]
-        u, at = np.unique(np.concatenate([*(x for x, _ in found), np.zeros(0, np.int64)]), return_inverse=True)
-        taken.append((u, np.bincount(at, np.concatenate([*(n for _, n in found), np.zeros(0, M)]), len(u))))
-    odds, level, odds_less, level_less = count_contexts(train, docs.sparkSession.sparkContext.broadcast(code), bits, taken)
-    m = Mixer(code, bits, odds, level[-1], gates)
-    less = [x.copy() for x in odds]
-    for k in range(INPUTS):
-        less[k][np.unique(taken[k][0] >> 1)] = odds_less[k]
-    last = level[-1].copy()
-    last[np.unique(taken[-1][0] >> 1)] = level_less[-1]
-    tune(Mixer(code, bits, less, last, gates), parts)
-    m.weight = gates
-    m.__post_init__()
-    return m, size
-
-
-def tune(m: Mixer, parts: list, rounds: int = 3, rate: float = 0.1) -> None:
-    """Gradient steps on the logistic loss, in place, with a rate for each weight by the squares of its gradients so far."""
-    square = np.ones_like(m.weight)
-    for _ in range(rounds):
-        for ctx, rank in parts:
-            n = m.code.length[rank]
-            step = run_of(n, m.code.first[rank])
-            node, y = m.code.node[step].astype(np.int64), m.code.bit[step].astype(np.float32)
-            x, gate = m.inputs(ctx, n, node)
-            for a in range(0, len(y), 2048):
-                b = slice(a, a + 2048)
-                z = np.einsum("tk,kt->t", m.weight[gate[b]], x[:, b])
-                error = y[b] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                used, at = np.unique(gate[b], return_inverse=True)
-                g = np.stack([np.bincount(at, error * x[k, b], len(used)) for k in range(INPUTS)], 1).astype(np.float32)
-                square[used] += g**2
-                m.weight[used] += rate * g / np.sqrt(square[used])
+    sent = docs.sparkSession.sparkContext.broadcast(code)
+    odds, level, packed = count_contexts(train, sent, bits)
+    return Mixer(code, bits, odds, level[-1], gate_weights(train, sent, bits, packed, gates, steps, at_once)), size
+
+
+def seen_by_others(code: Code, bits: tuple[int, ...], counts: list[np.ndarray], s: np.ndarray, at: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds (in UNITs) by input, gate and bit of each decision of laid-out texts, by counts (of slot * 2 + bit) without the text's own; counts come back as they were."""
+    rank = code.ranks_of(s, at)
+    n = code.length[rank]
+    step = run_of(n, code.first[rank])
+    node, bit = code.node[step].astype(np.int64), code.bit[step].astype(np.int64)
+    cut = np.concatenate([[0], np.cumsum(n)])[offs].tolist()
+    x, one = np.empty((INPUTS, len(node)), np.int64), np.ones(len(node), np.int32)  # ufunc.at is slow with a scalar
+    for k, ctx in enumerate(contexts(s)):
+        zero_at = (np.repeat((ctx[at] >> M(32 - bits[k])).astype(np.int64), n) ^ node) * 2
+        own, z, o = zero_at + bit, np.empty(len(node), np.int32), np.empty(len(node), np.int32)
+        for a, b in zip(cut[:-1], cut[1:]):
+            np.subtract.at(counts[k], own[a:b], one[a:b])
+            z[a:b], o[a:b] = counts[k][zero_at[a:b]], counts[k][zero_at[a:b] + 1]
+            np.add.at(counts[k], own[a:b], one[a:b])
+        z, o = np.maximum(z, 0), np.maximum(o, 0)  # counts of 128 and more are not exact
+        x[k] = log_odds(z, o)
+    return x, node * 4 + levels(z, o), bit
+
+
+def gate_weights(train: DataFrame, code, bits: tuple[int, ...], packed: list[np.ndarray], start: np.ndarray, steps: int, at_once: int) -> np.ndarray:
+    """Weights of each gate: a logistic regression on all decisions of all training texts, each predicted by the counts of all other texts.
+
+    Tasks add decisions up in cells of log odds within a gate: how many, how many ones, and the sums of each input. Cells
+    are whole numbers, so weights do not depend on how rows are split. Each gate's regression is on its cells' means.
+    """
+    held = train.sparkSession.sparkContext.broadcast(packed)
+    pieces, cells = 64, len(start) * CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = [COUNTS[p] for p in held.value], np.zeros((2 + INPUTS, cells), np.int64)
+        for batch in batches:
+            for _, _, _, laid in segments(batch, at_once):
+                x, gate, bit = seen_by_others(code.value, bits, counts, *laid)
+                cell = gate
+                for k in range(INPUTS):
+                    cell = cell * 8 + BINS[x[k] + 127]
+                total[0] += np.bincount(cell, minlength=cells)
+                for k, v in enumerate((bit, *x)):
+                    total[1 + k] += np.bincount(cell, v, cells).astype(np.int64)
+        for p, part in enumerate(np.split(total, pieces, axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["piece", "n"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:  # a row for each task that adds up
+            p = batch.column("piece")[0].as_py()
+            for v in batch.column("n"):
+                total = total + np.frombuffer(v.as_buffer(), np.int64).reshape(2 + INPUTS, -1, CELLS)
+        own = start[p * len(start) // pieces :][: total.shape[1]].astype(float)
+        out = [newton(total[0, g], total[1, g], total[2:, g], own[g], steps) for g in range(len(own))]
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.array(out, np.float32).tobytes()], pa.binary())], ["piece", "weight"])
+
+    few = train.select("text").coalesce(2 * train.sparkSession.sparkContext.defaultParallelism)  # as in count_contexts
+    rows = few.mapInArrow(run, "piece int, n binary").groupBy("piece").applyInArrow(solve, "piece int, weight binary").collect()
+    return np.concatenate([np.frombuffer(r["weight"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])]).reshape(start.shape).copy()
+
+
+def newton(n: np.ndarray, ones: np.ndarray, sums: np.ndarray, start: np.ndarray, steps: int, ridge: float = 4.0) -> np.ndarray:
+    """Weights of a logistic regression from n decisions a cell, `ones` of them 1, and sums (input, cell) of log odds in UNITs; `ridge` holds them near start where decisions are few."""
+    has = n > 0
+    n, ones, x = n[has].astype(float), ones[has].astype(float), sums[:, has] / n[has] / UNIT
+    w = start.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + ridge * np.eye(len(w)), x @ (ones - n * p) - ridge * (w - start))
+        w += np.clip(step, -0.5, 0.5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 # --- scores by block -------------------------------------------------------------------------------------------------

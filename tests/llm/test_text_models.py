@@ -273,6 +273,42 @@ def test_mixer_counts_every_text(spark):
     assert np.array_equal(m.weight, other.weight) and all(map(np.array_equal, m.odds, other.odds))
 
 
+def test_weights_come_from_every_text(spark):
+    """Decisions seen by the counts of other texts, one text after the other; a gate's weights are where its loss is least; any text counts."""
+    from lamina.llm import context_mixing as c
+
+    rng = np.random.default_rng(7)
+    m = small_mixer(rng)
+    texts = [rng.integers(97, 112, n).astype(np.uint8) for n in (400, 3, 0, 900)]
+    laid = c.lay(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    own = [[c.slot_counts(m.code, ctx[at], m.code.ranks_of(s, at), 10) for ctx in c.contexts(s)] for s, at, _ in (c.lay(t, np.array([0, len(t)])) for t in texts)]
+    counts = [np.zeros(2048, np.int32) for _ in m.bits]
+    for k in range(c.INPUTS):
+        for o in own:
+            np.add.at(counts[k], o[k][0], o[k][1].astype(np.int32))
+    x, gate, bit = c.seen_by_others(m.code, m.bits, counts, *laid)
+    start = 0
+    for t, o in zip(texts, own):
+        s, at, _ = c.lay(t, np.array([0, len(t)]))
+        rank, less = m.code.ranks_of(s, at), [v.copy() for v in counts]
+        for k in range(c.INPUTS):
+            np.subtract.at(less[k], o[k][0], o[k][1].astype(np.int32))
+        n = m.code.length[rank]
+        node = m.code.node[c.run_of(n, m.code.first[rank])].astype(int)
+        for k, ctx in enumerate(c.contexts(s)):
+            slot = np.repeat((ctx[at] >> c.M(22)).astype(int), n) ^ node
+            assert np.array_equal(x[k, start : start + len(node)], c.log_odds(less[k][2 * slot], less[k][2 * slot + 1]))
+        start += len(node)
+    assert start == len(bit) == len(gate)
+    y = rng.integers(-100, 100, (c.INPUTS, 40))
+    ones = np.rint(1000 / (1 + np.exp(-np.array([0.5, 0.2, 0.4]) @ y / c.UNIT))).astype(int)
+    assert c.newton(np.full(40, 1000), ones, y * 1000, np.full(3, 0.3), 50) == pytest.approx([0.5, 0.2, 0.4], abs=0.02)
+    docs = table(spark, SF, "documents").limit(40).select("doc_id", "text").withColumn("train", F.lit(True))
+    odd = spark.createDataFrame([(10**9, "zq " * 400_000, True)], "doc_id long, text string, train boolean")  # above 1 MB
+    w = [c.fit_mixer(d, (14, 14, 16))[0].weight for d in (docs, docs.unionByName(odd))]
+    assert (w[0] != np.float32(0.3)).any() and not np.array_equal(*w)
+
+
 def small_mixer(rng):
     from lamina.llm import context_mixing as c
 
