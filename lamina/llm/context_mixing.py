@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ RANKED = 16_384  # pairs of bytes with ranks of their own; after others, bytes h
 M = np.uint32
 #: Counts as bytes: exact below 128, then in steps of 13 %.
 COUNTS = np.concatenate([np.arange(128), np.rint(128 * 2 ** (np.arange(1, 129) / 5.5))]).astype(np.int32)
-BINS = np.searchsorted([-64, -32, -12, 0, 12, 32, 64], np.arange(-127, 128), "right")  # of log odds in UNITs, by 127 + odds
+PAIRS = COUNTS[np.indices((256, 256))[::-1]].transpose(1, 2, 0).astype(np.float32).reshape(-1).view(np.complex64)  # zeros and ones by their two bytes
+BINS = np.searchsorted([-64, -32, -12, 0, 12, 32, 64], np.arange(256).astype(np.uint8).view(np.int8), "right")  # of log odds in UNITs, by their byte
 CELLS = 8**INPUTS  # of each gate
+SEEN = np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), "right").astype(np.uint8)  # level of a count up to the last of LEVELS
+GROUP = 1 << 14  # decisions that are worked on at once: what stays in a core's cache
 
 
 # --- symbols, contexts and decisions ---------------------------------------------------------------------------------
@@ -77,6 +81,11 @@ def segments(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, bool,
             yield i, j, a == 0, lay(part, np.array([0, len(part)]), buf[max(0, a - PAD) : a], a + SEGMENT >= len(buf))
 
 
+def keep_freed() -> None:
+    """Frees 24 MB: from then on glibc keeps freed arrays of up to that size for the next ones, which else cost page faults again and again."""
+    np.empty(3 << 20)
+
+
 def pairs(s: np.ndarray) -> np.ndarray:
     """The byte before each place (low) and the one before that."""
     out = np.full(len(s), END | END << 8, np.uint16)
@@ -87,21 +96,19 @@ def pairs(s: np.ndarray) -> np.ndarray:
 
 def contexts(s: np.ndarray) -> list[np.ndarray]:
     """32-bit hashes of each place's contexts: four and six bytes back, and the word so far (from its start in s)."""
-    u = s.astype(M)
-    back = [np.concatenate([np.full(k, END, M), u[:-k]]) for k in range(1, PAD + 1)]
-    c4 = back[0] | back[1] << M(8) | back[2] << M(16) | back[3] << M(24)
-    c6 = c4 * M(0x9E3779B1) ^ (back[4] | back[5] << M(8)) * M(0x85EBCA6B)
+    two = np.full(len(s) + 4, END | END << 8, M)
+    two[4:] = pairs(s)
+    c4 = two[4:] | two[2:-2] << M(16)
+    c6 = c4 * M(0x9E3779B1) ^ two[:-4] * M(0x85EBCA6B)
     inside = BLACK[s] & (s != END)
     new = np.ones(len(s), bool)
-    new[1:] = ~inside[:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    odd = np.full(len(s) + 1, 0x9E3779B1, M)
-    odd[0] = 1
-    up = np.cumprod(odd, dtype=M)
-    odd[1:] = pow(0x9E3779B1, -1, 1 << 32)
-    down = np.cumprod(odd, dtype=M)
-    sums = np.concatenate([np.zeros(1, M), np.cumsum((u + M(1)) * up[:-1], dtype=M)])
-    word = (sums[:-1] - sums[start]) * down[start]
+    np.logical_not(inside[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    up, down = powers(1 << int(len(s)).bit_length())
+    sums = np.zeros(len(s) + 1, M)
+    np.cumsum((s + M(1)) * up[: len(s)], dtype=M, out=sums[1:])
+    n = np.diff(start, append=len(s))
+    word = (sums[:-1] - np.repeat(sums[start], n)) * np.repeat(down[start], n)
     out = []
     for k, x in enumerate((c4, c6, word)):
         x = (x + M(k + 1)) * M(0x85EBCA6B)
@@ -110,6 +117,15 @@ def contexts(s: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number and of its inverse, modulo 2**32."""
+    odd = np.full((2, n), 0x9E3779B1, M)
+    odd[1] = pow(0x9E3779B1, -1, 1 << 32)
+    odd[:, 0] = 1
+    return tuple(np.cumprod(odd, axis=1, dtype=M))
+
+
 class Code:
     """Ranks of bytes after each pair of bytes, and a Huffman tree over ranks whose nodes are numbered from the root down."""
 
@@ -201,17 +217,21 @@ class Mixer:
         blocks = -(-count // BLOCK)
         top = np.concatenate([[0], np.cumsum(blocks)])
         n[offs[1:] - 1] += blocks * BLOCK - count  # padding belongs to each text's last symbol
-        step = run_of(n, first)
-        node = self.code.node[step].astype(np.int64)
-        sign = self.code.bit[step].astype(np.float32)
-        sign *= 2
+        ctx, end = [c[at] for c in contexts(s)], np.cumsum(n)
+        x, z0, sign = np.empty((INPUTS, end[-1]), np.float32), np.empty(end[-1], np.float32), np.empty(end[-1], np.float32)
+        cut = np.unique([0, *np.searchsorted(end, np.arange(GROUP, end[-1], GROUP)), len(n)]).tolist()
+        for i, j in zip(cut[:-1], cut[1:]):
+            sym, dec = slice(i, j), slice(end[i] - n[i], end[j - 1])
+            step = run_of(n[sym], first[sym])
+            node = self.code.node[step].astype(np.int64)
+            np.multiply(self.code.bit[step], np.float32(2), out=sign[dec])
+            x[:, dec], gate = self.inputs([c[sym] for c in ctx], n[sym], node)
+            z0[dec] = 0
+            for k in range(INPUTS):
+                z0[dec] += np.take(self.column[k], gate) * x[k, dec]
         sign -= 1
         for a, b in zip((top[:-1] * BLOCK + count).tolist(), (top[1:] * BLOCK).tolist()):
             sign[a:b] = 0
-        x, gate = self.inputs([c[at] for c in contexts(s)], n, node)
-        z0 = np.zeros(len(node), np.float32)
-        for k in range(INPUTS):
-            z0 += np.take(self.column[k], gate) * x[k]
         x = np.ascontiguousarray(x.reshape(INPUTS, -1, BLOCK).transpose(1, 0, 2))
         z0, sign = z0.reshape(-1, BLOCK), sign.reshape(-1, BLOCK)
         loss, rate = np.zeros(len(count)), np.float32(RATE / np.sqrt(BLOCK))
@@ -239,17 +259,23 @@ class Mixer:
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(UNIT * np.log((ones + 0.3) / (zeros + 0.3))), -127, 127).astype(np.int8)
+    odds = np.add(ones, 0.3, dtype=np.float32)
+    odds /= np.add(zeros, 0.3, dtype=np.float32)
+    np.log(odds, out=odds)
+    odds *= UNIT
+    np.rint(odds, out=odds)
+    return np.clip(odds, -127, 127, out=odds).astype(np.int8)
 
 
 def levels(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.searchsorted(LEVELS, zeros + ones, "right").astype(np.uint8)
+    return SEEN.take(np.minimum(zeros + ones, LEVELS[-1]).astype(np.int64))
 
 
 def survey(train: DataFrame) -> tuple[Code, int]:
     """The code and the bytes of train(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total = np.zeros((2, 0), np.int64)
         for batch in batches:
             for i, j, begin, (s, at, offs) in segments(batch, SEGMENT * 8):
@@ -288,17 +314,22 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[begin], np.diff(begin, append=len(keys)).astype(np.uint32)
 
 
+def add_counts(total: list[np.ndarray], code: Code, bits: tuple[int, ...], s: np.ndarray, at: np.ndarray) -> None:
+    rank = code.ranks_of(s, at)
+    for k, ctx in enumerate(contexts(s)):
+        np.add.at(total[k], *slot_counts(code, ctx[at], rank, bits[k]))
+
+
 def count_contexts(train: DataFrame, code, bits: tuple[int, ...]) -> tuple[list, list, list]:
     """By input, log odds, levels, and counts as places in COUNTS (of slot * 2 + bit), from all training texts."""
     width, pieces = [2 << b for b in bits], 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total = [np.zeros(w, np.uint32) for w in width]
         for batch in batches:
             for _, _, _, (s, at, _) in segments(batch, SEGMENT * 4):
-                rank = code.value.ranks_of(s, at)
-                for k, ctx in enumerate(contexts(s)):
-                    np.add.at(total[k], *slot_counts(code.value, ctx[at], rank, bits[k]))
+                add_counts(total, code.value, bits, s, at)
         rows = [(k * pieces + p, part.tobytes()) for k in range(INPUTS) for p, part in enumerate(np.split(total[k], pieces))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["piece", "n"])
 
@@ -323,7 +354,7 @@ def count_contexts(train: DataFrame, code, bits: tuple[int, ...]) -> tuple[list,
     return tuple(out)
 
 
-def fit_mixer(docs: DataFrame, bits: tuple[int, ...] = BITS, steps: int = 50, at_once: int = SEGMENT) -> tuple[Mixer, int]:
+def fit_mixer(docs: DataFrame, bits: tuple[int, ...] = BITS, steps: int = 50, at_once: int = SEGMENT // 4) -> tuple[Mixer, int]:
     """Counts and gated weights from all training texts of docs(text, train), and their bytes. Weights take `steps` Newton steps at most; texts are read `at_once` bytes at a time."""
     train = docs.where("train")
     code, size = survey(train)
@@ -335,24 +366,57 @@ def fit_mixer(docs: DataFrame, bits: tuple[int, ...] = BITS, steps: int = 50, at
     return Mixer(code, bits, odds, level[-1], gate_weights(train, sent, bits, packed, gates, steps, at_once)), size
 
 
-def seen_by_others(code: Code, bits: tuple[int, ...], counts: list[np.ndarray], s: np.ndarray, at: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log odds (in UNITs) by input, gate and bit of each decision of laid-out texts, by counts (of slot * 2 + bit) without the text's own; counts come back as they were."""
+def seen_by_others(code: Code, bits: tuple[int, ...], counts: list[np.ndarray], s: np.ndarray, at: np.ndarray, offs: np.ndarray, own: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds (in UNITs) by input, gate and bit of each decision of laid-out texts, by counts (of slot * 2 + bit, or their places in COUNTS) without the text's own.
+
+    own: the counts of the one text that these symbols are a segment of; without it, the texts are whole. A complex number holds zeros and ones.
+    """
     rank = code.ranks_of(s, at)
-    n = code.length[rank]
-    step = run_of(n, code.first[rank])
-    node, bit = code.node[step].astype(np.int64), code.bit[step].astype(np.int64)
-    cut = np.concatenate([[0], np.cumsum(n)])[offs].tolist()
-    x, one = np.empty((INPUTS, len(node)), np.int64), np.ones(len(node), np.int32)  # ufunc.at is slow with a scalar
-    for k, ctx in enumerate(contexts(s)):
-        zero_at = (np.repeat((ctx[at] >> M(32 - bits[k])).astype(np.int64), n) ^ node) * 2
-        own, z, o = zero_at + bit, np.empty(len(node), np.int32), np.empty(len(node), np.int32)
-        for a, b in zip(cut[:-1], cut[1:]):
-            np.subtract.at(counts[k], own[a:b], one[a:b])
-            z[a:b], o[a:b] = counts[k][zero_at[a:b]], counts[k][zero_at[a:b] + 1]
-            np.add.at(counts[k], own[a:b], one[a:b])
-        z, o = np.maximum(z, 0), np.maximum(o, 0)  # counts of 128 and more are not exact
-        x[k] = log_odds(z, o)
-    return x, node * 4 + levels(z, o), bit
+    n, first = code.length[rank], code.first[rank]
+    slots = [(ctx[at] >> M(32 - b)).astype(np.int64) for ctx, b in zip(contexts(s), bits)]
+    cut = np.concatenate([[0], np.cumsum(n)])[offs]
+    x, gate, bit = np.empty((INPUTS, cut[-1]), np.int8), np.empty(cut[-1], np.int64), np.empty(cut[-1], np.uint8)
+    tables = [v.view("<u2") if v.dtype == np.uint8 else v.astype(np.float32).view(np.complex64) for v in counts]
+    owner, i = np.empty(0, np.int32), 0
+    while i < len(cut) - 1:
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + GROUP, "right")) - 1)
+        sym, dec = slice(offs[i], offs[j]), slice(cut[i], cut[j])
+        step = run_of(n[sym], first[sym])
+        node, bit[dec] = code.node.take(step), code.bit.take(step)
+        y, one = bit[dec].astype(np.int64), np.ones(len(step), np.float32)
+        text = np.repeat(np.arange(j - i), np.diff(cut[i : j + 1]))
+        mixed, text = text * 0x9E3779B1, text << 24
+        size = 1 << int(len(step)).bit_length() + 2
+        owner = owner if len(owner) >= size else np.empty(size, np.int32)
+        for k in range(INPUTS):
+            slot = np.repeat(slots[k][sym], n[sym])
+            slot ^= node
+            both = tables[k].take(slot)
+            both = (PAIRS.take(both) if both.dtype == np.uint16 else both).view(np.float32)
+            if own is None:
+                place = same(slot + text, slot + mixed & size - 1, owner)
+                less = np.zeros(2 * len(place), np.float32)
+                np.add.at(less, 2 * place + y, one)
+                both -= less.view(np.complex64).take(place).view(np.float32)
+            else:
+                both[::2] -= own[k].take(2 * slot)
+                both[1::2] -= own[k].take(2 * slot + 1)
+            np.maximum(both, 0, out=both)  # counts of 128 and more are not exact
+            x[k, dec] = log_odds(both[::2], both[1::2])
+        gate[dec] = node * np.int64(4) + levels(both[::2], both[1::2])
+        i = j
+    return x, gate, bit
+
+
+def same(key: np.ndarray, low: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A place in key for each entry, the same for equal keys and for no others. low: hashes of the keys, places in the scratch array owner."""
+    owner[low] = np.arange(len(key), dtype=np.int32)
+    place = owner.take(low).astype(np.int64)
+    lost = np.flatnonzero(key.take(place) != key)  # another key took their place
+    if len(lost):
+        _, at, back = np.unique(key[lost], return_index=True, return_inverse=True)
+        place[lost] = lost[at[back]]
+    return place
 
 
 def gate_weights(train: DataFrame, code, bits: tuple[int, ...], packed: list[np.ndarray], start: np.ndarray, steps: int, at_once: int) -> np.ndarray:
@@ -365,16 +429,24 @@ def gate_weights(train: DataFrame, code, bits: tuple[int, ...], packed: list[np.
     pieces, cells = 64, len(start) * CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = [COUNTS[p] for p in held.value], np.zeros((2 + INPUTS, cells), np.int64)
+        keep_freed()
+        total = np.zeros((2 + INPUTS, cells), np.int64)
         for batch in batches:
-            for _, _, _, laid in segments(batch, at_once):
-                x, gate, bit = seen_by_others(code.value, bits, counts, *laid)
-                cell = gate
-                for k in range(INPUTS):
-                    cell = cell * 8 + BINS[x[k] + 127]
-                total[0] += np.bincount(cell, minlength=cells)
-                for k, v in enumerate((bit, *x)):
-                    total[1 + k] += np.bincount(cell, v, cells).astype(np.int64)
+            for i, j, _, buf in chunks(batch, most=at_once):
+                texts, own = batch.slice(i, j - i), None
+                if j == i + 1 and len(buf) > SEGMENT:
+                    own = [np.zeros(2 << b, np.uint32) for b in bits]
+                    for *_, (s, at, _) in segments(texts, at_once):
+                        add_counts(own, code.value, bits, s, at)
+                for *_, laid in segments(texts, at_once):
+                    x, gate, bit = seen_by_others(code.value, bits, held.value, *laid, own)
+                    for a in range(0, len(bit), GROUP):
+                        cell = gate[a : a + GROUP]
+                        for v in x[:, a : a + GROUP]:
+                            cell *= 8
+                            cell += BINS.take(v.view(np.uint8))
+                        for k, v in enumerate((np.ones(len(cell)), bit[a : a + GROUP], *x[:, a : a + GROUP])):
+                            np.add.at(total[k], cell, v.astype(np.int64))
         for p, part in enumerate(np.split(total, pieces, axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["piece", "n"])
 
@@ -449,6 +521,7 @@ def score_blocks(docs: DataFrame, model, buckets: int, most: int) -> DataFrame:
     """A row for each block of texts: ids, bytes and bits of its texts, their words as places in its dictionary, and the dictionary in order of buckets with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         m, names = model.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             doc, train = batch.column(1), np.array(batch.column(2).to_pylist(), bool)

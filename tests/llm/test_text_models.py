@@ -309,6 +309,37 @@ def test_weights_come_from_every_text(spark):
     assert (w[0] != np.float32(0.3)).any() and not np.array_equal(*w)
 
 
+def test_own_counts_are_taken_off_beside_the_tables():
+    """Tables of counts are only read, as numbers or as bytes; a text in segments loses its own counts of all segments."""
+    from lamina.llm import context_mixing as c
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    m = small_mixer(rng)
+    texts = [rng.integers(97, 112, n).astype(np.uint8) for n in (3000, 0, 900, 40)]
+    laid = c.lay(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    counts = [rng.integers(0, 128, 2048).astype(np.int32) for _ in m.bits]
+    c.add_counts(counts, m.code, m.bits, *laid[:2])
+    packed = [np.searchsorted((c.COUNTS[1:] + c.COUNTS[:-1].astype(np.int64)) / 2, v, "right").astype(np.uint8) for v in counts]
+    for v in (*counts, *packed):
+        v.flags.writeable = False
+    want, got = (c.seen_by_others(m.code, m.bits, v, *laid) for v in ([c.COUNTS[p] for p in packed], packed))
+    assert all(map(np.array_equal, want, got))
+    one = c.seen_by_others(m.code, m.bits, counts, *c.lay(texts[0], np.array([0, 3000])))
+    batch = pa.RecordBatch.from_arrays([pa.array([texts[0].tobytes()])], ["text"])
+    segment, c.SEGMENT = c.SEGMENT, 700
+    try:
+        parts = [laid for *_, laid in c.segments(batch, 700)]
+    finally:
+        c.SEGMENT = segment
+    own = [np.zeros(2048, np.uint32) for _ in m.bits]
+    for s, at, _ in parts:
+        c.add_counts(own, m.code, m.bits, s, at)
+    found = [c.seen_by_others(m.code, m.bits, counts, *laid, own) for laid in parts]
+    assert np.array_equal(np.concatenate([x[:2] for x, _, _ in found], 1), one[0][:2]) and np.array_equal(np.concatenate([bit for *_, bit in found]), one[2])
+
+
 def small_mixer(rng):
     from lamina.llm import context_mixing as c
 
