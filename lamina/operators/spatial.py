@@ -53,12 +53,12 @@ def gradient(img: DataFrame, sigma: float, factor: float = 1.5) -> DataFrame:
 
 
 def neighbours(img: DataFrame, radius: int, flat: bool) -> DataFrame:
-    """Each voxel's place with the values of the voxels in its box (those inside the image)."""
+    """Each voxel's place with the values of the voxels in its box (those inside the image). Both sides grow with the image: neither is broadcast."""
     d = F.sequence(F.lit(-radius), F.lit(radius))
     k = F.array(F.lit(0)) if flat else d
     box = img.select("i", "j", "k", F.col("v").alias("n")).select("n", "i", "j", "k", F.explode(d).alias("di")).select("*", F.explode(d).alias("dj")).select("*", F.explode(k).alias("dk"))
     box = box.select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), (F.col("k") + F.col("dk")).alias("k"), "n")
-    return img.select("voxel", "i", "j", "k").join(box, ["i", "j", "k"])
+    return img.select("voxel", "i", "j", "k").join(box.hint("merge"), ["i", "j", "k"])
 
 
 def median_filter(img: DataFrame, radius: int = 1, flat: bool = True) -> DataFrame:
@@ -192,7 +192,7 @@ def open_close(img: DataFrame, opening: bool) -> DataFrame:
     """Opening (erode, then dilate) or closing of a 0/1 image."""
     steps = ("erode", "dilate") if opening else ("dilate", "erode")
     first = keep(morphology(img, steps[0]))
-    return morphology(img.drop("v").join(first, "voxel"), steps[1])
+    return morphology(img.drop("v").join(first.hint("merge"), "voxel"), steps[1])
 
 
 def bilateral(img: DataFrame, radius: int, space: float, value: float, flat: bool = True, iterations: int = 1) -> DataFrame:
