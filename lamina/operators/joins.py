@@ -1,4 +1,4 @@
-"""Joins by distance, by rank and by interval: range joins become equi-joins on grid cells."""
+"""Joins by distance, by rank and by interval: range joins become equi-joins on grid cells. Points are never broadcast: both sides grow."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def radius_pairs(points: DataFrame, radius: float, by: str | None = None, value:
         around = around.withColumn(f"c{c}", F.col(f"c{c}") - F.col(f"_d.{c}"))
     around = around.withColumn("same", F.col("_d.same")).drop("_d")
     d2 = sum(((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in "xyz"), F.lit(0.0))
-    j = own.join(around, ["cx", "cy", "cz", *(["g"] if by else [])]).where("(same and a < b) or (not same and a <> b)").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
+    j = own.join(around.hint("merge"), ["cx", "cy", "cz", *(["g"] if by else [])]).where("(same and a < b) or (not same and a <> b)").withColumn("d2", d2).where((F.col("d2") > 0) & (F.col("d2") <= radius * radius))
     return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d2", *([((F.col("fa") - F.col("fb")) ** 2).alias("f2")] if value else []))
 
 

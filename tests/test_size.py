@@ -27,3 +27,8 @@ def plans(monkeypatch):
 def test_box_is_not_broadcast(spark, plans, name):
     plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_radius_pairs_are_not_broadcast(spark):
+    plan = QUERIES["radius_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
