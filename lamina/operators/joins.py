@@ -40,7 +40,7 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius: float, itself:
         q = q.select("*", F.explode(d).alias("_d")).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
     p = points.select(F.col("id").alias("p"), *[F.col(c).alias(f"{c}b") for c in "xyz"], *[cell(F.col(c), radius).alias(f"c{c}") for c in "xyz"])
     d2 = sum(((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in "xyz"), F.lit(0.0))
-    j = q.join(p, ["cx", "cy", "cz"]).withColumn("d2", d2).where((F.col("d2") <= radius * radius) & (F.lit(itself) | (F.col("q") != F.col("p"))))
+    j = q.join(p.hint("merge"), ["cx", "cy", "cz"]).withColumn("d2", d2).where((F.col("d2") <= radius * radius) & (F.lit(itself) | (F.col("q") != F.col("p"))))
     return j.groupBy("q").agg(F.min(F.struct("d2", "p")).alias("m")).select("q", F.col("m.p").alias("p"), F.col("m.d2").alias("d2"))
 
 
@@ -63,7 +63,7 @@ def nearest(queries: DataFrame, points: DataFrame, size: float = 2.0) -> DataFra
     while True:
         found = keep(nearest_within(left, points, size, itself=False))
         out = found if out is None else out.unionByName(found)
-        left = keep(left.join(found.select(F.col("q").alias("id")), "id", "left_anti"))
+        left = keep(left.join(found.select(F.col("q").alias("id")).hint("merge"), "id", "left_anti"))
         if size > 2 * whole or not left.limit(1).count():
             return out
         size *= 2

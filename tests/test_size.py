@@ -32,3 +32,8 @@ def test_box_is_not_broadcast(spark, plans, name):
 def test_radius_pairs_are_not_broadcast(spark):
     plan = QUERIES["radius_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_nearest_is_not_broadcast(spark, plans):
+    assert QUERIES["nearest_point"](spark, SF).count() and len(plans) > 1
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
