@@ -37,3 +37,8 @@ def test_radius_pairs_are_not_broadcast(spark):
 def test_nearest_is_not_broadcast(spark, plans):
     assert QUERIES["nearest_point"](spark, SF).count() and len(plans) > 1
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_lobes_are_not_broadcast(spark, plans):
+    plans.append(QUERIES["repair_lobes"](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
