@@ -22,13 +22,14 @@ def centroids(img: DataFrame) -> DataFrame:
 def sort_parcels(nodes: DataFrame) -> DataFrame:
     """nodes(index, attr ARRAY of whole numbers, ...) with place from 1: by the first attribute, then the second, third and fourth, then the index.
 
-    The order is that of the sum of attributes times falling powers of a thousand plus a thousandth of the index; a range sort, no window over all rows.
+    Attributes are compared one by one, whatever their size and the index's; a node with fewer than four lacks the first ones, which
+    count as 0 (as in a sum of attributes times falling powers of a thousand). A range sort, no window over all rows.
     """
     from .statistics import global_rank
 
     n = F.least(F.size("attr"), F.lit(4))
-    key = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.col("index") * 0.001, lambda a, k: a + F.coalesce(F.get("attr", k), F.lit(0)) * F.pow(F.lit(1000.0), n - k))
-    return global_rank(nodes.withColumn("_key", F.struct(key.alias("k"), F.col("index").alias("i"))), "_key").drop("_key").withColumnRenamed("rank", "place")
+    key = [F.coalesce(F.when(n >= k, F.get("attr", n - k)), F.lit(0)).alias(f"k{k}") for k in (4, 3, 2, 1)]
+    return global_rank(nodes.withColumn("_key", F.struct(*key, F.col("index").alias("i"))), "_key").drop("_key").withColumnRenamed("rank", "place")
 
 
 def sort_task_ranges(ranges: DataFrame) -> DataFrame:
@@ -42,5 +43,5 @@ def repair_lobes(nodes: DataFrame, size: float = 10.0) -> DataFrame:
 
     bad, good = nodes.where("lobe = 0"), nodes.where("lobe <> 0")
     near = nearest(bad, good.select("id", "x", "y", "z"), size).select(F.col("q").alias("id"), "p")
-    fixed = near.join(good.select(F.col("id").alias("p"), F.col("lobe").alias("new")), "p").select("id", "new")
-    return nodes.join(fixed, "id", "left").select("id", "x", "y", "z", F.coalesce("new", "lobe").alias("lobe"))
+    fixed = near.join(good.select(F.col("id").alias("p"), F.col("lobe").alias("new")).hint("merge"), "p").select("id", "new")
+    return nodes.join(fixed.hint("merge"), "id", "left").select("id", "x", "y", "z", F.coalesce("new", "lobe").alias("lobe"))

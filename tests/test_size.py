@@ -42,3 +42,14 @@ def test_nearest_is_not_broadcast(spark, plans):
 def test_lobes_are_not_broadcast(spark, plans):
     plans.append(QUERIES["repair_lobes"](spark, SF)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_order_of_parcels_holds_for_large_numbers(spark):
+    """Indices from a million, attributes from a thousand, fewer and more than four attributes, ties."""
+    rows = [(i, [a, b, c]) for i, a, b, c in ((2_500_000, 1, 0, 0), (3, 1, 0, 1), (1_000_001, 0, 6, 2), (7, 1, 0, 0), (4, 0, 7, 0), (8, 0, 1500, 2), (9, 1, 2, 0), (10, -3, 9, 9), (5, 2**53 // 1000, 1, 1))]
+    want = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = parcels.sort_parcels(spark.createDataFrame(rows, "index long, attr array<long>")).collect()
+    assert [(r["index"], r.attr) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, len(rows) + 1))
+    rows = [(1, [5]), (2, [1, 2]), (3, []), (4, [0, 0, 0, 1, 9]), (5, [0, 0, 0, 1, 2]), (6, [4]), (7, [1, 0, 0, 0])]
+    got = parcels.sort_parcels(spark.createDataFrame(rows, "index long, attr array<long>")).orderBy("place").collect()
+    assert [r["index"] for r in got] == [3, 4, 5, 6, 1, 2, 7]
