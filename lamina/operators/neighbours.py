@@ -1,10 +1,11 @@
 """Exact nearest neighbours of vectors and series within a label, pruned by the triangle inequality.
 
-Points are dealt to the nearest of a bounded number of pivots; a cell is the points of a label at a pivot, cut into blocks of
-bounded rows by a hash of the id. A point first meets its own block, which bounds the distance of its k-th neighbour. It then
-visits only cells that can hold a nearer point: those whose distances to their pivot come within the bound of the point's own
-distance to it. Inside a block, whose rows are sorted by that distance, only such a stretch is compared. Pairs of a whole label
-are never formed unless the distances allow no less.
+Points are dealt to the nearest of a bounded number of pivots; a cell is the points of a label at a pivot. Points ask in chunks of
+bounded size, cut from cells next to each other. Its own points bound how far a chunk's neighbours can be, and it visits
+only cells that can hold a nearer point: those whose distances to their pivot come within the bound of the point's own distance to it.
+A cell's points travel once to each chunk that visits it and stream past the chunk, which holds its own points and the nearest found so far
+and nothing else. So what is sent grows with the chunks, not with the pairs; pairs of a whole label are compared only where the
+distances allow no less, and are never stored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import keep
 
 CELL, MOST_PIVOTS = 4096, 1024  # points a cell is meant to have; pivots, whatever the table's size
-BLOCK, CHUNK = 2048, 2048
+BLOCK, CHUNK = 2048, 8192  # points that are compared with a chunk at a time; points that ask together
+KEPT, NUMBERS = 1 << 22, 1 << 23  # neighbours and numbers that a chunk's points may hold; more of each per point make chunks smaller
 FOUND = "id long, other long, d2 double, place2 double"
 NOTHING = {"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "place2": pa.array([], pa.float64())}
 
@@ -38,136 +40,185 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def smallest(d2: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the `count` smallest finite entries of each row, ties by id."""
-    some = min(count, d2.shape[1])
-    if not some:
-        return np.empty(0, int), np.empty(0, int)
-    cut = np.partition(d2, some - 1, axis=1)[:, some - 1]
-    r, c = np.nonzero((d2 <= cut[:, None]) & np.isfinite(d2))
-    order = np.lexsort((ids[c], d2[r, c], r))
-    r, c = r[order], c[order]
-    rank = np.arange(len(r)) - np.searchsorted(r, r, "left")
-    return r[rank < count], c[rank < count]
-
-
-def compare(asked: pa.Table, held: pa.Table, count: int, digits: int | None) -> pa.Table:
-    """The `count` nearest of the held rows to each asked row, those within its bound; rows are not their own neighbours."""
-    held = held.sort_by([("r", "ascending"), ("id", "ascending")])
-    ids, mine = held.column("id").to_numpy(), asked.column("id").to_numpy()
-    x, y = rows_of(held.column("f"), len(ids)), rows_of(asked.column("f"), len(mine))
-    px, py = rows_of(held.column("place"), len(ids)), rows_of(asked.column("place"), len(mine))
-    r, away = held.column("r").to_numpy(), asked.column("away").to_numpy()
-    bound = asked.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
-    bound = np.where(np.isnan(bound), np.inf, bound)
-    reach = np.sqrt(bound) * (1 + 1e-9) + 1e-9 * (1 + away)
-    low, high = np.searchsorted(r, away - reach, "left"), np.searchsorted(r, away + reach, "right")
-    order = np.argsort(low, kind="stable")
-    parts = []
-    for at in range(0, len(order), 256):  # neighbours in this order share most of their stretch
-        some = order[at : at + 256]
-        lo, hi = low[some].min(initial=0), high[some].max(initial=0)
-        if lo >= hi:
-            continue
-        d2 = squared(y[some], x[lo:hi])
-        d2 = d2 if digits is None else np.round(d2, digits)
-        d2[(ids[lo:hi][None, :] == mine[some][:, None]) | (d2 > bound[some][:, None])] = np.inf
-        a, b = smallest(d2, ids[lo:hi], count)
-        place = ((py[some[a]] - px[lo + b]) ** 2).sum(1)
-        parts.append((mine[some[a]], ids[lo + b], d2[a, b], place))
-    if not parts:
-        return pa.table(NOTHING)
-    return pa.table(dict(zip(NOTHING, (pa.array(np.concatenate(c)) for c in zip(*parts)))))
+class Nearest:
+    """The `count` nearest points found so far of a chunk's points, by squared distance, then id; points are not their own neighbours.
+
+    below: only what lies strictly below the last of them will be asked for, so that it does not matter which of equal ones are kept.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, place: np.ndarray, count: int, digits: int | None, below: bool):
+        self.ids, self.x, self.place, self.count, self.digits, self.below = ids, x, place, count, digits, below
+        self.norm = (x**2).sum(1)
+        self.d2, self.other, self.place2 = (np.full((len(ids), count), v) for v in (np.inf, -1, 0.0))
+        self.slack = 0.0 if digits is None else 10.0**-digits
+
+    def see(self, ids: np.ndarray, x: np.ndarray, place: np.ndarray, r: np.ndarray, pivot: np.ndarray) -> None:
+        """Points of one cell, in order of r, their distance to its pivot."""
+        away = np.sqrt(((self.x - pivot) ** 2).sum(1))
+        norm = (x**2).sum(1)
+        for at in range(0, len(ids), BLOCK):
+            k = slice(at, at + BLOCK)
+            reach = np.sqrt(self.d2[:, -1] + self.slack) * (1 + 1e-9) + 1e-9 * (1 + away)
+            rows = np.flatnonzero(~((away - r[k][-1] > reach) | (r[k][0] - away > reach)))
+            step = max(1, (1 << 19) // len(ids[k]))
+            for i in range(0, len(rows), step):
+                self.compare(rows[i : i + step], ids[k], x[k], place[k], norm[k])
+
+    def compare(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, place: np.ndarray, norm: np.ndarray) -> None:
+        """A product of matrices tells which pairs can be near enough, up to its rounding; those are summed from differences."""
+        y, size = self.x[rows], self.norm[rows][:, None] + norm
+        with np.errstate(invalid="ignore", over="ignore"):
+            could = ~(size - 2 * (y @ x.T) - 1e-15 * (16 + y.shape[1]) * size > self.d2[rows, -1][:, None] + self.slack)
+        could &= self.ids[rows][:, None] != ids
+        a, b = np.nonzero(could)
+        if not len(a):
+            return
+        with np.errstate(invalid="ignore", over="ignore"):
+            if 4 * len(a) > could.size:
+                d2 = squared(y, x)[a, b]
+            else:
+                d2 = np.empty(len(a))
+                for i in range(0, len(a), 1 << 14):
+                    d2[i : i + (1 << 14)] = ((y[a[i : i + (1 << 14)]] - x[b[i : i + (1 << 14)]]) ** 2).sum(1)
+        d2 = d2 if self.digits is None else np.round(d2, self.digits)
+        near = (d2 <= self.d2[rows[a], -1]) & np.isfinite(d2)
+        if near.any():
+            (self.add_below if self.below else self.add)(rows, a[near], b[near], d2[near], ids, place)
+
+    def add(self, rows, a, b, d2, ids, place) -> None:
+        some, a = np.unique(a, return_inverse=True)
+        rows, own = rows[some], np.repeat(np.arange(len(some)), self.count)
+        near = ((self.place[rows[a]] - place[b]) ** 2).sum(1)
+        r, d, o, p = (np.concatenate(v) for v in ((own, a), (self.d2[rows].ravel(), d2), (self.other[rows].ravel(), ids[b]), (self.place2[rows].ravel(), near)))
+        order = np.lexsort((o, d, r))
+        r = r[order]
+        order = order[np.arange(len(r)) - np.searchsorted(r, r, "left") < self.count].reshape(len(rows), self.count)
+        self.d2[rows], self.other[rows], self.place2[rows] = d[order], o[order], p[order]
+
+    def add_below(self, rows, a, b, d2, ids, place) -> None:
+        """As add, where which of equal ones are kept does not matter; the last one found is the farthest, the others are in no order."""
+        some, a = np.unique(a, return_inverse=True)
+        rows, many = rows[some], np.bincount(a)
+        col = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)  # a comes in order
+        d = np.full((len(rows), self.count + many.max()), np.inf)
+        o = np.full(d.shape, -1)
+        p = np.zeros(d.shape)
+        for all_, mine, new in ((d, self.d2, d2), (o, self.other, ids[b]), (p, self.place2, ((self.place[rows[a]] - place[b]) ** 2).sum(1))):
+            all_[:, : self.count], all_[a, self.count + col] = mine[rows], new
+        order = np.argpartition(d, self.count - 1, axis=1)[:, : self.count]
+        self.d2[rows], self.other[rows], self.place2[rows] = (np.take_along_axis(v, order, 1) for v in (d, o, p))
+
+    def found(self):
+        """id, other, d2, place2 as Arrow batches: all that is kept, or with below what lies below the last of `count` neighbours."""
+        for i in range(0, len(self.ids), step := max(1, (1 << 16) // self.count)):
+            k = slice(i, i + step)
+            r, c = np.nonzero((self.d2[k] < self.d2[k, -1:]) if self.below else np.isfinite(self.d2[k]))
+            cols = self.ids[k][r], self.other[k][r, c], self.d2[k][r, c], self.place2[k][r, c]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], list(NOTHING))
 
 
 def pivots_of(points: DataFrame, n: int) -> np.ndarray:
-    """Pivots: of the table's points those of the least hash of the id, one for each CELL of them, MOST_PIVOTS at most."""
+    """Pivots: of the table's points those of the least hash of the id, one for each CELL of them, MOST_PIVOTS at most; each next to one near it."""
     k = min(MOST_PIVOTS, 1 + n // CELL)
-    return np.array([r["f"] for r in points.orderBy(F.xxhash64("id"), "id").limit(k).select("f").collect()], dtype=np.float64)
+    found = np.array([r["f"] for r in points.orderBy(F.xxhash64("id"), "id").limit(k).select("f").collect()], dtype=np.float64)
+    far, order = squared(found, found), [0]
+    far[:, 0] = np.inf
+    while len(order) < len(found):
+        order.append(int(far[order[-1]].argmin()))
+        far[:, order[-1]] = np.inf
+    return found[order]
 
 
-def nearest_in_label(points: DataFrame, count: int, digits: int | None = None) -> DataFrame:
+def nearest_in_label(points: DataFrame, count: int, digits: int | None = None, below: bool = False) -> DataFrame:
     """id, other, d2, place2: the `count` nearest points of the same label of each point, by squared distance, then id.
 
     points: id (unique), label, f ARRAY (the vector; all of one length), place ARRAY (all of one length, may be empty: its squared
     distance comes along). digits: d2 is rounded before it is compared. Points whose label has at most `count` others keep
-    them all. The result is exact.
+    them all. below: of these, those strictly below the last of `count` neighbours. The result is exact.
     """
-    points = keep(points.select(F.col("id").cast("long").alias("id"), "label", "f", "place"))
+    points = keep(points.select(F.col("id").cast("long").alias("id"), "label", "f", "place").where("label is not null"))
     n = points.count()
     if not n:
         return points.sparkSession.createDataFrame([], FOUND)
     pivots = pivots_of(points, n)
-    d, slack = pivots.shape[1], 0.0 if digits is None else 10.0**-digits
+    most = max(1, min(CHUNK, KEPT // count, NUMBERS // max(1, pivots.shape[1])))
+    slack = 0.0 if digits is None else 10.0**-digits
+    kind = dict(points.dtypes)
+    names = [*kind, "pivot", "r"]
 
     def deal(batches):
         for batch in batches:
-            x = rows_of(batch.column(0), len(batch))
+            x = rows_of(batch.column("f"), len(batch))
             far = np.sqrt(squared(x, pivots)) if len(batch) else np.empty((0, len(pivots)))
             cell = far.argmin(1) if len(batch) else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "pivot", "r"])
-
-    dealt = points.select("f", "id").mapInArrow(deal, "id long, pivot int, r double") if len(pivots) > 1 else None
-    if dealt is None:
-        at = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(c)) for c in pivots[0]]), lambda p, q: (p - q) * (p - q)), F.lit(0.0).cast("double"), lambda s, v: s + v)
-        cells = points.select("*", F.lit(0).alias("pivot"), F.sqrt(at).alias("r"))
-    else:
-        cells = points.join(keep(dealt), "id")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], names)
+
+    cells = points.mapInArrow(deal, ", ".join(f"{c} {t}" for c, t in kind.items()) + ", pivot int, r double")
     stats = keep(cells.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("near"), F.max("r").alias("far")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = cells.join(stats.select("label", "pivot", blocks.alias("blocks")), ["label", "pivot"])
-    held = keep(held.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks"))
-
-    def own(t: pa.Table) -> pa.Table:
-        asked = t.append_column("away", t.column("r")).append_column("bound", pa.nulls(len(t), pa.float64()))
-        return compare(asked, t, count, digits)
-
-    first = held.select("label", "pivot", "block", "id", "f", "place", "r").groupBy("label", "pivot", "block").applyInArrow(own, FOUND)
-    if not stats.groupBy("label").agg(F.sum(blocks).alias("b")).where("b > 1").limit(1).count():
-        return first  # every label is one block
-    first = keep(first)
-    bound = first.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("m")).select("id", F.when(F.col("c") >= count, F.col("m")).alias("bound"))
-    of_label = stats.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pivot", "near", "far", "n"))).alias("cells"))
-
-    def visits(batches):
-        """The cells that a point must see: not farther than its bound, which those cells' counts can lower too."""
+    start = F.sum("n").over(Window.partitionBy("label").orderBy("pivot")) - F.col("n")  # a row for each cell
+    held = cells.join(stats.select("label", "pivot", "n", start.alias("start")), ["label", "pivot"])
+    chunk = F.floor((F.col("start") + F.pmod(F.xxhash64("id"), "n")) / most).cast("int")
+    held = keep(held.select("label", "pivot", chunk.alias("chunk"), "id", "f", "place", "r"))
+    chunks = keep(held.select("label", "chunk").distinct())
+    tasks = min(8192, 2 * chunks.count())
+
+    def visits(mine: pa.Table, others: pa.Table) -> pa.Table:
+        """The cells that a chunk must see: for some point not farther than its bound, which those cells' counts can lower too."""
+        x = rows_of(mine.column("f"), len(mine))
+        pivot, near, far, many = (others.column(c).to_numpy() for c in ("pivot", "near", "far", "n"))
+        see, by = np.zeros(len(pivot), bool), Nearest(mine.column("id").to_numpy(), x, np.empty((len(x), 0)), count, digits, below)
+        if count < len(x):
+            at = mine.column("pivot").to_numpy()
+            for p in np.unique(at):
+                own = np.flatnonzero(at == p)
+                own = own[np.argsort(mine.column("r").to_numpy()[own])]
+                by.see(by.ids[own], x[own], by.place[own], mine.column("r").to_numpy()[own], pivots[p])
+        for i in range(0, len(x), 256):
+            d = np.sqrt(squared(x[i : i + 256], pivots[pivot]))
+            order = np.argsort(d + far, axis=1, kind="stable")
+            enough = (np.cumsum(many[order], axis=1) < count + 1).sum(1)  # one of them may be the point itself
+            last = np.take_along_axis(d + far, np.take_along_axis(order, np.minimum(enough, len(pivot) - 1)[:, None], 1), 1)[:, 0]
+            top = np.where(enough < len(pivot), last**2 * (1 + 1e-9) + slack, np.inf)
+            reach = (np.sqrt(np.minimum(top, by.d2[i : i + 256, -1] + slack)) * (1 + 1e-9) + slack)[:, None] + 1e-9 * (1 + d)
+            see |= ~((d - far > reach) | (near - d > reach)).all(0)
+        return pa.table({c: v for c, v in zip(others.column_names, others.columns)}).filter(pa.array(see)).select(["label", "chunk", "pivot"])
+
+    around = chunks.join(stats, "label").select("label", "chunk", "pivot", "near", "far", "n")
+    visit = held.groupBy("label", "chunk").cogroup(around.groupBy("label", "chunk")).applyInArrow(visits, f"label {kind['label']}, chunk int, pivot int")
+    visit = keep(visit.select("label", F.col("chunk").alias("to"), "pivot"))
+    asking = held.select("label", F.col("chunk").alias("to"), F.lit(0).alias("turn"), "pivot", "r", "id", "f", "place")
+    told = held.join(visit, ["label", "pivot"]).select("label", "to", F.when(F.col("chunk") == F.col("to"), 1).otherwise(2).alias("turn"), "pivot", "r", "id", "f", "place")
+    stream = asking.unionByName(told).repartition(tasks, "label", "to").sortWithinPartitions("label", "to", "turn", "pivot", "r", "id")
+
+    def meet(batches):
+        """Chunk after chunk: first its points, then its own cells' points, then those of the other cells that it visits."""
+        key, wait, now = None, [], None
+
+        def asked() -> Nearest:
+            t = pa.concat_tables(wait)
+            return Nearest(t.column("id").to_numpy(), rows_of(t.column("f"), len(t)), rows_of(t.column("place"), len(t)), count, digits, below)
+
         for batch in batches:
-            x = rows_of(batch.column(1), len(batch))
-            away = np.sqrt(squared(x, pivots)) if len(batch) else np.empty((0, len(pivots)))
-            rows = {k: [] for k in ("id", "to", "away", "bound", "blocks")}
-            for i, (who, bound, cells) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                pivot, near, far, many = (np.array([c[k] for c in cells]) for k in ("pivot", "near", "far", "n"))
-                d = away[i, pivot]
-                order = np.argsort(d + far, kind="stable")
-                enough = np.searchsorted(np.cumsum(many[order]), count + 1)  # one of them may be the point itself
-                top = (d + far)[order[enough]] ** 2 * (1 + 1e-9) + slack if enough < len(order) else np.inf
-                top = min(top, np.inf if bound is None else bound)
-                reach = np.sqrt(top) * (1 + 1e-9) + slack + 1e-9 * (1 + d)
-                see = (d - far <= reach) & (near - d <= reach)
-                rows["id"] += [who] * int(see.sum())
-                rows["to"] += pivot[see].tolist()
-                rows["away"] += d[see].tolist()
-                rows["bound"] += [top] * int(see.sum())
-                rows["blocks"] += (-(-many[see] // BLOCK)).tolist()
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
-
-    ask = held.select("id", "label", "f").join(bound, "id", "left").join(of_label, "label").select("id", "f", "bound", "cells")
-    ask = keep(ask.mapInArrow(visits, "id long, to int, away double, bound double, blocks int"))
-    ask = ask.join(held.select("id", "label", "f", "place", "pivot", F.col("block").alias("mine")), "id")
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("`to` <> pivot or block <> mine")
-    ask = keep(ask.select("label", F.col("to").alias("pivot"), "block", "id", "f", "place", "away", "bound"))
-    load = ask.groupBy("label", "pivot", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    key = ["label", "pivot", "block"]
-    left = held.join(load, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = ask.join(load, key).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        return compare(b, a, count, digits) if len(a) and len(b) else pa.table(NOTHING)
-
-    more = left.select(*key, "chunk", "id", "f", "place", "r").groupBy(*key, "chunk").cogroup(right.select(*key, "chunk", "id", "f", "place", "away", "bound").groupBy(*key, "chunk")).applyInArrow(pair, FOUND)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
-    return first.unionByName(more).withColumn("_rank", rank).where(F.col("_rank") <= count).drop("_rank")
+            t = pa.Table.from_batches([batch])
+            label, to = t.column("label").to_pylist(), t.column("to").to_numpy()
+            turn, pivot = t.column("turn").to_numpy(), t.column("pivot").to_numpy()
+            new = np.ones(len(t), bool)
+            new[1:] = (to[1:] != to[:-1]) | (turn[1:] != turn[:-1]) | (pivot[1:] != pivot[:-1]) | np.array([p != q for p, q in zip(label[1:], label)], bool)
+            for i, j in zip(ends := np.flatnonzero(new).tolist(), [*ends[1:], len(t)]):
+                if (label[i], to[i]) != key:
+                    if now:
+                        yield from now.found()
+                    key, wait, now = (label[i], to[i]), [], None
+                some = t.slice(i, j - i)
+                if turn[i] == 0:
+                    wait.append(some)
+                    continue
+                now = now or asked()
+                now.see(some.column("id").to_numpy(), rows_of(some.column("f"), j - i), rows_of(some.column("place"), j - i), some.column("r").to_numpy(), pivots[pivot[i]])
+        if now:
+            yield from now.found()
+
+    return stream.mapInArrow(meet, FOUND)
 
 
 def sparse_series_matrix(points: DataFrame, best: int | None = None, sparsity: float | None = None) -> DataFrame:
@@ -179,16 +230,14 @@ def sparse_series_matrix(points: DataFrame, best: int | None = None, sparsity: f
     if best is None:
         n = points.count()
         best = max(2, min(n, int(n * sparsity * 0.01)))
-    near = nearest_in_label(points, best + 1)
-    w = Window.partitionBy("id")
-    cut = F.when(F.count(F.lit(1)).over(w) > best, F.max("d2").over(w))
-    pairs = near.withColumn("cut", cut).where("cut is null or d2 < cut").select(F.col("id").alias("i"), F.col("other").alias("j"), F.col("d2").alias("feature"), F.col("place2").alias("dist"))
+    near = nearest_in_label(points, best + 1, below=True)
+    pairs = near.select(F.col("id").alias("i"), F.col("other").alias("j"), F.col("d2").alias("feature"), F.col("place2").alias("dist"))
     zero = F.lit(0.0)
     return pairs.unionByName(points.select(F.col("id").alias("i"), F.col("id").alias("j"), zero.alias("feature"), zero.alias("dist")))
 
 
 def knn_pairs(vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
     """The k nearest vectors of the same label: id, other, d2 (rounded), rank. vectors(id, label, x ARRAY). Equal distances rank by id."""
-    v = vectors.select("id", "label", F.transform("x", lambda c: c.cast("double")).alias("f"), F.array().cast("array<double>").alias("place"))
+    v = vectors.select("id", "label", F.col("x").alias("f"), F.array().cast("array<double>").alias("place"))
     w = Window.partitionBy("id").orderBy("d2", "other")
     return nearest_in_label(v, k, digits).select("id", "other", "d2", F.row_number().over(w).alias("rank"))

@@ -1,8 +1,9 @@
 """What tables of a cluster's size need: joins that broadcast no table that grows, whole orders, exact neighbours in bounded groups."""
 
+import numpy as np
 import pytest
 
-from lamina.operators import joins, parcels, spatial
+from lamina.operators import joins, neighbours, parcels, spatial
 from lamina.plans.catalog import QUERIES
 from lamina.sources import scratch
 
@@ -53,3 +54,21 @@ def test_order_of_parcels_holds_for_large_numbers(spark):
     rows = [(1, [5]), (2, [1, 2]), (3, []), (4, [0, 0, 0, 1, 9]), (5, [0, 0, 0, 1, 2]), (6, [4]), (7, [1, 0, 0, 0])]
     got = parcels.sort_parcels(spark.createDataFrame(rows, "index long, attr array<long>")).orderBy("place").collect()
     assert [r["index"] for r in got] == [3, 4, 5, 6, 1, 2, 7]
+
+
+@pytest.mark.parametrize("count", [3, 60])
+def test_neighbours_store_no_pairs(spark, monkeypatch, count):
+    """Vectors that the triangle inequality cannot tell apart: kept tables stay within twice the points' rows, and the result is brute force's."""
+    rows, n = [], 400
+    for k, v in (("CELL", 100), ("BLOCK", 50), ("CHUNK", 50)):
+        monkeypatch.setattr(neighbours, k, v)
+    monkeypatch.setattr(neighbours, "keep", lambda df: rows.append((out := scratch.keep(df)).count()) or out)
+    x = np.random.default_rng(3).random((n, 20)).round(2)
+    df = spark.createDataFrame([(i, i % 2, x[i].tolist(), []) for i in range(n)], "id long, label int, f array<double>, place array<double>")
+    got = {(r.id, r.other) for r in neighbours.nearest_in_label(df, count).collect()}
+    d = neighbours.squared(x, x)
+    assert got == {(i, j) for i in range(n) for _, j in sorted((d[i, j], j) for j in range(i % 2, n, 2) if j != i)[:count]}
+    assert max(rows) <= 2 * n
+    got = {(r.i, r.j) for r in neighbours.sparse_series_matrix(df, best=count).collect()}
+    cut = [sorted(d[i, j] for j in range(i % 2, n, 2) if j != i)[count] for i in range(n)]
+    assert got == {(i, j) for i in range(n) for j in range(i % 2, n, 2) if j == i or d[i, j] < cut[i]} and max(rows) <= 2 * n
