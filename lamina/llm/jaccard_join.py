@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, Hasher, U, chunks, mix, words
-from .common import components, keep
+from .common import components, keep, settled
 
+PASSES, PASS = 4, 5_000_000  # turns in which much is exchanged, so that a quarter of it is on disk at a time; shingles from which a further turn pays
 SHIFTS = [U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(1, 8)]
 
 
@@ -92,7 +93,7 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
             i = j
 
 
-def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int = 1 << 20) -> DataFrame:
+def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int = 1 << 20, passes: int = 1) -> DataFrame:
     """doc_id, shared: how many of a document's shingles also occur in another row (documents without any may be missing).
 
     docs holds (doc_id, text), or with width None (doc_id, shingles) as packed_sets gives them.
@@ -100,8 +101,21 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
     Documents are packed in blocks. A hash found twice in a block is credited at once and sent as a marker; others are
     sent with their document's place in the block. So a hash costs one entry per block, however many documents hold it, and
     the answers of a bucket to a block come back as one row. A block's ids travel once, with its credits: what a block sends to
-    a bucket grows with its hashes there alone, also where many buckets leave few hashes to each.
+    a bucket grows with its hashes there alone, also where many buckets leave few hashes to each. passes: buckets are worked on
+    in so many turns, each of which reads docs anew and has only its own share of the hashes on disk.
     """
+    if passes > 1:
+        turns = [keep(_shared_in_turn(docs, width, buckets, block, passes, turn)) for turn in range(passes)]
+        out = turns[0]
+        for more in turns[1:]:
+            out = out.unionByName(more)
+    else:
+        out = _shared_in_turn(docs, width, buckets, block, 1, 0)
+    return out.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
+def _shared_in_turn(docs: DataFrame, width: int | None, buckets: int, block: int, passes: int, turn: int) -> DataFrame:
+    """doc_id, shared of the buckets of one turn, a row for each block that holds the document."""
 
     def send(batches):
         for ids, sets in _packed(batches) if width is None else _sets(batches, width, block):
@@ -118,6 +132,10 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
             credit = np.bincount(who[twice], minlength=len(sets))
             h, who, many = h[new], who[new], run > 1
             part = (h % U(buckets)).astype(np.int64)
+            if passes > 1:
+                now = part % passes == turn
+                h, who, many, part = h[now], who[now], many[now], part[now]
+                credit *= turn == 0
             order = np.argsort(part, kind="stable")
             h, who, many, part = h[order], who[order], many[order], part[order]
             cut = np.searchsorted(part, np.arange(buckets + 1))
@@ -184,7 +202,7 @@ def shared_counts(docs: DataFrame, width: int | None, buckets: int, block: int =
 
     sent = docs.mapInArrow(send, "bucket int, block long, hash binary, who binary, ids binary, credit binary")
     met = sent.groupBy("bucket").applyInArrow(meet, "block long, ids binary, who binary, shared binary")
-    return met.groupBy("block").applyInArrow(add, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    return met.groupBy("block").applyInArrow(add, "doc_id long, shared long")
 
 
 def packed_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -317,11 +335,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = keep(marks.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     total = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_rows))
-    shared = shared_counts(d.where("doc_id is not null"), width, buckets)
+    passes = max(1, min(PASSES, total // PASS))
+    shared = shared_counts(d.where("doc_id is not null"), width, buckets, passes=passes)
     enough = F.col("shared") * similarity.denominator >= F.col("n") * similarity.numerator
     live_ids = shared.join(marks.where("n > 0").distinct(), "doc_id").where(enough)
     live_ids = keep(live_ids.join(copies, key, "left").where("rep is null or rep = doc_id").select("doc_id").distinct())
-    packed = keep(packed_sets(d.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
+    packed = None
+    for turn in range(passes):  # texts are sent to their ids in turns too
+        some = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == turn) if passes > 1 else d
+        sets = keep(packed_sets(some.join(live_ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]))
+        packed = sets if packed is None else packed.unionByName(sets)
     live_total = packed.agg(F.sum("n")).first()[0] or 0
     among = shared_counts(packed.select("doc_id", "shingles"), None, max(8, -(-live_total // bucket_rows))).withColumnRenamed("shared", "m")
     live = keep(packed.join(among.hint("merge"), "doc_id").where(F.col("m") * similarity.denominator >= F.col("n") * similarity.numerator))
@@ -381,7 +404,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = strays.select(F.col("k").alias("s_k"), F.col("m").alias("s_m"), "stray")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("k"), docs[text_col].alias("text"), mark.alias("m"))
     row = row.join(own, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("m") == F.col("s_m")), "left").withColumn("key", F.coalesce("stray", "k"))
-    groups = keep(similar_groups(row.select("key", "text"), "key", "text").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    groups = settled(docs.sparkSession, lambda: similar_groups(row.select("key", "text"), "key", "text").select(F.col("doc_id").alias("key"), "component_id").distinct())
     real = groups.join(strays.select(F.col("stray").alias("key"), "k", F.lit(True).alias("is_stray")), "key", "left").withColumn("k", F.when(F.col("is_stray"), F.col("k")).otherwise(F.col("key")))
     stays = real.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", F.col("is_stray").isNotNull().alias("s"), (-F.col("key")).alias("minus"))).alias("b"))
     gone = real.join(stays, "component_id").where(F.col("key") != -F.col("b.minus")).select("key", F.lit(True).alias("gone"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cases import empty, frame
 from lamina.llm import jaccard_join, mixing, queries, toxicity_fm
-from lamina.llm.common import CLEAN, keep, table
+from lamina.llm.common import CLEAN, keep, scratch, table
 from test_text_models import groups
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +120,26 @@ def test_run_on_hard_rows(spark, tmp_path, rows):
     ids = {r.doc_id for r in out}
     assert {None, 4} <= ids and (900 in ids)
     assert len({(r.position, r.doc_id, r.copy, r.n_ids) for r in out}) == len(out)
+
+
+@pytest.mark.parametrize("passes", [2, 5])
+def test_shared_counts_in_turns(spark, passes):
+    """Turns over the buckets add up to the counts of one turn."""
+    rows = [(i % 50, f"{' '.join(f'w{(i * i + k) % 97}' for k in range(5 + i % 9))} u{i}") for i in range(60)] + [(3, "w1 w2 w3 w4 w5 w6"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(map(tuple, jaccard_join.shared_counts(docs, 5, 7, 200).collect()))
+    assert want and dict(map(tuple, jaccard_join.shared_counts(docs, 5, 7, 200, passes=passes).collect())) == want
+
+
+def test_near_copies_leave_no_tables(spark, monkeypatch):
+    """Texts and hashes are exchanged in turns with the same groups, and tables kept on the way to the groups go."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    disk = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    want = sorted(r.doc_id for r in jaccard_join.drop_similar(docs).collect())
+    monkeypatch.setattr(jaccard_join, "PASS", 1000)
+    before, sent = disk(), []
+    turn = jaccard_join._shared_in_turn
+    monkeypatch.setattr(jaccard_join, "_shared_in_turn", lambda *a: sent.append(a[-1]) or turn(*a))
+    assert sorted(r.doc_id for r in jaccard_join.drop_similar(docs).collect()) == want
+    assert sent[:4] == [0, 1, 2, 3] and disk() - before < 150 * docs.count()  # ids, hashes and groups
