@@ -304,3 +304,17 @@ def test_rules_need_labels_and_evidence(spark):
     assert quality_rules.learn(statistics_rows(spark, lambda a, b, n: False)) == []
     few = statistics_rows(spark, lambda a, b, n: a >= 4).where("doc_id < 10")  # seven bad rows
     assert quality_rules.learn(few, least=8) == [] and len(quality_rules.learn(few, least=5)) == 1
+
+
+def test_mix_places_repeats(docs):
+    """Each epoch that takes words of a document has a training position of its own: the one at which the source's schedule reaches that place."""
+    repeats = 0
+    for r in mixing.mix(docs).collect():
+        b, goal = 0.8 * (r.weight - 2), int(r.target + 0.5)
+        starts = [r.offset + k * r.source_size for k in range(3) if r["size"] and r.offset + k * r.source_size < goal]
+        assert [p.copy for p in r.places] == list(range(len(starts))) and bool(r.places) == (r.taken > 0)
+        for p, start in zip(r.places, starts):
+            assert abs((1 - b) * p.position + b * p.position**2 - min(1, start / r.target)) < 1e-9
+        repeats += len(starts) > 1
+        assert not r.places or r.places[0].position == r.position
+    assert repeats
